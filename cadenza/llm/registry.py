@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.llm import token_counts
+from cadenza.llm import packing, token_counts
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
