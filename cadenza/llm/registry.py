@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.llm import packing, token_counts
+from cadenza.llm import ngram_join, packing, token_counts
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_token_counts": token_counts.op9_token_counts,
 }
