@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from cadenza.llm import ngram_join, packing, token_counts
+from cadenza.llm import exact_dedup, ngram_join, packing, token_counts, warc
 
 QUERIES = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_warc": warc.op8_warc,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_token_counts": token_counts.op9_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op8_warc": warc.SQL,
+}
