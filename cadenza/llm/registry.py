@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact_dedup, ngram_join, packing, token_counts, warc
+from cadenza.llm import exact_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc": warc.op8_warc,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_best_fit_packing": packing.op1_best_fit_packing,

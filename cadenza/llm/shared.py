@@ -23,7 +23,20 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing will read again."""
+    _, path = _paths.pop(id(df))
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -31,8 +44,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def dense_ids(column: str) -> F.Column:
-    return F.col(column).cast("long")
+#: Ids that may be broadcast to filter a scan (8 bytes each); a longer list is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def rows_of(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id and text with their types, and the named columns."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in the table `ids` (column doc_id)."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

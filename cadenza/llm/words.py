@@ -13,6 +13,9 @@ _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: As above, but everything in ASCII that is not a letter or digit separates words.
+_PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_BYTE_PUNCT = np.where(_PUNCT, np.uint64(0), _BYTE)
 _BYTE[_SEP] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,8 +41,11 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word in order; long inputs go block by block, cut between words."""
+def word_spans(data: np.ndarray, offs: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word in order; long inputs go block by block, cut between words.
+
+    punctuation: whether ASCII punctuation separates words too.
+    """
     parts, at = [], 0
     while at < len(data):
         end = min(at + _BLOCK, len(data))
@@ -47,7 +53,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
             cut = np.flatnonzero(_SEP[data[end : end + 4096]])
             end = end + int(cut[0]) + 1 if len(cut) else min(end + 4096, len(data))
         lo, hi = np.searchsorted(offs, at, "right"), np.searchsorted(offs, end, "left")
-        hashes, starts, ends = _block(data[at:end], offs[lo:hi] - at)
+        hashes, starts, ends = _block(data[at:end], offs[lo:hi] - at, punctuation)
         parts.append((hashes, starts + at, ends + at))
         at = end
     if not parts:
@@ -55,15 +61,15 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, number of words of each text)."""
-    hashes, starts, _ = word_spans(data, offs)
+    hashes, starts, _ = word_spans(data, offs, punctuation)
     return hashes, np.diff(np.searchsorted(starts, offs))
 
 
-def _block(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, cuts: np.ndarray, punctuation: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As word_spans for one block; cuts: where a new text begins inside it."""
-    sep = _SEP[data]
+    sep = (_PUNCT if punctuation else _SEP)[data]
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = sep[:-1]
     edge[cuts] = True
@@ -73,7 +79,7 @@ def _block(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.flatnonzero(edge[1:] & ~sep) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    values = _BYTE[data] * _powers_of(_BASE, len(data))
+    values = (_BYTE_PUNCT if punctuation else _BYTE)[data] * _powers_of(_BASE, len(data))
     sums = np.add.reduceat(values, starts)
     return mix(sums * _powers_of(_INVERSE, len(data))[starts]), starts, ends
 
