@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
+from cadenza.llm import decontaminate, exact_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc": warc.op8_warc,
