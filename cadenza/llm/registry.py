@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, exact_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
+from cadenza.llm import decontaminate, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc": warc.op8_warc,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op6_url_filter": url_filter.SQL,
     "op8_warc": warc.SQL,
 }
