@@ -59,6 +59,12 @@ def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in the table `ids` (column doc_id); a null doc_id stays."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column with nulls as empty strings."""
     return batch.column(batch.schema.get_field_index(name)).fill_null("")
