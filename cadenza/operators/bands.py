@@ -80,5 +80,5 @@ def group_windows(windows: Column, first: int = 2, ratio: float = 3.0) -> Column
 
 def grouping_bits(lens: Column) -> Column:
     """The mask of a grouping of eight windows: a bit for each later window that continues its group."""
-    marks = F.flatten(F.transform(lens, lambda n: F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), n - 1))))
+    marks = F.flatten(F.transform(lens, lambda n: F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), (n - 1).cast("int")))))
     return F.aggregate(F.slice(marks, F.lit(2), F.size(marks) - 1), F.lit(0), lambda s, b: s * 2 + b)
