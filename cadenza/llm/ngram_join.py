@@ -5,40 +5,41 @@ their sets reaches num/den. Two sets that similar share a member of their prefix
 members) under every order of the shingles. The steps:
 
 1. Texts with equal sets form one class; only the class representative (smallest doc_id) goes on.
-2. Frequent shingles are found by local counts over all documents, summed: an order that puts them last keeps
-   shared passages out of the prefixes. The list only shapes the order, never the result; it holds at most HOT rows.
+2. Frequent shingles are counted over all documents: an order that puts them last keeps shared passages out of the
+   prefixes. The list only shapes the order, never the result; it holds at most HOT rows.
 3. Prefix members under the first order are joined on the shingle. A pair is looked at when sizes and the positions of
    the shared shingle allow the similarity.
-4. Before the exact check a pair must also share a prefix member under the second and the third order.
+4. Before the exact check a pair must also share a prefix member under the second and the third order, and the members in a
+   fixed share of the hash range may differ by no more than whole sets of that similarity may.
 5. `components` first checks every group's members against one leader and merges what links; then all remaining
    pairs of a group whose members are still in different components. No pair that could change a component is left out.
 
 Null texts and texts without words have an empty set: size 0, linked with nothing. Texts of fewer than k words have
-one shingle for the whole sequence. Repeated rows belong to the same class; a doc_id names one node.
+one shingle for the whole sequence. Repeated rows belong to the same class; a doc_id names one node, a null one links with nothing.
 Hash values stand for shingles; equal sets are recognised by a 128-bit digest of the sorted values.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components as connect
-from cadenza.llm.shared import materialize, small_batches, text_column, text_slices
+from cadenza.llm.shared import BROADCAST_IDS, materialize, rows_of, small_batches, text_column, text_slices, trim, with_ids
 from cadenza.llm.words import mix, shingles, word_hashes
 
-#: Rows of the list of frequent shingles (8 bytes each), the local count from which a shingle is reported, the sum from which it is frequent.
-HOT, LOCAL, FREQUENT = 400_000, 3, 12
-#: Shingles counted together in a task.
-COUNTED = 3_000_000
+#: Rows of the list of frequent shingles (8 bytes each), and documents from which a shingle is frequent.
+HOT, FREQUENT = 1_000_000, 12
+#: Values that a counting task gathers before it merges them.
+MERGED = 2_000_000
+#: Share of the hash range whose members are compared before whole sets are.
+SHARE = 0.2
 _ORDERS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xC6A4A7935BD1E995, 0x2545F4914F6CDD1D)]
-#: Candidate documents whose ids may be broadcast to filter the scan (8 bytes each); beyond it the ids are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -50,49 +51,82 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(values[e - m : e])
 
 
-def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def frequent_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that many different texts have, at most HOT of them."""
+    """Sorted 40-bit values of shingles that at least FREQUENT documents have, the HOT most frequent ones.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
+    Each shingle of each document moves once, as 40 bits of its hash packed by the partition that counts it; a partition merges
+    its counts as they come. Two shingles that share these bits only share a place in the order.
+    """
+    spark = documents.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks  # several a task, so that their sizes even out
 
-        def flush() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            keep = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _brief(np.concatenate([*(s for _, s in _sets(text_column(batch), k)), np.zeros(0, np.uint64)]))
+            part = (values % np.uint64(parts)).astype(np.int32)
+            values = values[np.argsort(part, kind="stable")]
+            low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint8)
+            ends = np.cumsum(np.bincount(part, minlength=parts))
+            blobs = [low[e - n : e].tobytes() + high[e - n : e].tobytes() for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["part", "tokens"])
+            trim()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, n, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            for _, s in _sets(text_column(batch), k):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                held.append(s)
-                size += len(s)
-                if size >= COUNTED:
-                    yield flush()
-                    held, size = [], 0
-                    seen.clear()
-        yield flush()
-
-    local = _rows(documents).mapInArrow(count, "token long, n long")
-    total = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+            for blob in batch.column(1):
+                b = blob.as_py()
+                m = len(b) // 5
+                fresh.append(np.frombuffer(b, np.uint32, m) | (np.frombuffer(b, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32)))
+                size += m
+                if size > max(len(values), MERGED):
+                    values, n = _merged(values, n, fresh)
+                    size = 0
+                    trim()
+        values, n = _merged(values, n, fresh)
+        keep = n >= FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
+    dealt = rows_of(documents).mapInArrow(deal, "part int, tokens binary").where(F.length("tokens") > 0)
+    total = dealt.repartition(tasks, "part").mapInArrow(count, "token long, n long")
     top = total.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each run of equal values, its length) of a sorted array."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(starts, append=len(values))
+
+
+def _merged(values: np.ndarray, n: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted values with their counts, those of `fresh` (emptied) added."""
+    more = np.concatenate([*fresh, np.zeros(0, np.uint64)])
+    fresh.clear()
+    more.sort()
+    starts, m = _runs(more)
+    if not len(values):
+        return more[starts], m
+    both, counts = np.concatenate([values, more[starts]]), np.concatenate([n, m])
+    order = np.argsort(both, kind="stable")
+    both, counts = both[order], counts[order]
+    starts, _ = _runs(both)
+    return both[starts], np.add.reduceat(counts, starts)
+
+
+def _brief(values: np.ndarray) -> np.ndarray:
+    """40 bits of each shingle, by which frequent ones are listed."""
+    return mix(values ^ _ORDERS[0]) >> np.uint64(24)
+
+
 def _order(values: np.ndarray, hot: np.ndarray, which: int) -> np.ndarray:
     """The members of a set in a global order: frequent ones last, else by a hash."""
     rank = mix(values ^ _ORDERS[which]) >> np.uint64(1)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        rank |= (hot[at] == values).astype(np.uint64) << np.uint64(63)
+        own = _brief(values)
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        rank |= (hot[at] == own).astype(np.uint64) << np.uint64(63)
     return np.argsort(rank, kind="stable")
 
 
@@ -113,31 +147,33 @@ def signatures(documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), listed], names=["doc_id", "n_shingles", "digest", "prefix"])
+            trim()
 
-    return _rows(documents).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    return rows_of(documents).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, prefix array<long>")
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """node, members, second, third (prefixes there, as 32-bit values) of the documents that `ids` names."""
-    n_ids = ids.count()
-    wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    rows = _rows(documents).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+def _build(rows: DataFrame, k: int, columns: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """The rows with their text replaced by the set's size n_set and array columns made from the set."""
+    first = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in first]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members, second, third = [], [], []
+            size, lists = [], {c: [] for c in columns}
             for _, s in _sets(text_column(batch), k):
-                p = _prefix(len(s), num, den)
-                members.append(s.view(np.int64))
-                second.append(s[_order(s, hot, 1)[:p]].astype(np.uint32).view(np.int32))
-                third.append(s[_order(s, hot, 2)[:p]].astype(np.uint32).view(np.int32))
-            columns = [batch.column(0)]
-            for lists, kind in ((members, np.int64), (second, np.int32), (third, np.int32)):
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, kind)]))))
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "second", "third"])
+                size.append(len(s))
+                for c, (_, make) in columns.items():
+                    lists[c].append(make(s))
+            out = [*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(size, pa.int64())]
+            for c, (kind, _) in columns.items():
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists[c]])]).astype(np.int32)
+                values = np.concatenate([*lists[c], np.zeros(0, np.int32 if kind == "int" else np.int64)])
+                out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values)))
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "n_set", *columns])
+            trim()
 
-    return rows.mapInArrow(build, "node long, members array<long>, second array<int>, third array<int>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first) + ", n_set long" + "".join(f", {c} array<{kind}>" for c, (kind, _) in columns.items())
+    return rows.mapInArrow(build, schema)
 
 
 def _feasible(n_a: str, pos_a: str, n_b: str, pos_b: str, num: int, den: int) -> F.Column:
@@ -148,17 +184,47 @@ def _feasible(n_a: str, pos_a: str, n_b: str, pos_b: str, num: int, den: int) ->
     return sizes & ((num + den) * shared >= num * (a + b))
 
 
-def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """The pairs (a, b) that link, after the filters of the second and third order and the exact count."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(full_sets(documents, ids, k, num, den, hot), "sets")
+def _sides(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of a table by doc_id, once for each side (suffix _a and _b)."""
+
+    def side(x: str) -> DataFrame:
+        return table.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "doc_id"))
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("members", "second", "third")))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the second and third order and of the share of the hash range."""
+    below = np.uint64(int(SHARE * 2**64))
+    columns = {
+        "second": ("int", lambda s: s[_order(s, hot, 1)[: _prefix(len(s), num, den)]].astype(np.uint32).view(np.int32)),
+        "third": ("int", lambda s: s[_order(s, hot, 2)[: _prefix(len(s), num, den)]].astype(np.uint32).view(np.int32)),
+        "part": ("bigint", lambda s: s[mix(s ^ _ORDERS[1]) < below].view(np.int64)),
+    }
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    both = _sides(materialize(_build(with_ids(rows_of(documents), ids), k, columns), "parts"), pairs)
     both = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-    common = both.select("a", "b", (F.size("members_a") + F.size("members_b")).alias("total"), F.size(F.array_intersect("members_a", "members_b")).alias("common"))
+    apart = F.size("part_a") + F.size("part_b") - 2 * F.size(F.array_intersect("part_a", "part_b"))
+    return both.where((num + den) * apart <= (den - num) * (F.col("n_set_a") + F.col("n_set_b"))).select("a", "b").distinct()
+
+
+def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that link: filtered, then counted exactly on whole sets.
+
+    For the count each side's sets are built where its texts are read and move once, to the pairs of their `a`.
+    """
+    left = materialize(plausible(pairs, documents, k, num, den, hot), "plausible")
+    rows = rows_of(documents)
+    few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def joined(ids: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ids) if few else ids, "doc_id")
+
+    whole = {"members": ("bigint", lambda s: s.view(np.int64))}
+    own = _build(joined(left.select(F.col("a").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "a"), k, whole)
+    others = _build(joined(left.select(F.col("b").alias("doc_id"), "a")).withColumnRenamed("doc_id", "b"), k, whole)
+    both = others.select("a", "b", F.col("members").alias("members_b")).join(own, "a")
+    common = both.select("a", "b", (F.size("members") + F.size("members_b")).alias("total"), F.size(F.array_intersect("members", "members_b")).alias("common"))
     return common.where(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
@@ -170,24 +236,34 @@ class _Candidates:
         self.documents, self.k, self.num, self.den = documents, k, num, den
         self.hot = frequent_shingles(documents, k)
         self.signed = materialize(signatures(documents, k, num, den, self.hot), "signatures")
-        classes = self.signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-        prefixes = classes.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-        prefixes = materialize(prefixes, "prefixes")
-        shared = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-        self.shared = materialize(prefixes.join(shared, "token"), "shared")
+        self.classes = self.signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"))
+        named = self.signed.select("doc_id", "n_shingles", "digest").join(self.classes, ["digest", "n_shingles"])
+        again = materialize(named.where("doc_id <> node").select("doc_id", "digest").distinct(), "again")
+        few = again.limit(BROADCAST_IDS // 2).count() < BROADCAST_IDS // 2
+        first = self.signed.join(F.broadcast(again) if few else again, ["doc_id", "digest"], "left_anti")
+        if self._repeated():
+            first = first.dropDuplicates(["doc_id", "digest"])
+        prefixes = first.where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        group = Window.partitionBy("token")
+        leader = F.min(F.struct("pos", "node", "n")).over(group)
+        shared = prefixes.withColumns({"rows": F.count("*").over(group), "leader": leader}).where("rows > 1").drop("rows")
+        self.shared = materialize(shared, "shared")
+
+    def _repeated(self) -> bool:
+        return not self.signed.groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def check(self, pairs: DataFrame) -> DataFrame:
         return materialize(verify(pairs, self.documents, self.k, self.num, self.den, self.hot), "links")
 
     def against_leaders(self) -> DataFrame:
         """Pairs of each group's leader, the member with the earliest position, with its other members."""
-        leaders = self.shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("l")).select("token", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a"))
-        pairs = self.shared.join(leaders, "token").where("node <> a").where(_feasible("n_a", "pos_a", "n", "pos", self.num, self.den))
+        rows = self.shared.select("node", "n", "pos", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.pos").alias("pos_a"))
+        pairs = rows.where("node <> a").where(_feasible("n_a", "pos_a", "n", "pos", self.num, self.den))
         return materialize(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
 
     def remaining(self, labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
         """Pairs of members of a group; with labels, only those whose labels differ, without the pairs done."""
-        rows = self.shared
+        rows = self.shared.drop("leader")
         if labels is not None:
             rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
             mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
@@ -203,8 +279,7 @@ class _Candidates:
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, node (the representative of its class)."""
-        nodes = self.signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"))
-        named = self.signed.select("doc_id", "n_shingles", "digest").join(nodes, ["digest", "n_shingles"])
+        named = self.signed.select("doc_id", "n_shingles", "digest").join(self.classes, ["digest", "n_shingles"])
         return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
 
@@ -229,3 +304,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
+#: Fixed to the query's parameters: three words, 0.9.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+u AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM u),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x)
+SELECT u.doc_id, len(g) AS n_shingles, min(c) AS component_id FROM u JOIN r USING (doc_id) GROUP BY u.doc_id, g
+"""

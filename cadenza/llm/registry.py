@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_warc": warc.SQL,

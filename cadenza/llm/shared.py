@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -23,25 +24,19 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-_paths: dict[int, tuple[DataFrame, str]] = {}
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table that nothing will read again."""
-    _, path = _paths.pop(id(df))
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def trim() -> None:
+    """Give freed memory of a worker back to the system; the C library else keeps what large arrays took."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes so that long texts don't pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 #: Ids that may be broadcast to filter a scan (8 bytes each); a longer list is joined by a shuffle.
