@@ -1,0 +1 @@
+"""Frame-oriented sequence analytics and corpus preparation on Spark."""

@@ -41,15 +41,9 @@ def pad(framed: DataFrame, size: int, keys: list[str], flush: int = 0) -> DataFr
     return grid.join(framed, [*keys, "frame_no", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def deinterleave(values: str, channels: int, scale: float = 1.0) -> list[Column]:
-    """Columns channel, sample_no, value of an interleaved array (to be selected together)."""
-    item = F.posexplode(F.transform(values, lambda x: x.cast("double") * scale)).alias("_pos", "value")
-    return [item]
-
-
 def split_channels(rows: DataFrame, keys: list[str], values: str, channels: int, scale: float = 1.0) -> DataFrame:
     """keys, channel, sample_no, value of interleaved arrays."""
-    long = rows.select(*keys, *deinterleave(values, channels, scale))
+    long = rows.select(*keys, F.posexplode(F.transform(values, lambda x: x.cast("double") * scale)).alias("_pos", "value"))
     return long.select(*keys, (F.col("_pos") % channels).alias("channel"), F.floor(F.col("_pos") / channels).cast("int").alias("sample_no"), "value")
 
 
