@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The n-grams of an item are its seeds; their
-counts over all documents decide which half of each item's seeds is rare, and only those look for passages (a seed that
-repeats in the item counts once for each place). The benchmark is a stated query set: it goes over the
-documents in blocks of at most BLOCK words, each a table of that bounded size. Where a seed meets a document, the words
-around it are aligned with the item: MATCH for equal words, MISMATCH and GAP otherwise. The score is the best local alignment
-over that of the item with itself, so edited copies score by what is left of them.
+Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The n-grams of an item are its seeds, and all
+of them look for passages, frequent ones too: an edited copy may have kept no other. The benchmark is a stated query set: it
+goes over the documents in blocks of at most BLOCK words, each a table of that bounded size. Where a seed meets a document, the
+words around it are aligned with the item: MATCH for equal words, MISMATCH and GAP otherwise. The score is the best local
+alignment over that of the item with itself, so edited copies score by what is left of them. Stretches that share too few
+words with the item to reach the threshold in any order, as most that only a frequent seed points at, are not aligned.
 
 Null and empty texts, in either table, meet nothing. An item of fewer than SEED words meets only documents that consist of just its
 words. Repeated items give a row each; repeated documents too. All of a document is looked at; its passages of one item are
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import materialize, rows_of, small_batches, text_column, text_slices
@@ -59,24 +59,6 @@ def _hits(values: np.ndarray, seeds: np.ndarray, sieve: np.ndarray) -> tuple[np.
     return at[same], k[same]
 
 
-def seed_counts(documents: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """seed, n: places of each seed in all documents."""
-    distinct = np.unique(seeds)
-    sent = documents.sparkSession.sparkContext.broadcast(distinct)  # at most BLOCK values
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sieve = sent.value, _sieve(sent.value)
-        n = np.zeros(len(own), np.int64)
-        for batch in batches:
-            for _, _, data, offs in text_slices(text_column(batch)):
-                values, _ = shingles(*word_hashes(data, offs, punctuation=True), SEED)
-                n += np.bincount(_hits(values, own, sieve)[1], minlength=len(own))
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own[found].view(np.int64)), pa.array(n[found])], names=["seed", "n"])
-
-    return rows_of(documents).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(score, first word, end word) of the best local alignment of an item with a passage."""
     m = len(passage)
@@ -117,12 +99,17 @@ def _windows(diagonals: np.ndarray, size: int, n_words: int) -> list[tuple[int,
     return [tuple(w) for w in out]
 
 
-def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], rare: np.ndarray, threshold: float) -> DataFrame:
-    """Passages of the documents that align with one of the items; rare: sorted seeds to look for."""
+def _common(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words that an item and a passage have in common, repeated ones as often as both have them: an alignment matches no more."""
+    values, n = np.unique(item, return_counts=True)
+    k = np.minimum(np.searchsorted(values, passage), len(values) - 1)
+    return int(np.minimum(np.bincount(k[values[k] == passage], minlength=len(values)), n).sum())
+
+
+def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float) -> DataFrame:
+    """Passages of the documents that align with one of the items."""
     words = [w for _, w in items]
-    seeds, of, place = _seed_table(words)
-    keep = np.isin(seeds, rare)
-    sent = documents.sparkSession.sparkContext.broadcast(([i for i, _ in items], words, seeds[keep], of[keep], place[keep]))  # at most BLOCK words
+    sent = documents.sparkSession.sparkContext.broadcast(([i for i, _ in items], words, *_seed_table(words)))  # at most BLOCK words
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, seeds, of, place = sent.value
@@ -153,6 +140,8 @@ def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], rare: np.
                     own = hashes[bounds[d] : bounds[d + 1]]
                     best = (0, 0, 0)
                     for x, y in _windows(diagonal[a:b], len(words[i]), len(own)):
+                        if _common(words[i], own[x:y]) / len(words[i]) < threshold:
+                            continue
                         s, f, e = align(words[i], own[x:y])
                         best = max(best, (s, -(x + f), x + e))
                     score = best[0] / (MATCH * len(words[i]))
@@ -191,13 +180,7 @@ def passages(documents: DataFrame, benchmark: DataFrame, threshold: float = THRE
     small_batches(spark)
     out = None
     for items in _blocks(benchmark):
-        seeds, of, place = _seed_table([w for _, w in items])
-        counted = seed_counts(documents, seeds)
-        table = spark.createDataFrame(pa.table({"item": of, "place": place, "seed": seeds.view(np.int64)}))
-        ranked = table.join(counted, "seed", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "place")))
-        half = ranked.groupBy("item").agg(F.ceil(F.count("*") / 2).alias("half"))
-        rare = ranked.join(half, "item").where("rank <= half").select("seed").distinct().toArrow()  # at most BLOCK seeds
-        found = _search(documents, items, np.sort(rare.column(0).to_numpy().view(np.uint64)), threshold)
+        found = _search(documents, items, threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, passage string")

@@ -74,3 +74,22 @@ def test_short_items_and_empty_tables(spark):
     assert [(x["doc_id"], x["item_id"]) for x in got] == [(1, 7)]
     assert d.passages(docs, spark.createDataFrame([], ITEMS)).collect() == []
     assert d.passages(spark.createDataFrame([], DOCS), spark.createDataFrame([(7, "two words", "")], ITEMS)).collect() == []
+
+
+def test_edited_copies_whose_seeds_are_absent_or_frequent(spark):
+    r = random.Random(4)
+    items = [words(r, 40) for _ in range(2)]
+    edited = [[words(r, 1)[0] if j % 5 == 2 else w for j, w in enumerate(item)] for item in items]
+    rows = [(0, " ".join(edited[0])), (1, " ".join(words(r, 20) + edited[1] + words(r, 20)))]
+    rows += [(10 + i, " ".join(words(r, 5) + items[1][3:7] + items[1][8:12] + words(r, 5))) for i in range(30)]  # its seeds are frequent
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    got = d.passages(docs, spark.createDataFrame([(k, " ".join(w), "") for k, w in enumerate(items)], ITEMS)).collect()
+    assert {(x["doc_id"], x["item_id"], x["score"]) for x in got} == {(0, 0, 0.7), (1, 1, 0.7)}
+
+
+def test_common_words_bound_the_alignment():
+    r = random.Random(5)
+    for _ in range(300):
+        a = np.array([r.randrange(6) for _ in range(r.randint(1, 12))], np.uint64)
+        b = np.array([r.randrange(6) for _ in range(r.randint(1, 15))], np.uint64)
+        assert d.align(a, b)[0] <= d.MATCH * d._common(a, b)
