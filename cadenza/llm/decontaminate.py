@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The n-grams of an item are its seeds, and all
+Words are runs of ASCII letters, digits and non-ASCII characters, in Unicode's folded case. The n-grams of an item are its seeds, and all
 of them look for passages, frequent ones too: an edited copy may have kept no other. The benchmark is a stated query set: it
 goes over the documents in blocks of at most BLOCK words, each a table of that bounded size. Where a seed meets a document, the
 words around it are aligned with the item: MATCH for equal words, MISMATCH and GAP otherwise. The score is the best local
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import materialize, rows_of, small_batches, text_column, text_slices
-from cadenza.llm.words import shingles, word_hashes, word_spans
+from cadenza.llm.shared import materialize, rows_of, small_batches, text_column
+from cadenza.llm.words import folded, folded_slices, shingles, word_hashes, word_spans
 
 SEED, THRESHOLD = 3, 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -115,12 +115,12 @@ def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], threshold
         ids, words, seeds, of, place = sent.value
         sieve = _sieve(seeds)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs, texts = batch.column(0).to_pylist(), text_column(batch)
             rows = []
-            for lo, _, data, offs in text_slices(text_column(batch)):
-                hashes, starts, ends = word_spans(data, offs, punctuation=True)
-                bounds = np.searchsorted(starts, offs)
-                values, n = shingles(hashes, np.diff(bounds), SEED)
+            for lo, _, data, offs in folded_slices(texts):
+                hashes, counts = word_hashes(data, offs, punctuation=True)
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                values, n = shingles(hashes, counts, SEED)
                 at, k = _hits(values, seeds, sieve)
                 if not len(at):
                     continue
@@ -147,7 +147,9 @@ def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], threshold
                     score = best[0] / (MATCH * len(words[i]))
                     if score >= threshold:
                         f, e = -best[1], best[2]
-                        text = data[starts[bounds[d] + f] : ends[bounds[d] + e - 1]].tobytes().decode("utf-8", "replace")
+                        raw = np.frombuffer(texts[lo + d].as_buffer(), np.uint8)  # folding keeps the number of words
+                        _, starts, ends = word_spans(raw, np.array([0, len(raw)]), punctuation=True)
+                        text = raw[starts[f] : ends[e - 1]].tobytes().decode("utf-8", "replace")
                         rows.append((docs[lo + d], ids[i], score, f, e, text))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
@@ -161,7 +163,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        raw = np.frombuffer(r["text"].encode("utf-8"), np.uint8)
+        raw = np.frombuffer(folded(r["text"].encode("utf-8")), np.uint8)
         words, _ = word_hashes(raw, np.array([0, len(raw)]), punctuation=True)
         if not len(words):
             continue

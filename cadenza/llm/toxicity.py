@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one word between them of a text, hashed to SIZE values.
+Features are the distinct words, word pairs and pairs with one word between them of a text in Unicode's folded case, hashed to SIZE values.
 Per-coordinate rates and L1 leave few weights above zero; they are found by one task on a sample of at most SAMPLE
 labelled rows (a parameter) and travel to the scoring tasks as a table of at most SIZE rows. All texts are scored whole.
 
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import rows_of, small_batches, text_column, text_slices
-from cadenza.llm.words import mix, word_hashes
+from cadenza.llm.shared import rows_of, small_batches, text_column
+from cadenza.llm.words import folded_slices, mix, word_hashes
 
 SIZE = 1 << 20
 #: Labelled rows that training takes at most, by the order of a hash of doc_id, and passes over them.
@@ -75,7 +75,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
-            for lo, hi, data, offs in text_slices(text_column(batch)):
+            for lo, hi, data, offs in folded_slices(text_column(batch)):
                 found, row = features(data, offs)
                 key = np.unique((row << 32) | (found + 1))
                 lists += np.split((key & 0xFFFFFFFF).astype(np.int32), np.searchsorted(key >> 32, np.arange(1, hi - lo)))
@@ -118,7 +118,7 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
         some = table != 0
         for batch in batches:
             sums = np.full(batch.num_rows, bias)
-            for lo, hi, data, offs in text_slices(text_column(batch)):
+            for lo, hi, data, offs in folded_slices(text_column(batch)):
                 found, row = features(data, offs)
                 hit = some[found]
                 key = np.unique((row[hit] << 32) | found[hit])

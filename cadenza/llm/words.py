@@ -6,7 +6,12 @@ hash is the polynomial of its bytes' values modulo 2**64, finished by a bijectiv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+from cadenza.llm.shared import text_slices
 
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
@@ -24,6 +29,21 @@ _powers: dict[int, np.ndarray] = {}
 ROW = np.uint64(0xD6E8FEB86659FD93)
 
 
+def folded(text: bytes) -> bytes:
+    """UTF-8 text in Unicode's full case folding, which makes and removes no ASCII punctuation or space."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+
+
+def folded_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As text_slices, with texts in folded case: their words are the same ones, their bytes may differ in number."""
+    for lo, hi, data, offs in text_slices(column):
+        raw = data.tobytes()
+        if not raw.isascii():
+            texts = [folded(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        yield lo, hi, data, offs
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

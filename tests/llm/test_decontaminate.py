@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from cadenza.llm import decontaminate as d
+from cadenza.llm.words import folded
 
 DOCS = "doc_id long, text string, item_id string, score string"
 ITEMS = "item_id long, text string, doc_id string"
@@ -93,3 +94,17 @@ def test_common_words_bound_the_alignment():
         a = np.array([r.randrange(6) for _ in range(r.randint(1, 12))], np.uint64)
         b = np.array([r.randrange(6) for _ in range(r.randint(1, 15))], np.uint64)
         assert d.align(a, b)[0] <= d.MATCH * d._common(a, b)
+
+
+def test_case_is_folded_beyond_ascii(spark):
+    item = "Él número señaló después Größe daß être Œuvre ΣΊΣΥΦΟΣ Жизнь número años"
+    rows = [(0, item.upper()), (1, "antes: " + item.lower() + " luego"), (2, item.title()), (3, "ÉL NÚMERO")]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    got = {x["doc_id"]: x for x in d.passages(docs, spark.createDataFrame([(7, item, "")], ITEMS)).collect()}
+    assert {i: x["score"] for i, x in got.items()} == {0: 1.0, 1: 1.0, 2: 1.0}
+    assert got[0]["passage"] == item.upper() and got[1]["passage"] == item.lower()
+
+
+def test_folding_keeps_word_bounds():
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        assert all(x == c or x.isalnum() or ord(x) > 127 for x in folded(c.encode()).decode())

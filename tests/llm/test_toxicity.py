@@ -55,3 +55,12 @@ def test_features_of_a_text():
     found, row = t.features(data, np.array([0, 7, 10]))
     assert np.bincount(row).tolist() == [3 + 2 + 1, 2 + 1]
     assert len(set(found[row == 1]) & set(found[row == 0])) == 3
+
+
+def test_case_is_folded_beyond_ascii(spark):
+    rows, labels = corpus(300)
+    rows = [(i, x.replace("awful", "écœurant").replace("HORRID", "hässlich"), a, b) for i, x, a, b in rows]
+    weights = t.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = [(1, "plain river écœurant hässlich stone"), (2, "plain river ÉCŒURANT HÄSSLICH stone")]
+    got = {r["doc_id"]: r["score"] for r in t.score(spark.createDataFrame([(i, x, "", "") for i, x in new], SCHEMA), weights).collect()}
+    assert got[1] == got[2] > 0.5
