@@ -9,8 +9,10 @@ joining the n-gram counts of the documents with the model instead.
 
 A document's score is its perplexity per symbol over its whole text, shrunk towards the trusted mean by PRIOR symbols so that
 texts of a few words are not judged by chance. A document is rejected above the HIGH quantile of the trusted documents of
-its language times SLACK, or below their LOW quantile over SLACK (endless repetition is all too likely); a language without
-trusted documents takes the quantiles of all of them.
+its language times SLACK, or below their LOW quantile over SLACK; a language without trusted documents takes the quantiles of
+all of them. A repeated word is as likely to the model as the word itself, so repetition has a measure of its own: the share
+of a text's word pairs that it holds for the first time, PAIRS new ones added to both counts. Below the LOW quantile of the
+trusted documents over SLACK the document is rejected. Words are separated by white space; repetition without any is not seen.
 
 Null and empty texts have the trusted mean and are kept. Without any trusted text every document is kept with a null
 perplexity. Repeated rows are scored each; a null language is a language of its own.
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import materialize, rows_of, small_batches, text_column, text_slices, with_ids
+from cadenza.llm.words import ROW, mix, word_hashes
 
 CLASSES, ORDER = 64, 4
 PRIOR, LOW, HIGH, SLACK = 80, 0.0005, 0.995, 1.06
+PAIRS = 20
 _START = 0
 
 
@@ -137,24 +141,37 @@ def expand(table: pa.Table) -> np.ndarray:
     return np.log2(np.maximum(below, 1e-12, out=below), out=below)
 
 
+def fresh(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The share of each text's word pairs that are new in it, with PAIRS new ones added."""
+    hashes, n = word_hashes(data, offs)
+    row = np.repeat(np.arange(len(n)), n)
+    same = row[1:] == row[:-1]
+    of = row[1:][same]
+    pairs = mix(hashes[:-1] * ROW + hashes[1:])[same] ^ mix(of.astype(np.uint64) + ROW)
+    new = of[np.unique(pairs, return_index=True)[1]]
+    return (np.bincount(new, minlength=len(n)) + PAIRS) / (np.bincount(of, minlength=len(n)) + PAIRS)
+
+
 def perplexity(documents: DataFrame, table: pa.Table, *more: str) -> DataFrame:
-    """doc_id, `more`, n_symbols, bits (all of a text's symbols together) of every document."""
+    """doc_id, `more`, n_symbols, bits (all of a text's symbols together), fresh of every document."""
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(table)  # at most CLASSES**ORDER rows
-    schema = "doc_id long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*more).schema.fields) + "n_symbols long, bits double"
+    schema = "doc_id long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*more).schema.fields) + "n_symbols long, bits double, fresh double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = expand(sent.value)
         for batch in batches:
             bits = np.zeros(batch.num_rows)
             size = np.zeros(batch.num_rows, np.int64)
+            new = np.ones(batch.num_rows)
             for lo, hi, data, offs in text_slices(text_column(batch)):
                 codes, bounds = gram_codes(data, offs)
                 total = np.concatenate([[0.0], np.cumsum(logs[codes], dtype=np.float64)])
                 bits[lo:hi] = -np.diff(total[bounds])
                 size[lo:hi] = np.diff(bounds)
+                new[lo:hi] = fresh(data, offs)
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(size), pa.array(bits)], names=["doc_id", *more, "n_symbols", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(size), pa.array(bits), pa.array(new)], names=["doc_id", *more, "n_symbols", "bits", "fresh"])
 
     return rows_of(documents, *more).mapInArrow(score, schema)
 
@@ -199,13 +216,16 @@ def classify(documents: DataFrame, labels: DataFrame, low: float = LOW, high: fl
     mean = (whole[0] or 0.0) / max(whole[1] or 0, 1)
     scored = scored.withColumn("perplexity", F.pow(F.lit(2.0), (F.col("bits") + prior * mean) / (F.col("n_symbols") + prior)))
     limits = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(100_000)).alias("limits")
-    by_lang = scored.where("trusted").groupBy("lang").agg(limits)
-    overall = scored.where("trusted").agg(limits).first()[0] or [None, None]
+    least = F.percentile_approx("fresh", F.lit(low), F.lit(100_000)).alias("least")
+    by_lang = scored.where("trusted").groupBy("lang").agg(limits, least)
+    whole = scored.where("trusted").agg(limits, least).first()
+    overall = whole[0] or [None, None]
     few = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
     joined = scored.join(few.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left")
     lo = F.coalesce(F.col("limits")[0], F.lit(overall[0]).cast("double")) / slack
     hi = F.coalesce(F.col("limits")[1], F.lit(overall[1]).cast("double")) * slack
-    kept = F.coalesce(F.col("perplexity").between(lo, hi), F.lit(True))
+    new = F.col("fresh") >= F.coalesce(F.col("least"), F.lit(whole[1]).cast("double")) / slack
+    kept = F.coalesce(F.col("perplexity").between(lo, hi), F.lit(True)) & F.coalesce(new, F.lit(True))
     return joined.select("doc_id", "lang", "n_symbols", "perplexity", lo.alias("low"), hi.alias("high"), kept.alias("kept"))
 
 

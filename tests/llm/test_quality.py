@@ -91,3 +91,13 @@ def test_without_trusted_text_and_empty_table(spark, rows):
     assert all(r["kept"] and r["perplexity"] is None for r in q.classify(df, none).collect())
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert q.classify(spark.createDataFrame([], SCHEMA), labels).collect() == []
+
+
+def test_repetition_is_rejected_whatever_the_word(spark):
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice(["ri", "ver", "sto", "ne", "co", "ld", "gre", "y", "wa", "s"]) for _ in range(r.randint(1, 5))) for _ in range(400)]
+    good = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(30, 120))), "en", "") for i in range(120)]
+    bad = [(1000 + i, " ".join([w] * 200), "en", "") for i, w in enumerate(vocabulary[:100])]
+    bad += [(2000, " ".join(" ".join(vocabulary[:7]) for _ in range(60)), "xx", "")]
+    got = {x["doc_id"]: x["kept"] for x in q.classify(spark.createDataFrame(good + bad, SCHEMA), spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert not any(got[i] for i, *_ in bad) and sum(got[i] for i in range(120)) >= 116
