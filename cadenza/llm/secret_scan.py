@@ -3,12 +3,12 @@
 Base spans come from three patterns (assignments, access keys, long hex). Positions are code points, found by splitting the
 text at a pattern and adding up the lengths of pieces and matches.
 
-The method adds tokens that look random. A candidate is a run of at least LEAST encoding characters with a digit in it, outside
+The method adds tokens that look random. A candidate is a run of at least LEAST encoding characters outside
 base spans; its encoding is the smallest that fits (decimal, hex, base 32, base 64). Three statistics test it against
 structured text as the null hypothesis:
 
 * the chi-squared distance of its symbols from a uniform alphabet, which for text grows with the length (noncentrality SHAPE a symbol),
-* the runs of character classes (lower, upper, digit, mark), of which text has few (TURNS a step),
+* the runs of character classes (lower, upper, digit, mark; low and high digits in a decimal), of which text has few (TURNS a step),
 * the serial correlation of its symbol values, which text has (CARRY).
 
 Each gives a normal score in favour of randomness; Stouffer's sum gives one p-value per candidate. Longer candidates carry more
@@ -33,11 +33,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "random"]
 LEAST = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
 ALPHA, BINS, STEP = 0.01, 4000, 0.01
-SHAPE = {"hex": 1.2, "base32": 1.6, "base64": 3.2}
+SHAPE = {"decimal": 0.6, "hex": 1.2, "base32": 1.6, "base64": 3.2}
 TURNS, CARRY = 0.25, 0.35
-_ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
+_ALPHABETS = {"decimal": "0123456789", "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
 
 
 def _found(text: str, pattern: str, group: int = 0) -> Column:
@@ -80,7 +80,7 @@ def _phi(z: Column) -> Column:
 
 def _score(token: Column) -> Column:
     """The p-value of a candidate against structured text."""
-    whole = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
+    whole = F.when(token.rlike("^[0-9]+$"), F.lit("decimal")).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
 
     def by(values: dict) -> Column:
         return reduce(lambda c, k: c.when(whole == k, F.lit(values[k])), list(values)[1:], F.when(whole == list(values)[0], F.lit(values[list(values)[0]])))
@@ -94,7 +94,8 @@ def _score(token: Column) -> Column:
     freedom = size - 1
     chi = size / n * squares - n
     z_chi = (freedom + n * shape - chi) / F.sqrt(2 * (freedom + 2 * n * shape))
-    kinds = F.split(F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "+/-_", "mmmm"), "", -1)
+    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "+/-_", "mmmm")
+    kinds = F.split(F.when(whole == "decimal", F.translate(token, "0123456789", "lllllhhhhh")).otherwise(classes), "", -1)
     pairs = F.arrays_zip(F.slice(kinds, F.lit(1), F.size(kinds) - 1).alias("x"), F.slice(kinds, F.lit(2), F.size(kinds) - 1).alias("y"))
     turns = F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))
     z_runs = (turns - (n - 1) * TURNS) / F.sqrt((n - 1) * (TURNS * (1 - TURNS)))
@@ -106,8 +107,7 @@ def _score(token: Column) -> Column:
     serial = F.when(power > 0, F.aggregate(after, F.lit(0.0), lambda s, v: s + v) / power).otherwise(F.lit(1.0))
     z_serial = (CARRY - F.abs(serial)) * F.sqrt(n)
     z = (z_chi + z_runs + z_serial) / 3**0.5
-    decimal = token.rlike("^[0-9]+$")
-    return F.when(decimal, F.lit(1.0)).otherwise(_phi(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))))
+    return _phi(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)))
 
 
 def candidates(scanned: DataFrame) -> DataFrame:

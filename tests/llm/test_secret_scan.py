@@ -69,3 +69,15 @@ def test_no_python_on_the_main_path(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_random_letters_and_digits_are_candidates(spark):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secrets = ["".join(r.choice(letters) for _ in range(40)) for _ in range(40)] + ["".join(r.choice("0123456789") for _ in range(30)) for _ in range(40)]  # 32 and more are base spans
+    plain = ["".join(r.choice(["the", "ing", "er", "on", "at", "ti", "re"]) for _ in range(12)) for _ in range(80)]
+    plain += ["0" * 30, "1234567890" * 3, "20240101000000" * 2, "K" * 40, "_" * 60, "-" * 80]
+    rows = [(i, f"see {t} there") for i, t in enumerate(secrets + plain)]
+    got = {x["doc_id"]: x["n_random"] for x in scan(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()}
+    assert sum(got[i] for i in range(40)) >= 36 and sum(got[i] for i in range(40, 80)) >= 30
+    assert sum(got[i] for i in range(80, len(rows))) <= 2
