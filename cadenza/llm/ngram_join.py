@@ -5,10 +5,10 @@ their sets reaches num/den. Two sets that similar share a member of their prefix
 members) under every order of the shingles. The steps:
 
 1. Texts with equal sets form one class; only the class representative (smallest doc_id) goes on.
-2. Frequent shingles are counted over all documents: an order that puts them last keeps shared passages out of the
-   prefixes. The list only shapes the order, never the result; it holds at most HOT rows.
-3. Prefix members under the first order are joined on the shingle. A pair is looked at when sizes and the positions of
-   the shared shingle allow the similarity.
+2. Frequent shingles are counted over all documents, in packed runs (`runs`): an order that puts them last keeps shared
+   passages out of the prefixes. The list only shapes the order, never the result; it holds at most HOT rows.
+3. Prefix members under the first order that more than one class has are found the same way; only their rows are joined on the
+   shingle. A pair is looked at when sizes and the positions of the shared shingle allow the similarity.
 4. Before the exact check a pair must also share a prefix member under the second and the third order, and the members in a
    fixed share of the hash range may differ by no more than whole sets of that similarity may.
 5. `components` first checks every group's members against one leader and merges what links; then all remaining
@@ -16,7 +16,9 @@ members) under every order of the shingles. The steps:
 
 Null texts and texts without words have an empty set: size 0, linked with nothing. Texts of fewer than k words have
 one shingle for the whole sequence. Repeated rows belong to the same class; a doc_id names one node, a null one links with nothing.
-Hash values stand for shingles; equal sets are recognised by a 128-bit digest of the sorted values.
+Texts are taken whole whatever their length, one set at a time. Ties: of equal sets the smallest doc_id stands for the class, of equally
+early members of a group the one with the smallest doc_id leads. An empty table gives no rows. Columns besides doc_id and text are
+ignored, whatever their names. Hash values stand for shingles; equal sets are recognised by a 128-bit digest of the sorted values.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components as connect
-from cadenza.llm.shared import BROADCAST_IDS, materialize, rows_of, small_batches, text_column, text_slices, trim, with_ids
+from cadenza.llm.runs import RUN_VALUES, Tally, dealt, tallied
+from cadenza.llm.shared import BROADCAST_IDS, discard, lean, materialize, rows_of, small_batches, text_column, text_slices, trim, with_ids
 from cadenza.llm.words import mix, shingles, word_hashes
 
 #: Rows of the list of frequent shingles (8 bytes each), and documents from which a shingle is frequent.
 HOT, FREQUENT = 1_000_000, 12
-#: Values that a counting task gathers before it merges them.
-MERGED = 2_000_000
+#: Bytes of text for each shingle, at least: sizes the counting parts and the bits by which shingles are told apart there.
+SHINGLE_BYTES = 4
 #: Share of the hash range whose members are compared before whole sets are.
 SHARE = 0.2
 _ORDERS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xC6A4A7935BD1E995, 0x2545F4914F6CDD1D)]
@@ -51,82 +54,72 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(values[e - m : e])
 
 
-def frequent_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """Sorted 40-bit values of shingles that at least FREQUENT documents have, the HOT most frequent ones.
+def _parts(values: float) -> tuple[int, int]:
+    """(parts, bits) in which so many values are counted: a run's worth a part, and few false meetings in the bits."""
+    return max(64, int(values // RUN_VALUES) + 1), min(60, max(32, int(values).bit_length() + 8))
 
-    Each shingle of each document moves once, as 40 bits of its hash packed by the partition that counts it; a partition merges
-    its counts as they come. Two shingles that share these bits only share a place in the order.
-    """
-    spark = documents.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * tasks  # several a task, so that their sizes even out
+
+def _recurring(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: tuple[int, int], least: int) -> DataFrame:
+    """value, n of the values below 2**bits that at least `least` rows have."""
+    parts, bits = size
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(parts, bits)
         for batch in batches:
-            values = _brief(np.concatenate([*(s for _, s in _sets(text_column(batch), k)), np.zeros(0, np.uint64)]))
-            part = (values % np.uint64(parts)).astype(np.int32)
-            values = values[np.argsort(part, kind="stable")]
-            low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint8)
-            ends = np.cumsum(np.bincount(part, minlength=parts))
-            blobs = [low[e - n : e].tobytes() + high[e - n : e].tobytes() for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["part", "tokens"])
-            trim()
+            for values in values_of(batch):
+                for part, blob in tally.add(values):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "run"])
+        found = list(tally.flush())
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["part", "run"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, n, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for batch in batches:
-            for blob in batch.column(1):
-                b = blob.as_py()
-                m = len(b) // 5
-                fresh.append(np.frombuffer(b, np.uint32, m) | (np.frombuffer(b, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32)))
-                size += m
-                if size > max(len(values), MERGED):
-                    values, n = _merged(values, n, fresh)
-                    size = 0
-                    trim()
-        values, n = _merged(values, n, fresh)
-        keep = n >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
-
-    dealt = rows_of(documents).mapInArrow(deal, "part int, tokens binary").where(F.length("tokens") > 0)
-    total = dealt.repartition(tasks, "part").mapInArrow(count, "token long, n long")
-    top = total.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each run of equal values, its length) of a sorted array."""
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return starts, np.diff(starts, append=len(values))
-
-
-def _merged(values: np.ndarray, n: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted values with their counts, those of `fresh` (emptied) added."""
-    more = np.concatenate([*fresh, np.zeros(0, np.uint64)])
-    fresh.clear()
-    more.sort()
-    starts, m = _runs(more)
-    if not len(values):
-        return more[starts], m
-    both, counts = np.concatenate([values, more[starts]]), np.concatenate([n, m])
-    order = np.argsort(both, kind="stable")
-    both, counts = both[order], counts[order]
-    starts, _ = _runs(both)
-    return both[starts], np.add.reduceat(counts, starts)
-
-
-def _brief(values: np.ndarray) -> np.ndarray:
-    """40 bits of each shingle, by which frequent ones are listed."""
-    return mix(values ^ _ORDERS[0]) >> np.uint64(24)
-
-
-def _order(values: np.ndarray, hot: np.ndarray, which: int) -> np.ndarray:
+        for _, values, n in tallied(batches):
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].view(np.int64))], names=["value", "n"])
+
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 16)
+    return dealt(rows.mapInArrow(lean(deal), "part int, run binary"), tasks).mapInArrow(lean(count), "value long, n long")
+
+
+def frequent_shingles(documents: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """(sorted brief values of shingles that at least FREQUENT documents have, the HOT most frequent ones; their bits).
+
+    Two shingles that share these bits only share a place in the order.
+    """
+    rows = rows_of(documents)
+    size = _parts((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHINGLE_BYTES)
+
+    def values_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        held, n = [], 0
+        for _, s in _sets(text_column(batch), k):
+            held.append(s)
+            n += len(s)
+            if n > 1 << 17:
+                yield _brief(np.concatenate(held), size[1])
+                held, n = [], 0
+        if held:
+            yield _brief(np.concatenate(held), size[1])
+
+    top = _recurring(rows, values_of, size, FREQUENT).orderBy(F.desc("n"), "value").limit(HOT).select("value").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64)), size[1]
+
+
+def _brief(values: np.ndarray, bits: int) -> np.ndarray:
+    """Some bits of each shingle, by which frequent ones are listed."""
+    return mix(values ^ _ORDERS[0]) >> np.uint64(64 - bits)
+
+
+Hot = tuple[np.ndarray, int]
+
+
+def _order(values: np.ndarray, hot: Hot, which: int) -> np.ndarray:
     """The members of a set in a global order: frequent ones last, else by a hash."""
     rank = mix(values ^ _ORDERS[which]) >> np.uint64(1)
-    if len(hot):
-        own = _brief(values)
-        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-        rank |= (hot[at] == own).astype(np.uint64) << np.uint64(63)
+    listed, bits = hot
+    if len(listed):
+        own = _brief(values, bits)
+        at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+        rank |= (listed[at] == own).astype(np.uint64) << np.uint64(63)
     return np.argsort(rank, kind="stable")
 
 
@@ -134,7 +127,7 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def signatures(documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+def signatures(documents: DataFrame, k: int, num: int, den: int, hot: Hot) -> DataFrame:
     """doc_id, n_shingles, digest of the set, prefix (in order) under the first order."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +142,7 @@ def signatures(documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), listed], names=["doc_id", "n_shingles", "digest", "prefix"])
             trim()
 
-    return rows_of(documents).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    return rows_of(documents).mapInArrow(lean(sign), "doc_id long, n_shingles long, digest binary, prefix array<long>")
 
 
 def _build(rows: DataFrame, k: int, columns: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
@@ -173,7 +166,7 @@ def _build(rows: DataFrame, k: int, columns: dict[str, tuple[str, Callable[[np.n
             trim()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first) + ", n_set long" + "".join(f", {c} array<{kind}>" for c, (kind, _) in columns.items())
-    return rows.mapInArrow(build, schema)
+    return rows.mapInArrow(lean(build), schema)
 
 
 def _feasible(n_a: str, pos_a: str, n_b: str, pos_b: str, num: int, den: int) -> F.Column:
@@ -193,7 +186,7 @@ def _sides(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: Hot) -> DataFrame:
     """The pairs (a, b) that pass the filters of the second and third order and of the share of the hash range."""
     below = np.uint64(int(SHARE * 2**64))
     columns = {
@@ -208,7 +201,7 @@ def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int
     return both.where((num + den) * apart <= (den - num) * (F.col("n_set_a") + F.col("n_set_b"))).select("a", "b").distinct()
 
 
-def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: Hot) -> DataFrame:
     """The pairs (a, b) that link: filtered, then counted exactly on whole sets.
 
     For the count each side's sets are built where its texts are read and move once, to the pairs of their `a`.
@@ -236,18 +229,33 @@ class _Candidates:
         self.documents, self.k, self.num, self.den = documents, k, num, den
         self.hot = frequent_shingles(documents, k)
         self.signed = materialize(signatures(documents, k, num, den, self.hot), "signatures")
-        self.classes = self.signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"))
+        # classes of one text need no row; the others are joined as a table of their own, whose skewed keys can be split
+        classes = self.signed.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("texts"))
+        self.classes = materialize(classes.where("texts > 1").drop("texts"), "classes")
         named = self.signed.select("doc_id", "n_shingles", "digest").join(self.classes, ["digest", "n_shingles"])
         again = materialize(named.where("doc_id <> node").select("doc_id", "digest").distinct(), "again")
         few = again.limit(BROADCAST_IDS // 2).count() < BROADCAST_IDS // 2
-        first = self.signed.join(F.broadcast(again) if few else again, ["doc_id", "digest"], "left_anti")
+        first = self.signed.where("n_shingles > 0").join(F.broadcast(again) if few else again, ["doc_id", "digest"], "left_anti")
         if self._repeated():
             first = first.dropDuplicates(["doc_id", "digest"])
-        prefixes = first.where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-        group = Window.partitionBy("token")
-        leader = F.min(F.struct("pos", "node", "n")).over(group)
-        shared = prefixes.withColumns({"rows": F.count("*").over(group), "leader": leader}).where("rows > 1").drop("rows")
-        self.shared = materialize(shared, "shared")
+        first = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix")
+        members = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        tokens = self._shared_tokens(first)
+        few = tokens.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        members = materialize(members.join(F.broadcast(tokens) if few else tokens, "token", "left_semi"), "members")
+        leaders = members.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "node", "n")).alias("leader"))
+        leaders = materialize(leaders.where("rows > 1").drop("rows"), "leaders")
+        self.shared = members.join(leaders, "token")
+
+    def _shared_tokens(self, first: DataFrame) -> DataFrame:
+        """token: the prefix members that more than one class has."""
+        total = first.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        parts, _ = _parts(total)
+
+        def values_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+        return materialize(_recurring(first.select("prefix"), values_of, (parts, 64), 2).select(F.col("value").alias("token")), "tokens")
 
     def _repeated(self) -> bool:
         return not self.signed.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -266,7 +274,7 @@ class _Candidates:
         rows = self.shared.drop("leader")
         if labels is not None:
             rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-            mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+            mixed = materialize(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed-tokens")
             rows = materialize(rows.join(mixed, "token"), "mixed")
         else:
             rows = rows.withColumn("label", F.col("node"))
@@ -279,8 +287,9 @@ class _Candidates:
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, node (the representative of its class)."""
-        named = self.signed.select("doc_id", "n_shingles", "digest").join(self.classes, ["digest", "n_shingles"])
-        return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
+        few = self.classes.limit(BROADCAST_IDS // 2).count() < BROADCAST_IDS // 2
+        named = self.signed.select("doc_id", "n_shingles", "digest").join(F.broadcast(self.classes) if few else self.classes, ["digest", "n_shingles"], "left")
+        return named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
 
 
 def similar_pairs(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:

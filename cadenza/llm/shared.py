@@ -1,22 +1,29 @@
-"""Spark plumbing used by every operator here: shared storage, Arrow batches, shuffle widths."""
+"""Spark plumbing used by every operator here: shared storage, Arrow batches, worker memory, id filters."""
 
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "file:///tmp/checkpoints"
+#: Where spark.checkpoint.dir is unset and the session runs on one machine only (tests).
+LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a default where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder all executors see: spark.checkpoint.dir. Only a local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return LOCAL_SHARED
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
@@ -24,19 +31,62 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def trim() -> None:
-    """Give freed memory of a worker back to the system; the C library else keeps what large arrays took."""
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables; nothing that is still to be computed may read them."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _M_ARENA_MAX = -1, -3, -8
+
+
+@functools.cache
+def _frugal_allocator():
+    """The C library, told to give every freed block of 256 KiB and more back at once."""
     libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(_M_MMAP_THRESHOLD, 1 << 18)
+        libc.mallopt(_M_TRIM_THRESHOLD, 1 << 20)
+        libc.mallopt(_M_ARENA_MAX, 2)
+    return libc
+
+
+def trim() -> None:
+    """Give freed memory of a worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = _frugal_allocator()
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A mapInArrow function after which its worker, kept for the next task, holds no memory of this one."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal_allocator()
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes so that long texts don't pile up in one batch."""
+    """Bound the Arrow batches by rows and bytes, so that long texts don't pile up in one batch.
+
+    The settings are read when a plan runs, so they stay in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 #: Ids that may be broadcast to filter a scan (8 bytes each); a longer list is joined by a shuffle.
