@@ -7,7 +7,9 @@ are replaced by numbers of their own. Two texts are equal when their ordered ide
 identifiers move between tasks, never texts.
 
 Null counts as empty; empty and all-space texts are texts like any other. Repeated rows are rows of one group; of rows
-with the same smallest doc_id all are kept. Long texts are cut into chunks of at most MOST bytes.
+with the same smallest doc_id all are kept. A row with a null doc_id is a copy of any row of its group that has one; a group without
+any keeps all its rows, with a null keep_id. Long texts are cut into chunks of at most MOST bytes. An empty table gives no rows.
+Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import materialize, small_batches, text_column
+from cadenza.llm.shared import BROADCAST_IDS, lean, materialize, small_batches, text_column
 
 #: A chunk ends where so many bits of the rolling hash are zero (2 KiB on average), within these lengths.
 BITS, LEAST, MOST = 11, 256, 65_536
@@ -78,7 +80,7 @@ def recipes(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), listed], names=["doc_id", "text_sha256", "chunks"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cook, "doc_id long, text_sha256 string, chunks array<struct<id:long,rest:binary,size:long>>")
+    return rows.mapInArrow(lean(cook), "doc_id long, text_sha256 string, chunks array<struct<id:long,rest:binary,size:long>>")
 
 
 def verified(cooked: DataFrame) -> DataFrame:
@@ -103,8 +105,12 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     rows = verified(materialize(recipes(documents), "recipes"))
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, "recipe")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    # only texts that others equal are joined, as a table of its own: a group of any size is then split or not moved at all
+    groups = materialize(groups.where("group_size > 1"), "groups")
+    ids = groups.agg(F.sum(F.size("recipe") + 4)).first()[0] or 0
+    joined = rows.join(F.broadcast(groups) if ids <= BROADCAST_IDS else groups, "recipe", "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

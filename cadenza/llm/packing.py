@@ -7,7 +7,13 @@ fillings of a sequence around its largest piece, with runs of equal sequences ta
 with multiplicities, is as small as the histogram. Pieces then find their place by their rank among the pieces of
 their length: ranks come from counts per (length, salt), so no task holds one length whole.
 
-Null or empty texts are one piece of one id (the end id). Repeated rows are packed each. Empty tables give no rows.
+The search has a budget of NODES steps, whatever the histogram; without one (`nodes=None`) it ends only with a proof that no plan has fewer
+sequences. Where it meets the lower bound, as best fit alone does on large histograms, the plan is optimal anyway. No budget ever drops a piece:
+the best plan so far stands.
+
+Null or empty texts are one piece of one id (the end id). Texts are cut whole, however long. Repeated rows are packed each; pieces of
+one length are alike, ties in their ranks change nothing but which of them lies where. Empty tables give no rows. Columns besides
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,19 +21,22 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import materialize, small_batches, text_column, text_slices
+from cadenza.llm.shared import lean, materialize, small_batches, text_column, text_slices
 from cadenza.llm.token_counts import RUN, encoder, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes of the search and fillings looked at in each, after which the best solution so far stands.
-NODES, WIDTH = 3000, 16
+#: Steps of the search (looks at fillings, and eight lengths of a node's bound each), after which the best solution so far stands.
+NODES = 200_000
+#: Fillings that are found before the fullest of them is tried.
+LOT = 64
 #: Pieces of one length and salt, on average, in the largest possible class.
 SALT_ROWS = 50_000
 
@@ -72,35 +81,45 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(n, items) for left in room for items, n in groups[left]]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated ways to fill `room`, fullest first: no further piece fits, and none packs inside another."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    looked = 0
-
-    def grow(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal looked
-        looked += 1
-        if looked > 40 * width or len(found) > 8 * width:
-            return
-        open_ = False
-        k = bisect_left(lengths, -left, lo=start)
-        for j in range(k, len(lengths)):
-            x = -lengths[j]
-            if chosen.count(x) < counts[x]:
-                open_ = True
-                grow(j, left - x, (*chosen, x))
-                if x == left or looked > 40 * width or len(found) > 8 * width:
-                    return
-        if not open_ and next((-x > left for x in reversed(lengths) if chosen.count(-x) < counts[-x]), True):
-            found.append((left, chosen))
-
-    grow(0, room, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
+def fillings(lengths: list[int], counts: dict[int, int], room: int, steps: Iterator[int]) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated ways to fill `room`, found one by one, the fullest of every LOT first: no further piece fits, and none packs inside an earlier one.
+
+    lengths: sorted negative lengths. steps: the budget, one step a look; it ends early once the budget is spent.
+    """
     kept: list[tuple[int, ...]] = []
-    for _, f in found:
-        if len(kept) < width and not any(_packs_into(f, g) for g in kept):
-            kept.append(f)
-    return [tuple((x, f.count(x)) for x in sorted(set(f), reverse=True)) for f in kept] or [()]
+    lot: list[tuple[int, ...]] = []
+
+    def children(start: int, left: int, chosen: tuple[int, ...]) -> Iterator[int]:
+        for j in range(bisect_left(lengths, -left, lo=start), len(lengths)):
+            if chosen.count(-lengths[j]) < counts[-lengths[j]]:
+                yield j
+                if -lengths[j] == left:
+                    return  # a piece of exactly this length dominates all smaller ones in its place
+
+    def chosen_ones() -> Iterator[tuple[tuple[int, int], ...]]:
+        for f in sorted(lot, key=lambda f: (-sum(f), len(f))):
+            if not any(_packs_into(f, g) for g in kept):
+                kept.append(f)
+                yield tuple((x, f.count(x)) for x in sorted(set(f), reverse=True))
+        lot.clear()
+
+    frames: list[list] = [[children(0, room, ()), room, (), True]]
+    while frames and next(steps, None) is not None:
+        frame = frames[-1]
+        j = next(frame[0], None)
+        if j is None:
+            frames.pop()
+            _, left, chosen, leaf = frame
+            if leaf and next((-x > left for x in reversed(lengths) if chosen.count(-x) < counts[-x]), True):
+                lot.append(chosen)
+                if len(lot) == LOT:
+                    yield from chosen_ones()
+            continue
+        frame[3] = False
+        x = -lengths[j]
+        left, chosen = frame[1] - x, (*frame[2], x)
+        frames.append([children(j, left, chosen), left, chosen, True])
+    yield from chosen_ones()
 
 
 def _packs_into(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
@@ -125,60 +144,47 @@ def _packs_into(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
-    """Bin completion on a histogram of lengths: as few sequences as the search finds, best fit to begin with."""
+def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[list[Pattern], bool]:
+    """(plan, whether it is proved to have the fewest sequences) by bin completion on a histogram of lengths; nodes None: no budget."""
     counts = {int(k): int(v) for k, v in counts.items() if v > 0}
-    if not counts:
-        return []
     best = best_fit(counts, capacity)
     most = sum(n for n, _ in best)
     least = _bound(counts, capacity)
-    spent, stride = 0, 1 + len(counts) // 32
-    nodes = min(nodes, max(400, nodes * 64 // len(counts)))
-
-    def search(rest: dict[int, int], used: int, plan: list[Pattern]) -> bool:
-        """Depth first; True once nothing better than `best` can exist or the nodes are spent."""
-        nonlocal best, most, spent
-        spent += 1
-        if not rest:
-            if used < most:
-                best, most = list(plan), used
-            return most == least
-        if spent > nodes:
-            return True
-        if spent % stride == 0:
-            finish = best_fit(rest, capacity)
-            if (total := used + sum(n for n, _ in finish)) < most:
-                best, most = [*plan, *finish], total
-                if most == least:
-                    return True
+    budget = iter(count()) if nodes is None else iter(range(nodes))
+    spent = False
+
+    # one frame a node: what is left, sequences used, the plan so far, and the fillings and multiplicities still to try
+    def branches(rest: dict[int, int]) -> Iterator[tuple[int, dict[int, int]]]:
         largest = max(rest)
-        rest = dict(rest)
-        rest[largest] -= 1
-        lengths = sorted(-x for x in rest if rest[x] > 0)
-        for filling in fillings(lengths, rest, capacity - largest, width):
-            pattern: dict[int, int] = dict(filling)
+        less = rest | {largest: rest[largest] - 1}
+        for filling in fillings(sorted(-x for x in less if less[x] > 0), less, capacity - largest, budget):
+            pattern = dict(filling)
             pattern[largest] = pattern.get(largest, 0) + 1
-            have = rest | {largest: rest[largest] + 1}
-            times = min(have[x] // k for x, k in pattern.items())
-            after = {x: v - times * pattern.get(x, 0) for x, v in have.items()}
-            after = {x: v for x, v in after.items() if v > 0}
-            if used + times + _bound(after, capacity) >= most:  # the waste so far rules out anything better
-                continue
-            if search(after, used + times, [*plan, (times, tuple(sorted(pattern.items(), reverse=True)))]):
-                return True
-        return False
-
-    if most > least:
-        import sys
-
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 20_000))
-        try:
-            search(counts, 0, [])
-        finally:
-            sys.setrecursionlimit(limit)
-    return best
+            # as many alike as there can be, then fewer: those that remain take other fillings
+            for times in range(min(rest[x] // k for x, k in pattern.items()), 0, -1):
+                yield times, pattern
+
+    stack = [(counts, 0, (), branches(counts))] if counts and most > least else []
+    while stack and most > least and not spent:
+        rest, used, plan, todo = stack[-1]
+        step = next(todo, None)
+        if next(islice(budget, len(rest) // 8, None), None) is None:
+            spent = True
+        if step is None:
+            stack.pop()
+            continue
+        times, pattern = step
+        after = {x: v - times * pattern.get(x, 0) for x, v in rest.items()}
+        after = {x: v for x, v in after.items() if v > 0}
+        if used + times + _bound(after, capacity) >= most:  # the waste so far rules out anything better
+            continue
+        chosen = (*plan, (times, tuple(sorted(pattern.items(), reverse=True))))
+        finish = best_fit(after, capacity)
+        if (total := used + times + sum(n for n, _ in finish)) < most:
+            best, most = [*chosen, *finish], total
+        if after:
+            stack.append((after, used + times, chosen, branches(after)))
+    return best, most == least or not spent
 
 
 def _bound(counts: dict[int, int], capacity: int) -> int:
@@ -247,13 +253,13 @@ def cut_pieces(documents: DataFrame, path: str | None = None, capacity: int = CA
                 yield pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=names)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (a table that gives the same rows each time it is read)."""
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots = plan_slots(solve(counted, capacity), capacity)
+    slots = plan_slots(solve(counted, capacity)[0], capacity)
     salts = max(64, max(counted.values(), default=0) // SALT_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -276,7 +282,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = slots["start"][k] + within % each * slots["size"][k]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, F.col("length").alias("length_"), F.col("rank").cast("long")).mapInArrow(place, schema)
+    return ranked.select(*columns, F.col("length").alias("length_"), F.col("rank").cast("long")).mapInArrow(lean(place), schema)
 
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -15,7 +15,11 @@ Each gives a normal score in favour of randomness; Stouffer's sum gives one p-va
 weight: p-values are divided by their length over the mean length, and Benjamini-Hochberg at level ALPHA over all
 candidates of all texts sets the limit, from a histogram of at most BINS steps of log p.
 
-Null and empty texts have no spans; the hash of no spans is that of the empty string. Repeated rows are scanned each.
+Positions and overlaps come from running sums and maxima in doubling steps, so a text of n matches costs n log n whatever its length.
+
+Null and empty texts have no spans; the hash of no spans is that of the empty string. Repeated rows are scanned each, a null doc_id
+too. An empty table gives no rows. Ties: spans of one start stand in the order of their kinds. Columns besides doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +44,41 @@ TURNS, CARRY = 0.25, 0.35
 _ALPHABETS = {"decimal": "0123456789", "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(values: Column, op, least: Column) -> Column:
+    """The array whose i-th element combines the first i + 1 values; op is associative with identity `least`.
+
+    Each step combines elements twice as far apart; steps beyond the array's length change nothing and are skipped.
+    """
+    def doubled(a: Column, step: Column) -> Column:
+        before = F.concat(F.array_repeat(least, step), F.slice(a, F.lit(1), F.size(a) - step))
+        return F.when(F.size(a) > step, F.zip_with(before, a, op)).otherwise(a)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(31))), values, doubled)
+
+
+def clear_of(found: Column, base: Column) -> Column:
+    """The spans of `found` (which don't overlap each other) that overlap none of `base`.
+
+    In the order of starts of base spans and ends of found ones, a span is clear when no base span before it ends after its start.
+    """
+    at = lambda s, key, end, of: F.struct(s[key].alias("at"), F.lit(of).alias("of"), s["start"].alias("start"), end.alias("end"))
+    found_at = F.transform(found, lambda s: at(s, "end", F.lit(0), 0))
+    base_at = F.transform(base, lambda s: at(s, "start", s["end"], 1))
+
+    def kept(events: Column) -> Column:
+        reach = scanned(F.transform(events, lambda e: e["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        clear = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e["of"].alias("of"), (r <= e["start"]).alias("ok"))), lambda e: e["of"] == 0)
+        return F.filter(F.zip_with(found, clear, lambda s, c: F.struct(s.alias("s"), c["ok"].alias("ok"))), lambda x: x["ok"])
+
+    left = F.transform(_let(F.array_sort(F.concat(found_at, base_at)), kept), lambda x: x["s"])
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), left).otherwise(found)
+
+
 def _found(text: str, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, token, part>> of the leftmost non-overlapping matches of a pattern; part: a group of it."""
     col, pat = F.col(text), F.lit(pattern)
@@ -49,15 +88,13 @@ def _found(text: str, pattern: str, group: int = 0) -> Column:
         F.transform(F.split(col, pattern, -1), lambda p: F.length(p)).alias("gap"),
     )
     empty = F.expr("cast(array() as array<struct<start:int,end:int,token:string,part:string>>)")
+    matches = F.filter(zipped, lambda m: m["token"].isNotNull())  # the last gap, after the last match, has no token
 
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + F.length(m["token"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m["token"].alias("token"), m["part"].alias("part")))).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = scanned(F.transform(found, lambda m: m["gap"] + F.length(m["token"])), lambda a, b: a + b, F.lit(0))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m["token"])).alias("start"), e.alias("end"), m["token"].alias("token"), m["part"].alias("part")))
 
-    # the last gap, after the last match, has no token
-    folded = F.aggregate(F.filter(zipped, lambda m: m["token"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    return F.when(col.rlike(pattern), folded).otherwise(empty)
+    return F.when(col.rlike(pattern), _let(matches, placed)).otherwise(empty)
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -78,44 +115,60 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+def _with(row: Column, names: list[str], **more: Column) -> Column:
+    """The struct with further fields; kept a step of its own, each is computed once a token."""
+    return F.struct(*(row[n].alias(n) for n in names), *(c.alias(n) for n, c in more.items()))
+
+
 def _score(token: Column) -> Column:
     """The p-value of a candidate against structured text."""
+    return _let(_steps(token), lambda t: _phi(-F.least(F.greatest((t["z_chi"] + t["z_runs"] + t["z_serial"]) / 3**0.5, F.lit(-8.0)), F.lit(8.0))))
+
+
+def _steps(token: Column) -> Column:
+    """struct with encoding, z_chi, z_runs and z_serial of a candidate."""
     whole = F.when(token.rlike("^[0-9]+$"), F.lit("decimal")).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
 
-    def by(values: dict) -> Column:
-        return reduce(lambda c, k: c.when(whole == k, F.lit(values[k])), list(values)[1:], F.when(whole == list(values)[0], F.lit(values[list(values)[0]])))
-
-    folded = F.when(whole == "hex", F.lower(token)).otherwise(token)
-    alphabet, shape = by(_ALPHABETS), by(SHAPE)
-    size = F.length(alphabet).cast("double")
-    n = F.length(folded).cast("double")
-    chars = F.split(folded, "", -1)
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(folded, c, F.lit(""))), F.lit(2)))
-    freedom = size - 1
-    chi = size / n * squares - n
-    z_chi = (freedom + n * shape - chi) / F.sqrt(2 * (freedom + 2 * n * shape))
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "+/-_", "mmmm")
-    kinds = F.split(F.when(whole == "decimal", F.translate(token, "0123456789", "lllllhhhhh")).otherwise(classes), "", -1)
-    pairs = F.arrays_zip(F.slice(kinds, F.lit(1), F.size(kinds) - 1).alias("x"), F.slice(kinds, F.lit(2), F.size(kinds) - 1).alias("y"))
-    turns = F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))
-    z_runs = (turns - (n - 1) * TURNS) / F.sqrt((n - 1) * (TURNS * (1 - TURNS)))
-    values = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    moved = F.transform(values, lambda v: v - mean)
-    power = F.aggregate(moved, F.lit(0.0), lambda s, v: s + v * v)
-    after = F.zip_with(F.slice(moved, F.lit(1), F.size(moved) - 1), F.slice(moved, F.lit(2), F.size(moved) - 1), lambda a, b: a * b)
-    serial = F.when(power > 0, F.aggregate(after, F.lit(0.0), lambda s, v: s + v) / power).otherwise(F.lit(1.0))
-    z_serial = (CARRY - F.abs(serial)) * F.sqrt(n)
-    z = (z_chi + z_runs + z_serial) / 3**0.5
-    return _phi(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)))
+    def by(key: Column, values: dict) -> Column:
+        return reduce(lambda c, k: c.when(key == k, F.lit(values[k])), list(values)[1:], F.when(key == list(values)[0], F.lit(values[list(values)[0]])))
+
+    def texts(t: Column) -> Column:
+        folded = F.when(t["encoding"] == "hex", F.lower(t["token"])).otherwise(t["token"])
+        classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(t["token"], "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "+/-_", "mmmm")
+        kinds = F.split(F.when(t["encoding"] == "decimal", F.translate(t["token"], "0123456789", "lllllhhhhh")).otherwise(classes), "", -1)
+        return _with(t, ["token", "encoding"], alphabet=by(t["encoding"], _ALPHABETS), shape=by(t["encoding"], SHAPE), folded=folded, chars=F.split(folded, "", -1), kinds=kinds)
+
+    def numbers(t: Column) -> Column:
+        n = F.length(t["folded"]).cast("double")
+        squares = F.aggregate(F.array_distinct(t["chars"]), F.lit(0.0), lambda s, c: s + F.pow(F.length(t["folded"]) - F.length(F.replace(t["folded"], c, F.lit(""))), F.lit(2)))
+        values = F.transform(t["chars"], lambda c: F.instr(t["alphabet"], c).cast("double"))
+        steps = F.zip_with(F.slice(t["kinds"], 1, F.size(t["kinds"]) - 1), F.slice(t["kinds"], 2, F.size(t["kinds"]) - 1), lambda x, y: x != y)
+        return _with(t, ["encoding", "shape"], n=n, size=F.length(t["alphabet"]).cast("double"), squares=squares, values=values, turns=F.size(F.filter(steps, lambda x: x)))
+
+    def centred(t: Column) -> Column:
+        mean = F.aggregate(t["values"], F.lit(0.0), lambda s, v: s + v) / t["n"]
+        moved = _let(mean, lambda m: F.transform(t["values"], lambda v: v - m))
+        return _with(t, ["encoding", "shape", "n", "size", "squares", "turns"], moved=moved)
+
+    def scores(t: Column) -> Column:
+        n, freedom = t["n"], t["size"] - 1
+        chi = t["size"] / n * t["squares"] - n
+        z_chi = (freedom + n * t["shape"] - chi) / F.sqrt(2 * (freedom + 2 * n * t["shape"]))
+        z_runs = (t["turns"] - (n - 1) * TURNS) / F.sqrt((n - 1) * (TURNS * (1 - TURNS)))
+        power = F.aggregate(t["moved"], F.lit(0.0), lambda s, v: s + v * v)
+        after = F.zip_with(F.slice(t["moved"], 1, F.size(t["moved"]) - 1), F.slice(t["moved"], 2, F.size(t["moved"]) - 1), lambda a, b: a * b)
+        serial = F.when(power > 0, F.aggregate(after, F.lit(0.0), lambda s, v: s + v) / power).otherwise(F.lit(1.0))
+        return _with(t, ["encoding"], z_chi=z_chi, z_runs=z_runs, z_serial=(CARRY - F.abs(serial)) * F.sqrt(n))
+
+    return _let(_let(_let(_let(F.struct(token.alias("token"), whole.alias("encoding")), texts), numbers), centred), scores)
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
     """The rows of base_spans with `tokens` (start, end, p, n) in place of the text."""
-    found = F.filter(_found("text", CANDIDATE), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    scanned = scanned.withColumn("found", _found("text", CANDIDATE))
     # tokens are scored as rows of an array; texts without any skip the battery
     scored = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _score(m["token"]).alias("p"), F.length(m["token"]).alias("n")))
-    return scanned.withColumn("found", found).withColumn("tokens", scored).drop("text", "found")
+    return scanned.withColumn("found", clear_of(F.col("found"), F.col("base"))).withColumn("tokens", scored).drop("text", "found")
 
 
 def limit(scored: DataFrame, alpha: float = ALPHA) -> tuple[float, float]:

@@ -10,8 +10,13 @@ Results are those of the library on the whole text:
 * a piece with any other character goes through the library as it is;
 * a text that holds the opening of a special string goes through the library whole.
 
-Null and empty texts have no tokens. Repeated rows are counted each. Pieces seen before are kept in a
-dictionary of at most CACHE entries per worker, the older half of which is dropped when it is full.
+Pieces of one hash are held to be one piece only after their bytes were compared; a run with two pieces of one hash goes
+through the library.
+
+Null and empty texts have no tokens. Repeated rows are counted each, rows with a null doc_id too. Texts are counted whole, however long, and so are
+pieces without any white space. An empty table gives no rows. Columns besides doc_id and text are ignored, whatever their names.
+Pieces seen before are kept in a dictionary of at most CACHE entries of at most KEPT bytes per worker, the older half of
+which is dropped when it is full.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import offsets_of, small_batches, text_column, text_slices
+from cadenza.llm.shared import lean, offsets_of, small_batches, text_column, text_slices
 from cadenza.llm.words import word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE = 600_000
+CACHE, KEPT = 600_000, 64
 #: Bytes of text whose distinct pieces are found together.
 RUN = 4 << 20
 #: Characters that pieces on the fast path may have: printable ASCII, letters and signs from U+00A1 without the soft hyphen.
@@ -119,6 +124,9 @@ class Shortcut:
         special = [d for d in range(len(offs) - 1) if raw.find(self.opening, offs[d], offs[d + 1]) >= 0] if self.opening and self.opening in raw else []
         hashes, starts, ends = word_spans(data, offs)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if not same_pieces(data, starts, ends, first, inverse):
+            ids = [np.frombuffer(self._library(raw[a:b].decode("utf-8", "replace")), "<u4") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            return np.concatenate([*ids, np.zeros(0, "<u4")]), np.array([len(x) for x in ids], np.int64)
         pieces = [raw[a:b].lower() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         cache, values = self.cache, []
         if len(cache) > CACHE:
@@ -127,7 +135,9 @@ class Shortcut:
         for piece in pieces:
             ids = cache.get(piece)
             if ids is None:
-                ids = cache[piece] = self._learn(piece)
+                ids = self._learn(piece)
+                if len(piece) <= KEPT:
+                    cache[piece] = ids
             values.append(ids)
         lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
         each = lens[inverse]
@@ -143,6 +153,27 @@ class Shortcut:
         return ids, np.diff(bounds)
 
 
+#: Upper-case ASCII letters have no part in a piece's hash: bytes are compared in lower case.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def same_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> bool:
+    """Whether every piece has the bytes of the first one of its hash, in lower case; eight bytes of all pieces are compared at a time."""
+    size = ends - starts
+    if not len(size) or (size != size[first][inverse]).any():
+        return not len(size)
+    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    rest, at, of = size, starts, starts[first][inverse]
+    while len(rest):
+        mask = np.where(rest >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1))
+        if ((eights[at] ^ eights[of]) & mask).any():
+            return False
+        more = rest > 8
+        rest, at, of = rest[more] - 8, at[more] + 8, of[more] + 8
+    return True
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies write for each byte, inverted."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -171,7 +202,7 @@ def count_tokens(documents: DataFrame, path: str | None = None, limit: int = LIM
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets_of(column)[1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

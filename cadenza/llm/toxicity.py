@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import rows_of, small_batches, text_column
+from cadenza.llm.shared import lean, rows_of, small_batches, text_column
 from cadenza.llm.words import folded_slices, mix, word_hashes
 
 SIZE = 1 << 20
@@ -98,7 +98,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
         keep = np.flatnonzero((w != 0) | ((at == 0) & bool(held)))
         yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(w[keep])], names=["at", "w"])
 
-    table = rows.mapInArrow(featurise, "doc_id long, toxic int, features array<int>").repartition(1).mapInArrow(fit, "at long, w double").toArrow()
+    table = rows.mapInArrow(lean(featurise), "doc_id long, toxic int, features array<int>").repartition(1).mapInArrow(lean(fit), "at long, w double").toArrow()
     out = np.zeros(table.num_rows, [("at", "i8"), ("w", "f8")])
     out["at"], out["w"] = table.column(0).to_numpy(), table.column(1).to_numpy()
     return out
@@ -125,7 +125,7 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
                 sums[lo:hi] += np.bincount(key >> 32, table[key & 0xFFFFFFFF], hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -500, 500))) if len(own) else np.zeros(batch.num_rows))], names=["doc_id", "score"])
 
-    return rows_of(documents).mapInArrow(apply, "doc_id long, score double")
+    return rows_of(documents).mapInArrow(lean(apply), "doc_id long, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -1,16 +1,18 @@
 """URL filters: listed rules first, then an empirical-Bayes reputation of the host.
 
-A page that a rule decides is a labelled outcome (block 1, allow 0). Rates are shrunk level by level: all pages, the suffix (last
-label), the registered domain (last two labels, or one more under a suffix listed in SUFFIXES), the host. Each level has a
+A page that a rule decides is a labelled outcome (block 1, allow 0); more can be passed. Rates are shrunk level by level: all pages, the
+suffix (the last label, or two where they are a listed suffix), the registered domain (one label more), the host. Each level has a
 beta prior around the posterior mean of the level above; its strength comes from the spread of the rates of that level (method of
 moments), between WEAK and STRONG pseudo-pages. A page without a rule is blocked when the lower bound of its host's
-posterior, mean - Z standard deviations, exceeds LIMIT.
+posterior, mean - Z standard deviations, exceeds LIMIT: the rate at which a bad page let through costs as much as the good ones blocked
+with it, a bad page counting (1 - LIMIT) / LIMIT good ones.
 
-Counts per host are pre-aggregated; the levels above are aggregates of aggregates. The rules are configuration: they are part of the plan, at
+Counts per host are aggregated once and written; the levels above are aggregates of that table, a row a host. The rules are configuration: they are part of the plan, at
 most RULES of them.
 
 A null url, or one without `://`, has an empty host and path, no rule, and the reputation of the empty host. Repeated rows are judged
-each. Extra columns are ignored. An empty table gives no rows.
+each. Rules of one length that fit one url are the same rule. Urls are read whole, however long. Extra columns are ignored, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.shared import BROADCAST_IDS, materialize
+
 RULES = 1000
 #: The listed rules (verdict, host and path).
 LISTED = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-SUFFIXES: tuple[str, ...] = ()
-WEAK, STRONG, Z, LIMIT = 1.0, 1000.0, 1.645, 0.5
+#: Suffixes of two labels under which domains are registered. A fuller list can be passed.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za",
+    "com.br", "com.ar", "com.mx", "com.cn", "com.hk", "com.sg", "com.tw", "com.tr", "com.ua", "co.il", "github.io", "blogspot.com",
+)
+WEAK, STRONG, Z, LIMIT = 1.0, 1000.0, 1.645, 0.35
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,17 +77,14 @@ def _posterior(table: DataFrame, above: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"a": a, "b": b}).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def reputations(judged: DataFrame) -> DataFrame:
+def reputations(judged: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, n, bad, mean, bound for every host; judged: host and outcome (1 bad, 0 good, null unknown)."""
     hosts = judged.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
     labels = F.split("host", r"\.")
-    last = F.element_at(labels, -1)
-    two = F.array_join(F.slice(labels, F.greatest(-F.size(labels), F.lit(-2)), 2), ".")
-    suffix, domain = last, two
-    if SUFFIXES:
-        suffix = F.when(two.isin(*SUFFIXES), two).otherwise(last)
-        domain = F.when(two.isin(*SUFFIXES), F.array_join(F.slice(labels, F.greatest(-F.size(labels), F.lit(-3)), 3), ".")).otherwise(two)
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
+    tail = lambda k: F.array_join(F.slice(labels, F.greatest(-F.size(labels), F.lit(-k)), k), ".")
+    listed = tail(2).isin(*suffixes) if suffixes else F.lit(False)
+    hosts = hosts.withColumns({"suffix": F.when(listed, tail(2)).otherwise(F.element_at(labels, -1)), "domain": F.when(listed, tail(3)).otherwise(tail(2))})
+    hosts = materialize(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -92,7 +97,7 @@ def reputations(judged: DataFrame) -> DataFrame:
     return level.select("host", "n", "bad", "mean", bound.alias("bound"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, outcomes: DataFrame | None = None, limit: float = LIMIT, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, bound of every page; outcomes (page_id, outcome) add labels of their own."""
     rules = LISTED if rules is None else rules
     host, path = parts(F.col("url").cast("string"))
@@ -102,13 +107,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, outcomes
     if outcomes is not None:
         given = outcomes.groupBy("page_id").agg(F.max("outcome").alias("given"))
         labelled = labelled.join(given, "page_id", "left").withColumn("outcome", F.coalesce("outcome", "given"))
-    found = reputations(labelled.select("host", "outcome"))
-    method = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
-    return rows.join(found.select("host", "mean", "bound"), "host").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "mean", "bound")
+    found = materialize(reputations(labelled.select("host", "outcome"), suffixes).select("host", "mean", "bound"), "reputations")
+    few = found.limit(BROADCAST_IDS // 8 + 1).count() <= BROADCAST_IDS // 8
+    method = F.when(F.col("bound") > limit, "block").otherwise("allow")
+    return rows.join(F.broadcast(found) if few else found, "host").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "mean", "bound")
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 def _sql_level(name: str, table: str, above: str, key: str) -> str:
@@ -122,6 +129,7 @@ def _sql_level(name: str, table: str, above: str, key: str) -> str:
 
 def _sql() -> str:
     values = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in LISTED)
+    listed = ", ".join(f"'{s}'" for s in SUFFIXES)
     return f"""
 WITH r(v, rule, h, p) AS (VALUES {values}),
 u AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
@@ -129,14 +137,15 @@ x AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
 f AS (SELECT x.*, (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM x),
 g AS (SELECT f.*, r.v FROM f LEFT JOIN r USING (rule)),
-hosts AS (SELECT host, count(v)::DOUBLE AS n, count(*) FILTER (v = 'block')::DOUBLE AS bad, string_split(host, '.')[-1] AS suffix,
-  array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM g GROUP BY host),
+l AS (SELECT *, string_split(host, '.') AS labels, array_to_string(string_split(host, '.')[-2:], '.') IN ({listed}) AS two FROM g),
+hosts AS (SELECT host, count(v)::DOUBLE AS n, count(*) FILTER (v = 'block')::DOUBLE AS bad, CASE WHEN any_value(two) THEN array_to_string(any_value(labels)[-2:], '.') ELSE any_value(labels)[-1] END AS suffix,
+  CASE WHEN any_value(two) THEN array_to_string(any_value(labels)[-3:], '.') ELSE array_to_string(any_value(labels)[-2:], '.') END AS domain FROM l GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 overall AS (SELECT suffix, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM suffixes) AS mean FROM suffixes),
 {_sql_level("ls", "suffixes", "overall", "suffix")}{_sql_level("ld", "domains", "ls", "suffix")}{_sql_level("lh", "hosts", "ld", "domain")}
-b AS (SELECT host, mean - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM lh)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM g JOIN b USING (host)
+b AS (SELECT host, mean, mean - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM lh)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound FROM g JOIN b USING (host)
 """
 
 

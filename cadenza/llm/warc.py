@@ -1,22 +1,29 @@
 """WARC archives and their capture index by an external merge.
 
 Writing: every page becomes a response record, or a revisit of the record with the smallest page_id among those of equal
-payload. Records are lines of Spark's text writer whose line separator is the blank line that ends a WARC record,
-so any store that Spark writes to works and lost tasks are redone by its commit protocol. Files are gzip streams.
+payload (equal SHA-256 and size). Only digests and ids are grouped; payloads stay where they are read unless the list of revisits is long.
+Records are lines of Spark's text writer whose line separator is the blank line that ends a WARC record,
+so any store that Spark writes to works and lost tasks are redone by its commit protocol. Files are plain WARC, so that a
+record's offset and length in the index are places in the file itself.
 
 Reading: the same separator feeds segments in order to a parser that follows Content-Length, one record at a time.
 Every task sorts its index entries in runs of RUN rows. Runs are dealt to ranges of (url key, timestamp, page_id); in
-each range a loser tree merges its k runs, so the ranges read in turn are the globally ordered capture histories.
+each range they are laid out as sorted files of the task, and a loser tree merges them batch by batch, holding one batch of each.
+The ranges read in turn are the globally ordered capture histories.
 
 Null payloads are empty. A null or empty url gives an empty url key. Pages have no capture time of their own: it is FIRST plus
-page_id seconds. A null page_id gives a response record. Repeated rows are written each; rows of the smallest page_id
-of a payload are all responses. Empty tables give no rows.
+page_id seconds in UTC whatever the session's zone, no earlier than FIRST and no later than the year 9999; entries of one time are in
+the order of page_id. A null page_id gives a response record and comes first. Repeated rows are written each; rows of the smallest page_id
+of a payload are all responses. Payloads of any length are held one record at a time. Empty tables give no rows. Columns besides page_id,
+url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.shared import materialize, shared_dir, small_batches
+from cadenza.llm.shared import BROADCAST_IDS, lean, materialize, shared_dir, small_batches
 
 END = "\r\n\r\n"
-FIRST = "2024-01-01T00:00:00Z"
-#: Entries of a sorted run, of a range of the index, and records of an archive file.
-RUN, RANGE, FILE = 50_000, 100_000, 20_000
+FIRST = "2024-01-01"
+#: Seconds from FIRST to the end of the year 9999, the last that a WARC date can name.
+LAST = 251_697_110_399
+#: Entries of a sorted run, of a range of the index, of a batch of a run while it is merged, and records of an archive file.
+RUN, RANGE, BATCH, FILE = 50_000, 100_000, 2_000, 20_000
 ENTRY = T.StructType(
     [
         T.StructField("url_key", T.StringType()),
@@ -55,24 +64,43 @@ def base32_of_hex(h: F.Column) -> F.Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def captured(page_id: F.Column) -> F.Column:
+    """The capture time in UTC, by calendar arithmetic that no session zone enters."""
+    at = F.least(F.greatest(F.coalesce(page_id, F.lit(0).cast("long")), F.lit(0).cast("long")), F.lit(LAST))
+    day = F.date_add(F.lit(FIRST).cast("date"), F.floor(at / 86400).cast("int")).cast("string")
+    part = lambda unit, n: F.lpad(F.pmod(F.floor(at / unit), F.lit(n)).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z"))
+
+
+def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, sha256, first: the pages whose payload the page `first` has too; rows: page_id, sha256, size."""
+    known = materialize(rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).select("page_id", "sha256", "size"), "payloads")
+    first = known.groupBy("sha256", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
+    first = materialize(first, "payload-groups")
+    few = first.limit(BROADCAST_IDS // 8 + 1).count() <= BROADCAST_IDS // 8
+    again = known.join(F.broadcast(first) if few else first, ["sha256", "size"]).where("page_id > first")
+    return materialize(again.select("page_id", "sha256", "first").distinct(), "revisits")
+
+
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """One column `value`: the WARC record of each page without its closing blank line."""
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), text.alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1(F.encode("payload", "utf-8")), "size": F.octet_length("payload").cast("long")})
-    first = rows.groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, ["sha1", "size"])
-    revisit = F.coalesce((F.col("size") >= least) & (F.col("page_id") > F.col("first")), F.lit(False))
+    digest = F.unhex(F.sha2(F.encode("payload", "utf-8"), 256))
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha256": digest})
+    again = revisits(rows, least)
+    few = again.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
+    rows = rows.join(F.broadcast(again) if few else again, ["page_id", "sha256"], "left").withColumn("sha1", F.sha1(F.encode("payload", "utf-8")))
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST).cast("timestamp")) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), name("page_id")),
-        F.concat(F.lit("WARC-Date: "), date),
+        F.concat(F.lit("WARC-Date: "), captured(F.col("page_id"))),
         F.when(F.col("url") != "", F.concat(F.lit("WARC-Target-URI: "), F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name("first"))),
@@ -85,7 +113,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write the WARC files of all pages to a folder, at most FILE records each."""
-    records(pages, least).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE).text(path)
+    records(pages, least).write.options(lineSep=END, compression="none", maxRecordsPerFile=FILE).text(path)
 
 
 def url_key(url: str) -> str:
@@ -180,13 +208,13 @@ def read_runs(spark, path: str) -> DataFrame:
             yield flush()
 
     lines = spark.read.text(path, lineSep=END).select(F.coalesce("value", F.lit("")).alias("value"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("archive"))
-    return lines.mapInArrow(parse, ENTRY)
+    return lines.mapInArrow(lean(parse), ENTRY)
 
 
 class LoserTree:
     """k-way merge: inner nodes hold the losers of their matches, so each output replays one path of log k matches."""
 
-    def __init__(self, runs: list[list], key) -> None:
+    def __init__(self, runs: list, key) -> None:
         self.runs, self.key, self.k = [iter(r) for r in runs], key, len(runs)
         self.head = [None] * self.k
         self.rank: list[tuple | None] = [None] * self.k
@@ -222,30 +250,63 @@ class LoserTree:
             self.winner = i
 
 
+class RunFiles:
+    """Sorted runs as files of the task's own folder, written one after the other and read back a batch at a time."""
+
+    def __init__(self, folder: str, schema: pa.Schema) -> None:
+        self.folder, self.schema, self.paths, self.now, self.out = folder, schema, [], None, None
+
+    def add(self, batch: pa.RecordBatch, run: str) -> None:
+        """The next rows of a run; all rows of a run come one after the other."""
+        if run != self.now:
+            self.close()
+            self.now = run
+            self.paths.append(os.path.join(self.folder, str(len(self.paths))))
+            self.out = pa.ipc.new_stream(self.paths[-1], self.schema)
+        for lo in range(0, batch.num_rows, BATCH):
+            self.out.write_batch(batch.slice(lo, BATCH))
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+    def read(self, path: str) -> Iterator[dict]:
+        with pa.OSFile(path) as f:
+            for batch in pa.ipc.open_stream(f):
+                yield from batch.to_pylist()
+
+
 def merge_runs(entries: DataFrame) -> DataFrame:
     """The entries in global order: range_id, then position in the range."""
     n = entries.count()
     fields = [f.name for f in ENTRY if f.name != "run"]
     dealt = entries.repartitionByRange(max(1, -(-n // RANGE)), "url_key", "captured", "page_id")
+    dealt = dealt.sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first())  # the shuffle brings a run's blocks in any order
     schema = T.StructType([f for f in ENTRY if f.name != "run"] + [T.StructField("range_id", T.IntegerType()), T.StructField("position", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        runs: dict[str, list[dict]] = {}
-        for batch in batches:
-            for e in batch.to_pylist():
-                runs.setdefault(e["run"], []).append(e)
-        for r in runs.values():
-            if any(_order(x) > _order(y) for x, y in zip(r, r[1:], strict=False)):
-                r.sort(key=_order)  # the shuffle brought a run's blocks in another order
-        part = TaskContext.get().partitionId()
-        rows = [{k: e[k] for k in fields} | {"range_id": part, "position": i} for i, e in enumerate(LoserTree(list(runs.values()), _order))]
-        for lo in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_pylist(rows[lo : lo + 10_000], to_arrow_schema(schema))
-
-    return dealt.mapInArrow(merge, schema)
+        with tempfile.TemporaryDirectory() as folder:
+            runs = RunFiles(folder, _schema())
+            for batch in batches:
+                names = batch.column(len(fields)).to_pylist()
+                cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if hi > lo:
+                        runs.add(batch.slice(lo, hi - lo).cast(runs.schema), names[lo])
+            runs.close()
+            part, out, at = TaskContext.get().partitionId(), [], 0
+            for e in LoserTree([runs.read(p) for p in runs.paths], _order):
+                out.append({k: e[k] for k in fields} | {"range_id": part, "position": at})
+                at += 1
+                if len(out) == BATCH:
+                    yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
+
+    return dealt.mapInArrow(lean(merge), schema)
 
 
 def capture_index(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
@@ -257,6 +318,7 @@ def capture_index(pages: DataFrame, least: int = 0, folder: str | None = None) -
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
+    """One row a page; the digest columns come out of the merged index of the archives that were read back."""
     index = capture_index(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

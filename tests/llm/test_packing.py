@@ -37,7 +37,8 @@ def least(lengths, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_small_instances_are_optimal(lengths):
-    plan = p.solve(Counter(lengths), 20)
+    plan, proved = p.solve(Counter(lengths), 20, nodes=None)
+    assert proved
     packed = Counter()
     for n, items in plan:
         assert sum(x * k for x, k in items) <= 20
@@ -53,7 +54,7 @@ def test_bin_completion_beats_best_fit_on_triplets():
         a = r.randint(26, 48)
         b = r.randint(26, 74 - a)
         c.update([a, b, 100 - a - b])
-    assert sum(n for n, _ in p.solve(c, 100)) == 20 < sum(n for n, _ in p.best_fit(c, 100))
+    assert sum(n for n, _ in p.solve(c, 100)[0]) == 20 < sum(n for n, _ in p.best_fit(c, 100))
 
 
 def test_pieces_and_places(spark):
