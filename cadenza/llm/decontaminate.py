@@ -1,15 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds join documents to items, then Smith-Waterman aligns what they point at.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, in Unicode's folded case. The n-grams of an item are its seeds, and all
-of them look for passages, frequent ones too: an edited copy may have kept no other. The benchmark is a stated query set: it
-goes over the documents in blocks of at most BLOCK words, each a table of that bounded size. Where a seed meets a document, the
-words around it are aligned with the item: MATCH for equal words, MISMATCH and GAP otherwise. The score is the best local
-alignment over that of the item with itself, so edited copies score by what is left of them. Stretches that share too few
-words with the item to reach the threshold in any order, as most that only a frequent seed points at, are not aligned.
-
-Null and empty texts, in either table, meet nothing. An item of fewer than SEED words meets only documents that consist of just its
-words. Repeated items give a row each; repeated documents too. All of a document is looked at; its passages of one item are
-reported as the best one.
+of them look for passages, frequent ones too: an edited copy may have kept no other. The n-grams of the documents are joined with the seeds
+by value; a bit map of the seeds, of SIEVE bits whatever the benchmark, keeps those that cannot join from being moved. Joined places become
+diagonals of a document and an item, grouped by document, and come back to the texts by a key made of doc_id and text. Around
+every diagonal the words of the document are aligned with the item: MATCH for equal words, MISMATCH and GAP otherwise. The score is the
+best local alignment over that of the item with itself, so edited copies score by what is left of them; at least `threshold` of it, or
+LONG aligned words of a longer item, make a passage. Stretches that share too few words with the item to reach either in any order,
+as most that only a frequent seed points at, are not aligned. What is not found: copies that kept no SEED words of the item in a row.
+
+Null and empty texts, in either table, meet nothing. An item of fewer than SEED words is its own seed: documents that hold its words in
+a row have a passage of it; as such phrases stand in clean text too, `contaminated` leaves them out. Repeated items give a row
+each; repeated documents too, with a null doc_id as well. All of a document is looked at, however long; its passages of one item are reported
+as the best one, of equal ones the first. Empty tables give no rows. Columns besides doc_id, item_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,42 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import materialize, rows_of, small_batches, text_column
+from cadenza.llm.shared import BROADCAST_IDS, lean, materialize, rows_of, small_batches, text_column
 from cadenza.llm.words import folded, folded_slices, shingles, word_hashes, word_spans
 
-SEED, THRESHOLD = 3, 0.4
+SEED, THRESHOLD, LONG = 3, 0.4, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK = 1_000_000
-_BITS = 22
-
-
-def _seed_table(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, item number, place in the item) of all items, sorted by seed."""
-    seeds, of, place = [], [], []
-    for i, words in enumerate(items):
-        values, _ = shingles(words, np.array([len(words)]), SEED)
-        seeds.append(values)
-        of.append(np.full(len(values), i))
-        place.append(np.arange(len(values)))
-    seeds, of, place = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((seeds, np.uint64), (of, np.int64), (place, np.int64)))
-    order = np.argsort(seeds, kind="stable")
-    return seeds[order], of[order], place[order]
-
-
-def _sieve(seeds: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << _BITS, bool)
-    out[(seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return out
-
-
-def _hits(values: np.ndarray, seeds: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, place of its value among the seeds) of the values that are seeds."""
-    at = np.flatnonzero(sieve[(values >> np.uint64(64 - _BITS)).astype(np.int64)])
-    if not len(seeds) or not len(at):
-        return at[:0], at[:0]
-    k = np.minimum(np.searchsorted(seeds, values[at]), len(seeds) - 1)
-    same = seeds[k] == values[at]
-    return at[same], k[same]
+#: Words of a benchmark that is broadcast (8 bytes each); the words of a larger one are joined to the documents by item.
+WORDS = 1_000_000
+#: Bits of the seeds' bit map: 8 MB.
+SIEVE = 26
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -106,92 +82,144 @@ def _common(item: np.ndarray, passage: np.ndarray) -> int:
     return int(np.minimum(np.bincount(k[values[k] == passage], minlength=len(values)), n).sum())
 
 
-def _search(documents: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float) -> DataFrame:
-    """Passages of the documents that align with one of the items."""
-    words = [w for _, w in items]
-    sent = documents.sparkSession.sparkContext.broadcast(([i for i, _ in items], words, *_seed_table(words)))  # at most BLOCK words
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own), item_id, words (hashes) of every item that has words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for lo, hi, data, offs in folded_slices(text_column(batch)):
+                hashes, n = word_hashes(data, offs, punctuation=True)
+                some = pa.array(n > 0)
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                out = [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), words]
+                yield pa.RecordBatch.from_arrays([c.filter(some) for c in out], names=["item", "item_id", "words"])
+                row += hi - lo
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(lean(cut), "item long, item_id long, words array<long>"), "items")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """seed, size (its words), item, place of every seed."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, sizes, of, places = [np.zeros(0, np.uint64)], [], [], []
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = words.values.to_numpy().view(np.uint64)
+                size = min(SEED, len(hashes))
+                seeds.append(shingles(hashes, np.array([len(hashes)]), size)[0])
+                n = len(seeds[-1])
+                sizes += [size] * n
+                of += [item] * n
+                places += range(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(of, pa.int64()), pa.array(places, pa.int32())], names=["seed", "size", "item", "place"])
+
+    return materialize(items.select("item", "words").mapInArrow(lean(cut), "seed long, size int, item long, place int"), "seeds")
+
+
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """The bit map of the seeds, gathered as at most 2**SIEVE / 64 rows."""
+    slot = F.shiftrightunsigned("seed", 64 - SIEVE)
+    words = seeds.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - SIEVE}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _passes(values: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Positions of the values whose bit is set."""
+    slot = values >> np.uint64(64 - SIEVE)
+    return np.flatnonzero((sieve.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+
+
+def _key() -> F.Column:
+    """What a document's row is known by; rows that share one only look at each other's places in vain."""
+    return F.xxhash64("doc_id", "text")
+
+
+def hits(documents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """key, seed, at: the places of the documents' n-grams that may be seeds."""
+    sizes = [r["size"] for r in seeds.select("size").distinct().collect()]  # SEED rows at most
+    sent = documents.sparkSession.sparkContext.broadcast(_sieve(seeds))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, seeds, of, place = sent.value
-        sieve = _sieve(seeds)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), text_column(batch)
-            rows = []
-            for lo, _, data, offs in folded_slices(texts):
+            keys = batch.column(0).to_numpy()
+            for lo, _, data, offs in folded_slices(text_column(batch)):
                 hashes, counts = word_hashes(data, offs, punctuation=True)
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                values, n = shingles(hashes, counts, SEED)
-                at, k = _hits(values, seeds, sieve)
-                if not len(at):
-                    continue
-                first_value = np.concatenate([[0], np.cumsum(n)])
-                doc = np.searchsorted(first_value, at, "right") - 1
-                # a seed value may belong to several places of several items
-                upto = np.searchsorted(seeds, seeds[k], "right")
-                times = upto - k
-                each = np.repeat(k - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                doc, at = np.repeat(doc, times), np.repeat(at, times)
-                diagonal = at - first_value[doc] - place[each]
-                order = np.lexsort((diagonal, of[each], doc))
-                doc, item, diagonal = doc[order], of[each][order], diagonal[order]
-                cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
-                    d, i = int(doc[a]), int(item[a])
-                    own = hashes[bounds[d] : bounds[d + 1]]
+                for size in sizes:
+                    values, n = shingles(hashes, counts, size)
+                    at = _passes(values, sent.value)
+                    first = np.concatenate([[0], np.cumsum(n)])
+                    doc = np.searchsorted(first, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + doc]), pa.array(values[at].view(np.int64)), pa.array((at - first[doc]).astype(np.int32))], names=["key", "seed", "at"])
+
+    return documents.select(_key().alias("key"), "text").mapInArrow(lean(find), "key long, seed long, at int")
+
+
+def _align_all(rows: DataFrame, words: dict | None, threshold: float) -> DataFrame:
+    """The passages of rows (doc_id, text, met: list of item, item_id, words, diagonals); words: those of the items, where `met` has none."""
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+    names = ["doc_id", "item_id", "score", "first_word", "end_word", "passage"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = text_column(batch), []
+            for d, text, met in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                low = np.frombuffer(folded(raw.tobytes()), np.uint8)
+                own, _ = word_hashes(low, np.array([0, len(low)]), punctuation=True)
+                spans = None
+                for m in met:
+                    item_id, item = sent.value[m["item"]] if sent.value is not None else (m["item_id"], np.array(m["words"], np.int64).view(np.uint64))
+                    enough = min(threshold * len(item), LONG) if len(item) >= SEED else len(item)
                     best = (0, 0, 0)
-                    for x, y in _windows(diagonal[a:b], len(words[i]), len(own)):
-                        if _common(words[i], own[x:y]) / len(words[i]) < threshold:
+                    for x, y in _windows(np.array(m["diagonals"]), len(item), len(own)):
+                        if _common(item, own[x:y]) < enough:
                             continue
-                        s, f, e = align(words[i], own[x:y])
+                        s, f, e = align(item, own[x:y])
                         best = max(best, (s, -(x + f), x + e))
-                    score = best[0] / (MATCH * len(words[i]))
-                    if score >= threshold:
+                    if best[0] >= MATCH * enough:
                         f, e = -best[1], best[2]
-                        raw = np.frombuffer(texts[lo + d].as_buffer(), np.uint8)  # folding keeps the number of words
-                        _, starts, ends = word_spans(raw, np.array([0, len(raw)]), punctuation=True)
-                        text = raw[starts[f] : ends[e - 1]].tobytes().decode("utf-8", "replace")
-                        rows.append((docs[lo + d], ids[i], score, f, e, text))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                        spans = spans or word_spans(raw, np.array([0, len(raw)]), punctuation=True)[1:]  # folding keeps the number of words
+                        passage = raw[spans[0][f] : spans[1][e - 1]].tobytes().decode("utf-8", "replace")
+                        out.append((d, item_id, best[0] / (MATCH * len(item)), f, e, passage))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return rows_of(documents).mapInArrow(find, "doc_id long, item_id long, score double, first_word long, end_word long, passage string")
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in blocks of at most BLOCK words (one longer item makes its own block)."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        raw = np.frombuffer(folded(r["text"].encode("utf-8")), np.uint8)
-        words, _ = word_hashes(raw, np.array([0, len(raw)]), punctuation=True)
-        if not len(words):
-            continue
-        if block and size + len(words) > BLOCK:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], words))
-        size += len(words)
-    if block:
-        yield block
+    return rows.mapInArrow(lean(find), "doc_id long, item_id long, score double, first_word long, end_word long, passage string")
 
 
 def passages(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word, passage of every document and item that align."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    out = None
-    for items in _blocks(benchmark):
-        found = _search(documents, items, threshold)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, passage string")
-    return out
+    small_batches(documents.sparkSession)
+    documents, items = rows_of(documents), items_of(benchmark)
+    seeds = seeds_of(items)
+    few = seeds.count() <= BROADCAST_IDS // 2
+    joined = hits(documents, seeds).join(F.broadcast(seeds) if few else seeds, "seed")
+    met = joined.groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    met = materialize(met, "met")
+    size = met.agg(F.count("*"), F.coalesce(F.sum(F.size("diagonals")), F.lit(0))).first()
+    few = 4 * size[0] + size[1] <= BROADCAST_IDS
+    if (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= WORDS:
+        words = {r["item"]: (r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in items.toLocalIterator()}
+        found = met.groupBy("key").agg(F.collect_list(F.struct("item", "diagonals")).alias("met"))
+    else:
+        words = None
+        found = met.join(items, "item").select("key", F.array(F.struct("item", "item_id", "words", "diagonals")).alias("met"))
+    rows = documents.withColumn("key", _key()).join(F.broadcast(found) if few else found, "key")
+    return _align_all(rows.select("doc_id", "text", "met"), words, threshold)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id of the documents that hold a passage of the benchmark."""
-    return materialize(passages(documents, benchmark, threshold).select("doc_id"), "contaminated").distinct()
+    """doc_id of the documents that hold a passage of the benchmark, of SEED words at least."""
+    found = passages(documents, benchmark, threshold).where(F.col("end_word") - F.col("first_word") >= SEED)
+    return materialize(found.select("doc_id"), "contaminated").distinct()
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ from cadenza.llm.words import ROW, mix, word_hashes
 CLASSES, ORDER, BITS = 256, 5, 8
 #: N-grams that are joined by broadcast (16 bytes each), and n-grams that a task gathers before it sends their counts.
 HEAD, GATHERED = 1 << 18, 1 << 21
+#: Bytes of text that are looked up together; a batch's texts, 1000 at most, fit their numbers into the bits beside an n-gram.
+SLICE = 1 << 18
 PRIOR, LOW, HIGH, SLACK, HELD = 80, 0.0005, 0.995, 1.06, 5
 PAIRS = 20
 #: The symbol of each byte; 0 stands for the start of a text.
@@ -50,10 +52,10 @@ def gram_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     padded = np.zeros(len(data) + (ORDER - 1) * n, np.int64)
     at = np.arange(len(data)) + np.repeat(np.arange(1, n + 1) * (ORDER - 1), np.diff(offs))
     padded[at] = CLASS[data]
-    codes = padded[at]
+    codes = padded.copy()
     for j in range(1, ORDER):
-        codes |= padded[at - j] << (BITS * j)
-    return codes, offs
+        codes[j:] |= padded[:-j] << (BITS * j)
+    return codes[at], offs
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
@@ -126,10 +128,14 @@ def bits_of(grams: DataFrame, orders: dict[int, DataFrame]) -> DataFrame:
     return grams.select("gram", (-F.log2(F.greatest(p, F.lit(1e-12)))).alias("bits"))
 
 
+def _slot(grams: np.ndarray, size: int) -> np.ndarray:
+    return ((grams.view(np.uint64) * ROW) >> np.uint64(64 - size)).view(np.int64)
+
+
 def _slots(grams: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Arrays of 2**size slots that hold n-grams and their bits by hash; n-grams whose slot is taken are left to the join."""
     keys, values = np.full(1 << size, -1, np.int64), np.zeros(1 << size)
-    at = (mix(grams.view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
+    at = _slot(grams, size)
     keys[at], values[at] = grams, bits
     return keys, values
 
@@ -160,17 +166,17 @@ def gather(documents: DataFrame, head: pa.Table, *more: str) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = text_column(batch)
-            for lo, hi, data, offs in text_slices(column):
+            for lo, hi, data, offs in text_slices(column, SLICE):
                 codes, bounds = gram_codes(data, offs)
-                at = (mix(codes.view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
-                known = keys[at] == codes
-                total = np.concatenate([[0.0], np.cumsum(np.where(known, values[at], 0.0))])
-                of = np.repeat(np.arange(hi - lo), np.diff(bounds))[~known]
-                order = np.lexsort((codes[~known], of))
-                of, codes = of[order], codes[~known][order]
-                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])])) if len(of) else np.zeros(0, np.int64)
-                tail = pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(np.diff(first, append=len(of)))], names=["gram", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(hi - lo + 1)).astype(np.int32)), tail)
+                at = _slot(codes, size)
+                found = values[at]
+                missed = np.flatnonzero(keys[at] != codes)
+                found[missed] = 0.0
+                total = np.concatenate([[0.0], np.cumsum(found)])
+                of = np.searchsorted(bounds, missed, "right") - 1
+                key, times = np.unique((of << (BITS * ORDER)) | codes[missed], return_counts=True)  # a slice has few texts
+                tail = pa.StructArray.from_arrays([pa.array(key & ((1 << (BITS * ORDER)) - 1)), pa.array(times)], names=["gram", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key >> (BITS * ORDER), np.arange(hi - lo + 1)).astype(np.int32)), tail)
                 part = [c.slice(lo, hi - lo) for c in (batch.column(0), *batch.columns[2:])]
                 numbers = [pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds])), pa.array(fresh(data, offs))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + hi - lo)), *part, *numbers, lists], names=names)

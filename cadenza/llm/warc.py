@@ -26,6 +26,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ from cadenza.llm.shared import BROADCAST_IDS, lean, materialize, shared_dir, sma
 END = "\r\n\r\n"
 FIRST = "2024-01-01"
 #: Seconds from FIRST to the end of the year 9999, the last that a WARC date can name.
-LAST = 251_697_110_399
+LAST = (date.max - date.fromisoformat(FIRST)).days * 86_400 + 86_399
 #: Entries of a sorted run, of a range of the index, of a batch of a run while it is merged, and records of an archive file.
 RUN, RANGE, BATCH, FILE = 50_000, 100_000, 2_000, 20_000
 ENTRY = T.StructType(

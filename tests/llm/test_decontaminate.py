@@ -59,20 +59,22 @@ def test_copies_edited_copies_and_clean_documents(spark):
     assert full["score"] == 1.0 and full["end_word"] - full["first_word"] == 40 and full["passage"].split() == items[0]
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_joined_words_give_the_same(spark, monkeypatch):
     r = random.Random(3)
     items = [words(r, 20) for _ in range(6)]
     docs = spark.createDataFrame([(i, " ".join(words(r, 10) + items[i % 6]), "", "") for i in range(12)], DOCS)
     bench = spark.createDataFrame([(k, " ".join(w), "") for k, w in enumerate(items)], ITEMS)
     one = {(x["doc_id"], x["item_id"], x["score"]) for x in d.passages(docs, bench).collect()}
-    monkeypatch.setattr(d, "BLOCK", 30)
+    monkeypatch.setattr(d, "WORDS", 30)
+    monkeypatch.setattr(d, "BROADCAST_IDS", 1)
     assert {(x["doc_id"], x["item_id"], x["score"]) for x in d.passages(docs, bench).collect()} == one and len(one) == 12
 
 
 def test_short_items_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "Two, words", "", ""), (2, "two words more", "", "")], DOCS)
     got = d.passages(docs, spark.createDataFrame([(7, "two words", "")], ITEMS)).collect()
-    assert [(x["doc_id"], x["item_id"]) for x in got] == [(1, 7)]
+    assert sorted((x["doc_id"], x["item_id"], x["score"], x["first_word"]) for x in got) == [(1, 7, 1.0, 0), (2, 7, 1.0, 0)]
+    assert d.contaminated(docs, spark.createDataFrame([(7, "two words", "")], ITEMS)).collect() == []
     assert d.passages(docs, spark.createDataFrame([], ITEMS)).collect() == []
     assert d.passages(spark.createDataFrame([], DOCS), spark.createDataFrame([(7, "two words", "")], ITEMS)).collect() == []
 
@@ -108,3 +110,38 @@ def test_case_is_folded_beyond_ascii(spark):
 def test_folding_keeps_word_bounds():
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
         assert all(x == c or x.isalnum() or ord(x) > 127 for x in folded(c.encode()).decode())
+
+
+def test_passages_equal_alignment_of_everything(spark):
+    """Every pair of document and item by plain alignment of the whole texts: what seeds find is all that scores enough and kept a seed."""
+    r = random.Random(6)
+    items = [words(r, r.randint(8, 40)) for _ in range(8)]
+    rows = []
+    for i in range(80):
+        own = list(items[r.randrange(8)])
+        for _ in range(r.randint(0, len(own))):
+            own[r.randrange(len(own))] = r.choice(words(r, 1) + own)
+        if r.random() < 0.3:
+            own[5:5] = words(r, r.randint(1, 4))
+        text = words(r, 15) + own + words(r, 15)
+        rows.append((i, " ".join(text if r.random() < 0.8 else text[:20])))
+    want, reached = {}, 0
+    for i, t in rows:
+        own = t.split()
+        for k, item in enumerate(items):
+            score = brute_align(item, own) / (d.MATCH * len(item))
+            if score >= d.THRESHOLD:
+                reached += 1
+                if any(item[a : a + d.SEED] == own[b : b + d.SEED] for a in range(len(item)) for b in range(len(own))):
+                    want[i, k] = score
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in d.passages(docs, spark.createDataFrame([(k, " ".join(w), "") for k, w in enumerate(items)], ITEMS)).collect()}
+    assert got == want and len(want) >= 0.9 * reached
+
+
+def test_a_long_verbatim_passage_of_a_longer_item(spark):
+    r = random.Random(7)
+    item = words(r, 300)
+    rows = [(1, " ".join(words(r, 30) + item[100:160] + words(r, 30)), "", ""), (2, " ".join(words(r, 30) + item[100:140]), "", ""), (None, " ".join(item), "", ""), (3, " ".join(words(r, 60_000) + item[:200]), "", "")]
+    got = {x["doc_id"]: x for x in d.passages(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(5, " ".join(item), ""), (5, " ".join(item), "")], ITEMS)).collect()}
+    assert set(got) == {1, None, 3} and got[1]["score"] == 0.2 and got[3]["first_word"] == 60_000

@@ -55,3 +55,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert e.deduplicate(spark.createDataFrame([], SCHEMA)).collect() == []
     got = e.deduplicate(spark.createDataFrame([(2, "q", "", ""), (2, "q", "", ""), (4, "q", "", "")], SCHEMA)).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(2, 2, 3, True), (2, 2, 3, True), (4, 2, 3, False)]
+
+
+def test_null_ids_empty_table_and_a_large_group(spark):
+    rows = [(None, "a b", 0), (3, "a  b", 0), (2, "a b", 0), (None, "z", 0), (None, "z", 0), *((100 + i, "same text", 0) for i in range(300))]
+    got = e.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()
+    assert sorted(((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in got if r["keep_id"] == 2), key=str) == [(0, 2, 3, False), (2, 2, 3, True), (3, 2, 3, False)]
+    assert [(r["kept"], r["group_size"]) for r in got if r["keep_id"] is None] == [(True, 2)] * 2
+    assert sum(r["kept"] for r in got if r["keep_id"] == 100) == 1 and len(got) == len(rows) and all(r["kept"] is not None for r in got)
+    assert e.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []

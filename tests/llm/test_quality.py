@@ -58,22 +58,21 @@ def test_probabilities_equal_brute_force(spark, rows):
     df = spark.createDataFrame([(i, t, l, "") for i, t, l in rows], SCHEMA)
     model = q.model(q.gram_counts(df.where("doc_id < 60")))
     p = brute_model(good)
-    found = {(r["k"], r["gram"]): r["p"] for r in model.collect()}
-    for (k, code), value in found.items():
-        g = tuple((code >> (6 * (k - 1 - j))) & 63 for j in range(k))
-        assert math.isclose(value, p(g), rel_tol=1e-9)
-    dense = {r["doc_id"]: (r["n_symbols"], r["bits"]) for r in q.perplexity(df, model.toArrow()).collect()}
-    joined = {r["doc_id"]: (r["n_symbols"], r["bits"]) for r in q.perplexity_by_join(df, model).collect()}
-    for i, t, _ in rows:
-        bits = -sum(math.log2(p(g)) for g in grams(t or "", q.ORDER))
-        assert dense[i][0] == joined[i][0] == len((t or "").encode())
-        assert math.isclose(joined[i][1], bits, rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(dense[i][1], bits, rel_tol=1e-4, abs_tol=1e-6)
+    for k, table in model.items():
+        for r in table.collect():
+            g = tuple((r["gram"] >> (q.BITS * (k - 1 - j))) & 255 for j in range(k))
+            assert math.isclose(r["p"], p(g), rel_tol=1e-9)
+    for head in (0, 7, q.HEAD):  # the joins alone, both, and as little of the joins as there can be
+        found = {r["doc_id"]: (r["n_symbols"], r["bits"], r["lang"]) for r in q.perplexity(df, model, "lang", head=head).collect()}
+        for i, t, lang in rows:
+            bits = -sum(math.log2(max(p(g), 1e-12)) for g in grams(t or "", q.ORDER))
+            assert found[i][0] == len((t or "").encode()) and found[i][2] == lang
+            assert math.isclose(found[i][1], bits, rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_probabilities_add_up(spark, rows):
     p = brute_model([t for _, t, _ in rows[:60]])
-    for h in ((), (1,), grams("the", 2)[1], grams("the r", 3)[3], (9, 9, 9)):
+    for h in ((), (1,), grams("the", 2)[1], grams("the r", 3)[3], grams("the r", 4)[3], (9, 9, 9)):
         assert math.isclose(sum(p((*h, w)) for w in range(q.CLASSES)), 1, rel_tol=1e-9)
 
 
@@ -89,7 +88,8 @@ def test_without_trusted_text_and_empty_table(spark, rows):
     df = spark.createDataFrame([(i, t, l, "") for i, t, l in rows], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r["kept"] and r["perplexity"] is None for r in q.classify(df, none).collect())
-    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")  # one trusted document: none can be kept out
+    assert {r["doc_id"]: r["kept"] for r in q.classify(df, labels).collect()}[1]
     assert q.classify(spark.createDataFrame([], SCHEMA), labels).collect() == []
 
 
@@ -101,3 +101,12 @@ def test_repetition_is_rejected_whatever_the_word(spark):
     bad += [(2000, " ".join(" ".join(vocabulary[:7]) for _ in range(60)), "xx", "")]
     got = {x["doc_id"]: x["kept"] for x in q.classify(spark.createDataFrame(good + bad, SCHEMA), spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
     assert not any(got[i] for i, *_ in bad) and sum(got[i] for i in range(120)) >= 116
+
+
+def test_very_long_text_repeated_rows_and_null_ids(spark, rows):
+    r = random.Random(9)
+    more = [(None, "the river was cold", "en"), (7, prose(r, 5), "en"), (200, prose(r, 200_000), "en"), (201, "#~" * 600_000, "en")]
+    df = spark.createDataFrame([(i, t, l, "x") for i, t, l in [*rows, *more]], SCHEMA)
+    got = q.classify(df, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows) + len(more) and sum(x["doc_id"] == 7 for x in got) == 2 and sum(x["doc_id"] is None for x in got) == 1
+    assert {x["doc_id"]: x["kept"] for x in got}[201] is False

@@ -1,5 +1,4 @@
 import base64
-import gzip
 import hashlib
 import random
 from pathlib import Path
@@ -46,7 +45,7 @@ def test_round_trip_equals_brute_force(spark, monkeypatch):
 def test_files_are_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.b/c", "hi", "", 1), (2, None, "hi", "", 1)], SCHEMA)
     warc.write_archives(df, f"file://{tmp_path}/w")
-    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("part-*"))
+    text = b"".join(p.read_bytes() for p in Path(tmp_path, "w").glob("part-*"))
     assert text.count(b"WARC/1.1\r\n") == 2 and text.endswith(b"\r\n\r\n") and b"WARC-Refers-To: <urn:page:1>" in text
 
 
@@ -65,3 +64,30 @@ def test_loser_tree():
 
 def test_empty_table(spark):
     assert warc.capture_index(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_offsets_are_places_in_the_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://a.b/{i % 3}", f"text {i % 5} é\r\n\r\n", "", 1) for i in range(40)], SCHEMA)
+    for r in warc.capture_index(df, folder=f"file://{tmp_path}/w").collect():
+        record = Path(tmp_path, "w", r["archive"]).read_bytes()[r["offset"] : r["offset"] + r["length"]]
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"<urn:page:{r['page_id']}>".encode() in record
+
+
+def test_any_page_id_in_any_zone(spark):
+    ids = [0, 1, 3, 86_399, 86_400, 300_000_000_000, 2**62, 2**63 - 1, -5, -(2**63)]
+    df = spark.createDataFrame([(i, "http://a.b/c", f"{i}", "", 1) for i in ids], SCHEMA)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rows = warc.capture_index(df).orderBy("range_id", "position").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["page_id"] for r in rows] == sorted(ids)
+    by_id = {r["page_id"]: r["captured"] for r in rows}
+    assert by_id[3] == "2024-01-01T00:00:03Z" and by_id[86_400] == "2024-01-02T00:00:00Z" and by_id[2**62] == "9999-12-31T23:59:59Z"
+    assert [r["captured"] for r in rows] == sorted(r["captured"] for r in rows)
+
+
+def test_equal_digest_needs_equal_payload(spark):
+    rows = spark.createDataFrame([(1, b"a", 3), (2, b"b", 3), (3, b"a", 3), (3, b"a", 3), (None, b"a", 3)], "page_id long, sha256 binary, size long")
+    assert [(r["page_id"], r["first"]) for r in warc.revisits(rows).collect()] == [(3, 1)]
