@@ -3,8 +3,8 @@
 Writing: every page becomes a response record, or a revisit of the record with the smallest page_id among those of equal
 payload (equal SHA-256 and size). Only digests and ids are grouped; payloads stay where they are read unless the list of revisits is long.
 Records are lines of Spark's text writer whose line separator is the blank line that ends a WARC record,
-so any store that Spark writes to works and lost tasks are redone by its commit protocol. Files are plain WARC, so that a
-record's offset and length in the index are places in the file itself.
+so any store that Spark writes to works and lost tasks are redone by its commit protocol. Each file is one gzip stream, which Spark
+does not split, so that a file's segments come in order; a record's offset and length in the index are places in the inflated stream.
 
 Reading: the same separator feeds segments in order to a parser that follows Content-Length, one record at a time.
 Every task sorts its index entries in runs of RUN rows. Runs are dealt to ranges of (url key, timestamp, page_id); in
@@ -114,7 +114,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write the WARC files of all pages to a folder, at most FILE records each."""
-    records(pages, least).write.options(lineSep=END, compression="none", maxRecordsPerFile=FILE).text(path)
+    records(pages, least).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE).text(path)
 
 
 def url_key(url: str) -> str:

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 from pathlib import Path
@@ -45,7 +46,7 @@ def test_round_trip_equals_brute_force(spark, monkeypatch):
 def test_files_are_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.b/c", "hi", "", 1), (2, None, "hi", "", 1)], SCHEMA)
     warc.write_archives(df, f"file://{tmp_path}/w")
-    text = b"".join(p.read_bytes() for p in Path(tmp_path, "w").glob("part-*"))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("part-*"))
     assert text.count(b"WARC/1.1\r\n") == 2 and text.endswith(b"\r\n\r\n") and b"WARC-Refers-To: <urn:page:1>" in text
 
 
@@ -69,7 +70,7 @@ def test_empty_table(spark):
 def test_offsets_are_places_in_the_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://a.b/{i % 3}", f"text {i % 5} é\r\n\r\n", "", 1) for i in range(40)], SCHEMA)
     for r in warc.capture_index(df, folder=f"file://{tmp_path}/w").collect():
-        record = Path(tmp_path, "w", r["archive"]).read_bytes()[r["offset"] : r["offset"] + r["length"]]
+        record = gzip.decompress(Path(tmp_path, "w", r["archive"]).read_bytes())[r["offset"] : r["offset"] + r["length"]]
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"<urn:page:{r['page_id']}>".encode() in record
 
 
