@@ -31,6 +31,8 @@ SEED, THRESHOLD, LONG = 3, 0.4, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of a benchmark that is broadcast (8 bytes each); the words of a larger one are joined to the documents by item.
 WORDS = 1_000_000
+#: Numbers (8 bytes each) of a table of documents, items and diagonals that is broadcast; a longer one is joined by shuffle.
+PLACES = 3_000_000
 #: Bits of the seeds' bit map: 8 MB.
 SIEVE = 26
 
@@ -205,7 +207,7 @@ def passages(documents: DataFrame, benchmark: DataFrame, threshold: float = THRE
     met = joined.groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
     met = materialize(met, "met")
     size = met.agg(F.count("*"), F.coalesce(F.sum(F.size("diagonals")), F.lit(0))).first()
-    few = 4 * size[0] + size[1] <= BROADCAST_IDS
+    few = 4 * size[0] + size[1] <= PLACES
     if (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= WORDS:
         words = {r["item"]: (r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in items.toLocalIterator()}
         found = met.groupBy("key").agg(F.collect_list(F.struct("item", "diagonals")).alias("met"))

@@ -187,7 +187,7 @@ def _sides(table: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: Hot) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the second and third order and of the share of the hash range."""
+    """The pairs (a, b), written, that pass the filters of the second and third order and of the share of the hash range."""
     below = np.uint64(int(SHARE * 2**64))
     columns = {
         "second": ("int", lambda s: s[_order(s, hot, 1)[: _prefix(len(s), num, den)]].astype(np.uint32).view(np.int32)),
@@ -195,10 +195,13 @@ def plausible(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int
         "part": ("bigint", lambda s: s[mix(s ^ _ORDERS[1]) < below].view(np.int64)),
     }
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    both = _sides(materialize(_build(with_ids(rows_of(documents), ids), k, columns), "parts"), pairs)
+    parts = materialize(_build(with_ids(rows_of(documents), ids), k, columns), "parts")
+    both = _sides(parts, pairs)
     both = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
     apart = F.size("part_a") + F.size("part_b") - 2 * F.size(F.array_intersect("part_a", "part_b"))
-    return both.where((num + den) * apart <= (den - num) * (F.col("n_set_a") + F.col("n_set_b"))).select("a", "b").distinct()
+    out = materialize(both.where((num + den) * apart <= (den - num) * (F.col("n_set_a") + F.col("n_set_b"))).select("a", "b").distinct(), "plausible")
+    discard(parts)
+    return out
 
 
 def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, hot: Hot) -> DataFrame:
@@ -206,7 +209,7 @@ def verify(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int, h
 
     For the count each side's sets are built where its texts are read and move once, to the pairs of their `a`.
     """
-    left = materialize(plausible(pairs, documents, k, num, den, hot), "plausible")
+    left = plausible(pairs, documents, k, num, den, hot)
     rows = rows_of(documents)
     few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
@@ -245,6 +248,7 @@ class _Candidates:
         members = materialize(members.join(F.broadcast(tokens) if few else tokens, "token", "left_semi"), "members")
         leaders = members.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "node", "n")).alias("leader"))
         leaders = materialize(leaders.where("rows > 1").drop("rows"), "leaders")
+        discard(tokens, again)
         self.shared = members.join(leaders, "token")
 
     def _shared_tokens(self, first: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from cadenza.llm.token_counts import RUN, encoder, vocabulary_path
 CAPACITY = 2048
 END_ID = 0
 #: Steps of the search (looks at fillings, and eight lengths of a node's bound each), after which the best solution so far stands.
-NODES = 200_000
+NODES = 60_000
 #: Fillings that are found before the fullest of them is tried.
 LOT = 64
 #: Pieces of one length and salt, on average, in the largest possible class.
@@ -153,37 +153,57 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None =
     budget = iter(count()) if nodes is None else iter(range(nodes))
     spent = False
 
-    # one frame a node: what is left, sequences used, the plan so far, and the fillings and multiplicities still to try
-    def branches(rest: dict[int, int]) -> Iterator[tuple[int, dict[int, int]]]:
+    rest = dict(counts)  # what is left at the node that is looked at; a node's own pieces go in and come out of it
+
+    def branches() -> Iterator[tuple[int, dict[int, int]]]:
+        """The ways to place the largest piece, each with how many sequences alike; `rest` is the node's own whenever it goes on."""
         largest = max(rest)
-        less = rest | {largest: rest[largest] - 1}
-        for filling in fillings(sorted(-x for x in less if less[x] > 0), less, capacity - largest, budget):
+        rest[largest] -= 1
+        ways = fillings(sorted(-x for x in rest if rest[x] > 0), rest, capacity - largest, budget)
+        rest[largest] += 1
+        while True:
+            rest[largest] -= 1
+            filling = next(ways, None)
+            rest[largest] += 1
+            if filling is None:
+                return
             pattern = dict(filling)
             pattern[largest] = pattern.get(largest, 0) + 1
             # as many alike as there can be, then fewer: those that remain take other fillings
             for times in range(min(rest[x] // k for x, k in pattern.items()), 0, -1):
                 yield times, pattern
 
-    stack = [(counts, 0, (), branches(counts))] if counts and most > least else []
+    def move(times: int, pattern: dict[int, int]) -> None:
+        for x, k in pattern.items():
+            left = rest.get(x, 0) - times * k
+            if left:
+                rest[x] = left
+            else:
+                del rest[x]
+
+    stack = [(0, {}, 0, branches())] if rest and most > least else []  # (sequences alike, their pattern, sequences so far, what is to try)
     while stack and most > least and not spent:
-        rest, used, plan, todo = stack[-1]
+        times, pattern, used, todo = stack[-1]
         step = next(todo, None)
         if next(islice(budget, len(rest) // 8, None), None) is None:
             spent = True
         if step is None:
             stack.pop()
+            move(-times, pattern)
             continue
-        times, pattern = step
-        after = {x: v - times * pattern.get(x, 0) for x, v in rest.items()}
-        after = {x: v for x, v in after.items() if v > 0}
-        if used + times + _bound(after, capacity) >= most:  # the waste so far rules out anything better
+        total = used + step[0]
+        move(*step)
+        if total + _bound(rest, capacity) >= most:  # the waste so far rules out anything better
+            move(-step[0], step[1])
             continue
-        chosen = (*plan, (times, tuple(sorted(pattern.items(), reverse=True))))
-        finish = best_fit(after, capacity)
-        if (total := used + times + sum(n for n, _ in finish)) < most:
-            best, most = [*chosen, *finish], total
-        if after:
-            stack.append((after, used + times, chosen, branches(after)))
+        finish = best_fit(rest, capacity)
+        if (whole := total + sum(n for n, _ in finish)) < most:
+            chosen = [*((t, p) for t, p, *_ in stack if t), step]
+            best, most = [*((t, tuple(sorted(p.items(), reverse=True))) for t, p in chosen), *finish], whole
+        if rest:
+            stack.append((*step, total, branches()))
+        else:
+            move(-step[0], step[1])
     return best, most == least or not spent
 
 

@@ -7,7 +7,7 @@ on n-grams and contexts, dealt out by key, so no task and no worker holds the mo
 Per-document perplexity comes from count joins. A document's n-grams are counted where its text is read. The HEAD most frequent
 n-grams of the trusted text, a table of that bounded size, are joined there by broadcast, which keeps the hot keys out of any
 shuffle. All others go on as rows (document, n-gram, count): each distinct one is looked up once, order by order, in the sharded model,
-and its probability is joined back to the rows. Nothing is dropped: `perplexity` is exact for any HEAD, zero included.
+and its probability is joined back to the rows, by broadcast again for the HEAD that most documents have. Nothing is dropped: `perplexity` is exact for any HEAD, zero included.
 
 The score is the perplexity per symbol over the whole text, shrunk towards the trusted mean by PRIOR symbols so that
 texts of a few words are not judged by chance. One in HELD trusted documents is kept out of the model; the thresholds come from those. A
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.runs import counted, summed
-from cadenza.llm.shared import BROADCAST_IDS, lean, materialize, rows_of, small_batches, text_column, text_slices, with_ids
+from cadenza.llm.shared import discard, lean, materialize, rows_of, small_batches, text_column, text_slices, with_ids
 from cadenza.llm.words import ROW, mix, word_hashes
 
 CLASSES, ORDER, BITS = 256, 5, 8
@@ -113,10 +113,11 @@ def model(counts: DataFrame) -> dict[int, DataFrame]:
 
 
 def bits_of(grams: DataFrame, orders: dict[int, DataFrame]) -> DataFrame:
-    """gram, bits (-log2 p) of distinct ORDER-grams, observed or not, by joins with the model order by order.
+    """gram, bits (-log2 p) of distinct ORDER-grams, observed or not, by joins with the model order by order; other columns stay.
 
     Tables of one or two symbols have at most CLASSES**2 rows and are broadcast; longer ones are sharded by n-gram and by context.
     """
+    given = grams.columns
     small = lambda table, symbols: F.broadcast(table) if symbols <= 2 else table
     for k in range(ORDER, 0, -1):
         grams = grams.withColumn(f"g{k}", F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)).withColumn(f"c{k}", F.shiftright(f"g{k}", BITS))
@@ -125,7 +126,7 @@ def bits_of(grams: DataFrame, orders: dict[int, DataFrame]) -> DataFrame:
     p = F.lit(1.0 / CLASSES)
     for k in range(1, ORDER + 1):
         p = F.coalesce(f"p{k}", F.coalesce(f"w{k}", F.lit(1.0)) * p)
-    return grams.select("gram", (-F.log2(F.greatest(p, F.lit(1e-12)))).alias("bits"))
+    return grams.select(*given, (-F.log2(F.greatest(p, F.lit(1e-12)))).alias("bits"))
 
 
 def _slot(grams: np.ndarray, size: int) -> np.ndarray:
@@ -190,11 +191,18 @@ def perplexity(documents: DataFrame, orders: dict[int, DataFrame], *more: str, h
     top = orders[ORDER].orderBy(F.desc("n"), "gram").limit(head).select("gram", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
     rows = materialize(gather(documents, top.toArrow(), *more), "documents-scored", compression="zstd")
     tails = rows.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.gram", "t.n")
-    looked = materialize(bits_of(tails.select("gram").distinct(), orders), "bits")
-    few = looked.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
-    more_bits = tails.join(F.broadcast(looked) if few else looked, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("tail_bits"))
+    looked = materialize(bits_of(tails.groupBy("gram").agg(F.count("*").alias("texts")), orders), "bits")
+    # those that most texts have are joined by broadcast, the others by shuffle: hot keys don't move
+    often = looked.orderBy(F.desc("texts"), "gram").limit(head).drop("texts")
+    found = tails.join(F.broadcast(often), "gram")
+    if looked.limit(head + 1).count() > head:
+        often = materialize(often, "often")
+        found = tails.join(F.broadcast(often), "gram").unionByName(tails.join(F.broadcast(often), "gram", "left_anti").join(looked.drop("texts").join(F.broadcast(often), "gram", "left_anti"), "gram"))
+    more_bits = found.groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("tail_bits"))
     scored = rows.drop("tail").join(more_bits, "row", "left")
-    return scored.select("doc_id", *more, "n_symbols", (F.col("bits") + F.coalesce("tail_bits", F.lit(0.0))).alias("bits"), "fresh")
+    out = materialize(scored.select("doc_id", *more, "n_symbols", (F.col("bits") + F.coalesce("tail_bits", F.lit(0.0))).alias("bits"), "fresh"), "perplexity")
+    discard(rows, looked)
+    return out
 
 
 def classify(documents: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, slack: float = SLACK, prior: int = PRIOR, held: int = HELD) -> DataFrame:
@@ -208,7 +216,9 @@ def classify(documents: DataFrame, labels: DataFrame, low: float = LOW, high: fl
     rows = documents.withColumn("lang", F.col("lang").cast("string"))
     if counts.isEmpty():
         return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.lit(0).cast("long").alias("n_symbols"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "high", "fresh")), F.lit(True).alias("kept"))
-    scored = materialize(perplexity(rows, model(counts), "lang"), "perplexity")
+    orders = model(counts)
+    scored = perplexity(rows, orders, "lang")
+    discard(counts, *orders.values())
     known = materialize(scored.join(trusted, "doc_id"), "trusted")  # as many rows as there are trusted documents
     if known.where("out and n_symbols > 0").isEmpty():
         known = known.withColumn("out", F.lit(True))

@@ -31,6 +31,7 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    trim()  # the driver holds nothing of what was collected for the plan
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -90,7 +91,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Ids that may be broadcast to filter a scan (8 bytes each); a longer list is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 600_000
 
 
 def rows_of(documents: DataFrame, *more: str) -> DataFrame:

@@ -36,7 +36,7 @@ from cadenza.llm.words import word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE, KEPT = 600_000, 64
+CACHE, KEPT = 250_000, 64
 #: Bytes of text whose distinct pieces are found together.
 RUN = 4 << 20
 #: Characters that pieces on the fast path may have: printable ASCII, letters and signs from U+00A1 without the soft hyphen.

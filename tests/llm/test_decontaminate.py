@@ -67,6 +67,7 @@ def test_joined_words_give_the_same(spark, monkeypatch):
     one = {(x["doc_id"], x["item_id"], x["score"]) for x in d.passages(docs, bench).collect()}
     monkeypatch.setattr(d, "WORDS", 30)
     monkeypatch.setattr(d, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(d, "PLACES", 1)
     assert {(x["doc_id"], x["item_id"], x["score"]) for x in d.passages(docs, bench).collect()} == one and len(one) == 12
 
 

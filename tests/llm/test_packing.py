@@ -54,7 +54,7 @@ def test_bin_completion_beats_best_fit_on_triplets():
         a = r.randint(26, 48)
         b = r.randint(26, 74 - a)
         c.update([a, b, 100 - a - b])
-    assert sum(n for n, _ in p.solve(c, 100)[0]) == 20 < sum(n for n, _ in p.best_fit(c, 100))
+    assert sum(n for n, _ in p.solve(c, 100, nodes=200_000)[0]) == 20 < sum(n for n, _ in p.best_fit(c, 100))
 
 
 def test_pieces_and_places(spark):
