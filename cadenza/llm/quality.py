@@ -13,7 +13,8 @@ The score is the perplexity per symbol over the whole text, shrunk towards the t
 texts of a few words are not judged by chance. One in HELD trusted documents is kept out of the model; the thresholds come from those. A
 document is rejected above their HIGH quantile for its language times SLACK; a language without any takes the quantile of all
 of them. A repeated word is as likely to the model as the word itself, so repetition has a measure of its own: the share
-of a text's word pairs that it holds for the first time, PAIRS new ones added to both counts. Below the LOW quantile of the
+of a text's word pairs that it holds for the first time in a stretch of WINDOW pairs, so that long texts are judged like short ones, PAIRS new
+ones added to both counts. Below the LOW quantile of the
 trusted documents over SLACK the document is rejected. Words are separated by white space; repetition without any is not seen.
 
 Null and empty texts have the trusted mean and are kept. Texts are read whole, however long. Without any trusted text every document is kept
@@ -41,7 +42,7 @@ HEAD, GATHERED = 1 << 18, 1 << 21
 #: Bytes of text that are looked up together; a batch's texts, 1000 at most, fit their numbers into the bits beside an n-gram.
 SLICE = 1 << 18
 PRIOR, LOW, HIGH, SLACK, HELD = 80, 0.0005, 0.995, 1.06, 5
-PAIRS = 20
+PAIRS, WINDOW = 20, 200
 #: The symbol of each byte; 0 stands for the start of a text.
 CLASS = np.array([ord("0") if chr(b) in "0123456789" else max(b, 1) for b in range(256)], np.int64)
 
@@ -142,12 +143,14 @@ def _slots(grams: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def fresh(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The share of each text's word pairs that are new in it, with PAIRS new ones added."""
+    """The share of each text's word pairs that are new in their stretch of WINDOW pairs of it, with PAIRS new ones added."""
     hashes, n = word_hashes(data, offs)
     row = np.repeat(np.arange(len(n)), n)
     same = row[1:] == row[:-1]
     of = row[1:][same]
-    pairs = mix(hashes[:-1] * ROW + hashes[1:])[same] ^ mix(of.astype(np.uint64) + ROW)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    stretch = (of << 32) | (place[1:][same] - 1) // WINDOW
+    pairs = mix(hashes[:-1] * ROW + hashes[1:])[same] ^ mix(stretch.astype(np.uint64) + ROW)
     new = of[np.unique(pairs, return_index=True)[1]]
     return (np.bincount(new, minlength=len(n)) + PAIRS) / (np.bincount(of, minlength=len(n)) + PAIRS)
 
