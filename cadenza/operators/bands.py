@@ -13,14 +13,25 @@ def band_offsets(widths: DataFrame, keys: list[str], limit: int | None = None) -
     return rows if limit is None else rows.where(F.col("sfb") < limit)
 
 
-def bandwidth_limit(widths: DataFrame, requests: DataFrame, length: int) -> DataFrame:
-    """rate, bandwidth, n_bands, bins, snapped: how many bands reach the wanted bandwidth, and the bandwidth they give."""
-    upto = Window.orderBy("sfb").rowsBetween(Window.unboundedPreceding, -1)  # the band table is a dimension of a few dozen rows
-    placed = widths.select("sfb", "width", F.coalesce(F.sum("width").over(upto), F.lit(0)).alias("start"))
-    bins = F.floor(F.col("bandwidth") * (2 * length) / F.col("rate"))
-    joined = requests.withColumn("_max", bins).join(F.broadcast(placed), F.col("start") < F.col("_max"), "left")
-    out = joined.groupBy("rate", "bandwidth").agg(F.count("sfb").cast("int").alias("n_bands"), F.coalesce(F.sum("width"), F.lit(0)).cast("int").alias("bins"))
-    return out.withColumn("snapped", F.col("bins") * F.col("rate") / (2.0 * length))
+def bandwidth_limit(short: list[int], long: list[int], requests: DataFrame, noise: bool = True) -> DataFrame:
+    """The rows of requests (rate, bandwidth) with n_short, n_bands, bins, snapped: how many bands of each block reach the bandwidth.
+
+    With noise substitution the bands of a short block snap the bandwidth before those of a long one are counted. Widths are those
+    of one rate; bandwidths are whole numbers of Hz, rounded down.
+    """
+
+    def reached(bandwidth: Column, widths: list[int]) -> tuple[Column, Column]:
+        """(bands, bins) that begin below the bandwidth."""
+        most = F.floor(bandwidth * (2 * sum(widths)) / F.col("rate"))
+        starts = [sum(widths[:i]) for i in range(len(widths))]
+        n = F.size(F.filter(F.lit(starts), lambda s: s < most))
+        return n, F.get(F.lit([*starts, sum(widths)]), n)
+
+    n_short, bins = reached(F.col("bandwidth"), short)
+    snap = F.floor(bins * F.col("rate") / (2 * sum(short))) if noise else F.col("bandwidth")
+    n_long, bins = reached(F.col("_snap"), long)
+    out = requests.withColumns({"n_short": n_short, "_snap": snap}).withColumns({"n_bands": n_long, "bins": bins}).drop("_snap")
+    return out.withColumn("snapped", F.floor(F.col("bins") * F.col("rate") / (2 * sum(long))))
 
 
 def with_bands(bins: DataFrame, bands: DataFrame, limit: int | None = None) -> DataFrame:
@@ -41,14 +52,19 @@ def masking_targets(energy: DataFrame, keys: list[str], last: int, bands: DataFr
     """target amplitude of each band, from the band's mean and peak energy against the frame's."""
     total = Window.partitionBy(*keys)
     rows = energy.join(F.broadcast(bands.select("sfb", "start", "end")), "sfb").withColumn("total", F.sum("energy").over(total))
-    width = F.col("end") - F.col("start")
-    expected = F.col("total") / last * width
-    tonal = 0.2 * F.pow(F.col("energy") / expected, F.lit(0.4))
-    peaky = 0.8 * 0.45 * F.pow(F.col("peak") * (width * windows) / expected, F.lit(0.4))
-    shape = 10.0 / (1 + (F.col("start") + F.col("end")) / last)
+    target = target_of(F.col("energy"), F.col("peak"), F.col("start"), F.col("end"), F.col("total"), last, windows, short, quality)
+    return rows.withColumn("target", target).drop("start", "end")
+
+
+def target_of(energy: Column, peak: Column, start: Column, end: Column, total: Column, last: int, windows: int = 1, short: bool = False, quality: float = 1.0) -> Column:
+    """Target amplitude of one band; total: the frame's energy."""
+    width = end - start
+    expected = total / last * width
+    tonal = 0.2 * F.pow(energy / expected, F.lit(0.4))
+    peaky = 0.8 * 0.45 * F.pow(peak * (width * windows) / expected, F.lit(0.4))
+    shape = 10.0 / (1 + (start + end) / last)
     target = (tonal + peaky) * (1.5 if short else 1.0) * shape * quality
-    silent = F.col("total") < 0.16 * last * windows
-    return rows.withColumn("target", F.when(silent, 0.0).otherwise(target)).drop("start", "end")
+    return F.when(total < 0.16 * last * windows, 0.0).otherwise(target)
 
 
 def largest(quantized: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.signal import ROUNDING, STEP, escape_bits
+from cadenza.functions.signal import STEP, escape_bits, quantize
 from cadenza.plans.tables import BOOKS, ESCAPE, INTENSITY, INTENSITY_OUT, NOISE, ZERO
 
 #: Rms below which a band is empty, largest change of a scale factor, bits of a codebook number.
@@ -14,22 +14,32 @@ QUIET, CLAMP, BOOK_BITS = 0.4, 60, 4
 
 def band_plan(targets: DataFrame, noise_level: int = 4) -> DataFrame:
     """book (zero, noise or null: to be coded), sfac, scale, sf of each band; targets: energy, n, target."""
-    rms = F.sqrt(F.col("energy") / F.col("n"))
-    empty = (rms < QUIET) | (F.col("target") == 0)
-    noisy = ~empty & (F.col("target") < 0.1 * noise_level)
-    sfac = F.when(~empty & (rms > 0), F.rint(F.log10(F.col("target") / rms) * STEP))
-    fine = F.col("sfac") > 90  # its scale factor would fall below the least one
+    rms, sfac = step_of(F.col("energy"), F.col("n"), F.col("target"))
     rows = targets.withColumns({"rms": rms, "sfac": sfac})
-    level = F.rint(F.log10(F.greatest("energy", F.lit(1e-30))) * (0.5 * STEP))
-    book = F.when(empty, ZERO).when(noisy, NOISE).when(fine, ZERO)
-    sf = F.when(empty, 0).when(noisy, level).when(fine, 100 - F.col("sfac")).otherwise(100 - F.col("sfac"))
-    return rows.withColumns({"book": book, "scale": F.when(book.isNull(), F.pow(F.lit(10.0), F.col("sfac") / STEP)), "sf": sf.cast("int")})
+    book, scale, sf = decision_of(F.col("energy"), F.col("rms"), F.col("target"), F.col("sfac"), noise_level)
+    return rows.withColumns({"book": book, "scale": scale, "sf": sf})
+
+
+def step_of(energy: Column, n: Column, target: Column) -> tuple[Column, Column]:
+    """(rms, sfac) of a band; sfac is null where nothing is left of it."""
+    rms = F.sqrt(energy / n)
+    return rms, F.when((rms >= QUIET) & (target != 0) & (rms > 0), F.rint(F.log10(target / rms) * STEP))
+
+
+def decision_of(energy: Column, rms: Column, target: Column, sfac: Column, noise_level: int = 4) -> tuple[Column, Column, Column]:
+    """(book, scale, sf) of a band: book is zero, noise or, where it is to be coded, null."""
+    empty = (rms < QUIET) | (target == 0)
+    noisy = ~empty & (target < 0.1 * noise_level)
+    level = F.rint(F.log10(F.greatest(energy, F.lit(1e-30))) * (0.5 * STEP))
+    book = F.when(empty, ZERO).when(noisy, NOISE).when(sfac > 90, ZERO)  # beyond, its scale factor would fall below the least one
+    sf = F.when(empty, 0).when(noisy, level).otherwise(100 - sfac)
+    return book, F.when(book.isNull(), F.pow(F.lit(10.0), sfac / STEP)), sf.cast("int")
 
 
 def quantized(bins: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """Bins (x) of the bands to be coded, with q."""
     rows = bins.join(plan.where("book is null").select(*keys, "sfb", "scale"), [*keys, "sfb"])
-    return rows.withColumn("q", (F.signum("x") * F.floor(F.pow(F.abs("x") * F.col("scale"), F.lit(0.75)) + ROUNDING)).cast("int"))
+    return rows.withColumn("q", quantize(F.col("x"), F.col("scale")))
 
 
 def candidate_books(max_q: Column) -> Column:
@@ -47,17 +57,23 @@ def tuple_rows(q: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 def _index(book: Column, v: Column) -> Column:
     """Place of a tuple in a book: digits of the book's base, shifted where signs are in the index."""
-    out = None
-    for b, (top, size, signed) in BOOKS.items():
-        base = 2 * top + 1 if signed else top + 1
-        at = F.lit(0)
-        for i in range(size):
-            digit = F.get(v, F.lit(i))
-            at = at * base + (digit + top if signed else F.least(F.abs(digit), F.lit(top)))
-        out = F.when(book == b, at) if out is None else out.when(book == b, at)
+    out = F.when(book == 1, tuple_place(v, 1))
+    for b in list(BOOKS)[1:]:
+        out = out.when(book == b, tuple_place(v, b))
     return out
 
 
+def tuple_place(v: Column, book: int) -> Column:
+    """Place of a tuple in one book."""
+    top, size, signed = BOOKS[book]
+    base = 2 * top + 1 if signed else top + 1
+    at = F.lit(0)
+    for i in range(size):
+        digit = F.get(v, F.lit(i))
+        at = at * base + (digit + top if signed else F.least(F.abs(digit), F.lit(top)))
+    return at
+
+
 def coded_sizes(q: DataFrame, keys: list[str], codes: DataFrame) -> DataFrame:
     """keys, sfb, book, bits of every candidate book of every band; codes: book, idx, len (a dimension table)."""
     top = q.groupBy(*keys, "sfb").agg(F.max(F.abs("q")).alias("max_q"))
@@ -95,8 +111,18 @@ def scale_factor_deltas(bands: DataFrame, keys: list[str]) -> DataFrame:
     band that is neither zero nor intensity. The fold is per frame, over its few dozen bands.
     """
     packed = bands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sfb", "book", "sf"))).alias("l"))
-    coded = F.filter("l", lambda b: (b["book"] != ZERO) & ~b["book"].isin(INTENSITY, INTENSITY_OUT))
-    packed = packed.withColumn("global_gain", F.coalesce(F.get(coded, F.lit(0))["sf"], F.lit(0)))
+    packed = packed.withColumn("global_gain", first_gain(F.col("l")))
+    return packed.select(*keys, "global_gain", changes(F.col("l"), F.col("global_gain")).alias("deltas"))
+
+
+def first_gain(bands: Column) -> Column:
+    """The first scale factor of a band that is neither zero nor intensity; 0 without one."""
+    coded = F.filter(bands, lambda b: (b["book"] != ZERO) & ~b["book"].isin(INTENSITY, INTENSITY_OUT))
+    return F.coalesce(F.get(coded, F.lit(0))["sf"], F.lit(0))
+
+
+def changes(bands: Column, gain: Column) -> Column:
+    """kind, sfb, diff of the scale factors of an array of bands (sfb, book, sf), see scale_factor_deltas."""
 
     def step(s: Column, b: Column) -> Column:
         is_int, is_noise = b["book"].isin(INTENSITY, INTENSITY_OUT), b["book"] == NOISE
@@ -109,8 +135,8 @@ def scale_factor_deltas(bands: DataFrame, keys: list[str]) -> DataFrame:
         add = lambda c, on: c + F.when(on & ~skip, diff).otherwise(0)
         return F.struct(add(s["g"], ~is_int & ~is_noise).alias("g"), add(s["i"], is_int).alias("i"), add(s["n"], is_noise).alias("n"), (s["heard"] | is_noise).alias("heard"), F.when(skip, s["out"]).otherwise(F.concat(s["out"], F.array(put))).alias("out"))
 
-    start = F.struct(F.col("global_gain").alias("g"), F.lit(0).alias("i"), (F.col("global_gain") - 90).alias("n"), F.lit(False).alias("heard"), F.expr("cast(array() as array<struct<kind:int,sfb:int,diff:int>>)").alias("out"))
-    return packed.select(*keys, "global_gain", F.aggregate("l", start, step, lambda s: s["out"]).alias("deltas"))
+    start = F.struct(gain.alias("g"), F.lit(0).alias("i"), (gain - 90).alias("n"), F.lit(False).alias("heard"), F.expr("cast(array() as array<struct<kind:int,sfb:int,diff:int>>)").alias("out"))
+    return F.aggregate(bands, start, step, lambda s: s["out"])
 
 
 def delta_bits(deltas: DataFrame, keys: list[str], codes: DataFrame) -> DataFrame:

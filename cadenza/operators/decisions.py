@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 LONG, LONG_SHORT, ONLY_SHORT, SHORT_LONG = 0, 1, 2, 3
 
 
-def transients(energy: DataFrame, stream: list[str], per_frame: int, quality: Column | float = 1.0, limit: float = 3.0, before: int = 2, after: int = 2) -> DataFrame:
+#: Least quality that block switching uses, first band it looks at, first band of mid/side in long and short blocks.
+LEAST_QUALITY, FIRST_BAND, FIRST_LONG, FIRST_SHORT = 0.4, 2, 8, 1
+
+
+def transients(energy: DataFrame, stream: list[str], per_frame: int, quality: Column | float = 1.0, limit: float = 3.0, before: int = 2, after: int = 2, first_band: int = FIRST_BAND) -> DataFrame:
     """Whether a frame holds a jump of energy; energy: stream, win_no (numbered through all frames), sfb, energy.
 
-    Neighbouring windows are compared from `before` windows ahead of the frame to `after` past it. The ratio of change to common
-    energy is written as a product, so silence on both sides is no jump and any change from silence is one.
+    Neighbouring windows are compared from `before` windows ahead of the frame to `after` past it, on the bands from `first_band` on.
+    The ratio of change to common energy is written as a product, so silence on both sides is no jump and any change from silence is one.
     """
+    quality = F.greatest(F.lit(quality), F.lit(LEAST_QUALITY))
     w = Window.partitionBy(*stream, "sfb").orderBy("win_no")
-    steps = energy.withColumn("last", F.lag("energy").over(w)).where("last is not null")
+    steps = energy.where(F.col("sfb") >= first_band).withColumn("last", F.lag("energy").over(w)).where("last is not null")
     steps = steps.groupBy(*stream, "win_no").agg(F.sum(F.abs(F.col("energy") - F.col("last"))).alias("change"), F.sum(F.least("energy", "last")).alias("common"))
     steps = steps.withColumn("jump", F.col("change") * quality > limit * F.col("common"))
     # the step into window v belongs to every frame whose span of windows, without its first, holds v
@@ -29,6 +34,17 @@ def transients(energy: DataFrame, stream: list[str], per_frame: int, quality: Co
     return frames.join(found, [*stream, "frame_no"], "left").withColumn("transient", F.coalesce("transient", F.lit(False)))
 
 
+def by_layout(flags: DataFrame, layout: DataFrame, stream: str, channel: str = "channel") -> DataFrame:
+    """stream, frame_no, channel, kind, wants_short by the channel's element; flags: stream, channel, frame_no, transient.
+
+    Singles and both channels of a pair go by their own transients, a low-frequency channel stays with long blocks; channels
+    that the layout (channel, kind) does not have are left out.
+    """
+    kinds = F.broadcast(layout.select(F.col("channel").alias(channel), "kind"))  # one row a channel, 64 at most
+    wants = F.when(F.col("kind") == "lfe", F.lit(False)).otherwise(F.col("transient"))
+    return flags.join(kinds, channel).select(stream, "frame_no", channel, "kind", wants.alias("wants_short"))
+
+
 def block_types(wants: DataFrame, stream: str, forced: Column | None = None) -> DataFrame:
     """block_type from the wish for short blocks of any channel (stream, frame_no, wants_short): a window form of the state machine."""
     any_channel = wants.groupBy(stream, "frame_no").agg(F.max("wants_short").alias("d"))
@@ -51,16 +67,17 @@ def pair_energies(banded: DataFrame, pair: list[str], side: str) -> DataFrame:
     return both.groupBy(*pair, "sfb").agg(square(lv).alias("e_left"), square(rv).alias("e_right"), square(lv + rv).alias("e_sum"), square(lv - rv).alias("e_diff"))
 
 
-def mid_side(energy: DataFrame, quality: float = 1.0) -> DataFrame:
-    """ms: in_phase, out_of_phase or null; muted: the quiet side that is silenced, or null."""
+def mid_side(energy: DataFrame, quality: float = 1.0, first: int = FIRST_LONG) -> DataFrame:
+    """ms: in_phase, out_of_phase or null; muted: the quiet side that is silenced, or null. Bands below `first` stay as they are."""
+    used = F.col("sfb") >= first
     mid_limit = (1 + min(0.09 / quality, 0.25)) ** 2
     mute_limit = min(0.1 / quality, 0.3) ** 2
     s, d = F.col("e_sum") / 4, F.col("e_diff") / 4
     low, high = F.least("e_left", "e_right"), F.greatest("e_left", "e_right")
-    close = low * mid_limit >= F.greatest(s, d)
+    close = used & (low * mid_limit >= F.greatest(s, d))
     both = F.col("e_left") + F.col("e_right")
     ms = F.when(close & (s * mid_limit * 2 >= both), "in_phase").when(close & (d * mid_limit * 2 >= both), "out_of_phase")
-    muted = F.when(low <= mute_limit * high, F.when(F.col("e_left") <= F.col("e_right"), "left").otherwise("right"))
+    muted = F.when(used & (low <= mute_limit * high), F.when(F.col("e_left") <= F.col("e_right"), "left").otherwise("right"))
     return energy.withColumns({"ms": ms, "muted": muted})
 
 

@@ -53,6 +53,17 @@ def control(frames: DataFrame, stream: str, wanted: float, quality: float = 100.
     return rows.repartition(stream).sortWithinPartitions(stream, "frame_no").mapInPandas(run, schema)
 
 
+def progress(report: dict, rate: int, frame: int = 1024, channels: int = 1) -> dict[str, float]:
+    """Counters of a micro-batch's progress report (as StreamingQuery.lastProgress gives it), whose input rows are samples.
+
+    frames, seconds of signal, frames a second of run time, and how many times faster than play time it ran.
+    """
+    samples = report["numInputRows"] / channels
+    took = report["durationMs"].get("triggerExecution", 0) / 1000
+    played = samples / rate
+    return {"frames": samples // frame, "played": played, "frames_per_second": samples / frame / took if took else 0.0, "speed": played / took if took else 0.0}
+
+
 def started(frames: DataFrame, stream: str, hold: int = 3) -> DataFrame:
     """The frames of each stream after the first `hold`, which only fill the delay buffers, renumbered from 0."""
     w = Window.partitionBy(stream)

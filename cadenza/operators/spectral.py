@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.signal import hann
+from cadenza.operators.framing import sliding_windows
+
 #: Fixed values of the noise-shaping filters: coefficients at most this small are dropped at the end, gain from which a filter is used, bits of a coefficient.
 SMALLEST, GAIN, BITS = 0.1, 1.4, 4
 
@@ -56,22 +60,74 @@ def _on_arrays(rows: DataFrame, column: str, make, out: dict[str, str]) -> DataF
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            results: list = [None] * len(lists)
-            for size in {len(x) for x in lists if x}:
-                at = [i for i, x in enumerate(lists) if x and len(x) == size]
-                found = make(np.array([lists[i] for i in at], float))
-                for j, i in enumerate(at):
-                    results[i] = [np.asarray(f[j]).tolist() for f in found]
-            cols = [pa.array([None if r is None else r[j] for r in results], pa.list_(pa.float64()) if t.startswith("array") else pa.float64()) for j, t in enumerate(out.values())]
+            lists = batch.column(batch.schema.get_field_index(column))
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            first = np.cumsum(n) - n
+            found = []
+            for size in np.unique(n[n > 0]).tolist():
+                at = np.flatnonzero(n == size)
+                found.append((at, make(flat[first[at][:, None] + np.arange(size)])))
+            cols = [_column(len(n), [(at, np.asarray(f[j], float)) for at, f in found], t.startswith("array")) for j, t in enumerate(out.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *cols], names=[*keep, *out])
 
     return rows.mapInArrow(apply, schema)
 
 
-def lapped(rows: DataFrame, column: str = "samples") -> DataFrame:
-    """Lapped cosine transform of an array column, as `spectrum`."""
-    return _on_arrays(rows, column, lambda x: [fast_lapped(x)], {"spectrum": "array<double>"})
+def _column(rows: int, found: list[tuple[np.ndarray, np.ndarray]], nested: bool) -> pa.Array:
+    """A column of so many rows from (rows' numbers, their values); rows without values are null."""
+    missing = np.ones(rows, bool)
+    sizes = np.zeros(rows, np.int64)
+    for at, values in found:
+        missing[at] = False
+        sizes[at] = values.shape[1] if nested else 1
+    ends = np.cumsum(sizes)
+    flat = np.zeros(ends[-1] if rows else 0)
+    for at, values in found:
+        width = values.shape[1] if nested else 1
+        flat[(ends[at] - width)[:, None] + np.arange(width)] = values.reshape(len(at), width)
+    if nested:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=pa.array(missing))
+    out = np.zeros(rows)
+    out[~missing] = flat
+    return pa.array(out, mask=missing)
+
+
+def lapped(rows: DataFrame, column: str = "samples", window: int | None = None) -> DataFrame:
+    """Lapped cosine transform of an array column, as `spectrum`; of each stretch of `window` samples, one after the other, where given."""
+
+    def make(x: np.ndarray) -> list[np.ndarray]:
+        return [fast_lapped(x if window is None else x.reshape(len(x), -1, window)).reshape(len(x), -1)]
+
+    return _on_arrays(rows, column, make, {"spectrum": "array<double>"})
+
+
+def short_energies(frames: DataFrame, stream: str, widths: list[int], size: int, limit: int | None = None) -> DataFrame:
+    """stream, win_no (through all frames), sfb, energy of the short windows; frames: stream, frame_no, samples (arrays of `size`).
+
+    Short blocks have sum(widths) bins. Each window takes two of them from the middle of a frame on, weighted by a Hann window and transformed.
+    The first bin counts nowhere; bands that begin at or past bin `limit` are left out. Past the last frame is silence.
+    """
+    short = sum(widths)
+    count = size // short
+    after = F.lead("samples").over(Window.partitionBy(stream).orderBy("frame_no"))
+    rows = frames.withColumn("after", F.coalesce(after, F.array_repeat(F.lit(0.0), size)))
+    windows = sliding_windows(F.col("samples"), F.col("after"), 2 * short, short, (size - short) // 2, count)
+    weighted = F.flatten(F.transform(windows, lambda w: F.transform(w, lambda x, i: x * hann(i, 2 * short))))
+    found = lapped(rows.select(stream, "frame_no", weighted.alias("samples")), window=2 * short)
+    sums, start = [], 0
+    for width in widths:
+        first = max(start, 1)
+        if limit is not None and first >= limit:
+            break
+        sums.append((first, start + width - first))
+        start += width
+
+    def banded(w: Column) -> Column:
+        return F.array(*(F.aggregate(F.slice("spectrum", w * short + (first + 1), n), F.lit(0.0), lambda s, x: s + x * x) for first, n in sums))
+
+    rows = found.select(stream, "frame_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), banded)).alias("w", "e"))
+    return rows.select(stream, (F.col("frame_no") * count + F.col("w")).alias("win_no"), F.posexplode("e").alias("sfb", "energy"))
 
 
 def fourier(rows: DataFrame, column: str = "samples") -> DataFrame:
@@ -87,9 +143,11 @@ def fourier(rows: DataFrame, column: str = "samples") -> DataFrame:
 def overlapped(previous: Column, current: Column, block: Column, size: int, short: int) -> Column:
     """Two frames windowed for the transform of a long block; block: 0 long, 1 long to short, 3 short to long.
 
-    The slopes of the window are sines over `size` samples, or over `short` ones in the middle of a flat stretch.
+    The slopes of the window are sines over `size` samples, or over `short` ones in the middle of a flat stretch. Eight short
+    blocks (2) have windows of their own, see `short_blocks`; here they raise.
     """
     flat = (size - short) // 2
+    block = F.when(block == 2, F.raise_error(F.lit("short blocks: use short_blocks")).cast("int")).otherwise(block)
 
     def slope(i: Column, narrow: Column) -> Column:
         wide = F.sin(math.pi / (2 * size) * (i + 0.5))
@@ -101,6 +159,15 @@ def overlapped(previous: Column, current: Column, block: Column, size: int, shor
     return F.concat(rise, fall)
 
 
+def short_blocks(previous: Column, current: Column, size: int, short: int) -> Column:
+    """Two frames cut into the size / short windows of short blocks, each of two blocks weighted by sine slopes, one after the other.
+
+    The windows follow each other by `short` samples around the middle of the two frames; `lapped` with window=2 * short transforms them.
+    """
+    cut = sliding_windows(previous, current, 2 * short, short, (size - short) // 2, size // short)
+    return F.flatten(F.transform(cut, lambda w: F.transform(w, lambda x, i: x * F.sin(math.pi / (2 * short) * (i + 0.5)))))
+
+
 def prediction(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gain, reflection coefficients, quantized ones, residual) of a linear predictor for each row."""
     rows, n = x.shape
@@ -145,10 +212,25 @@ def step_up(k: np.ndarray) -> np.ndarray:
     return a
 
 
-def noise_shaping(rows: DataFrame, order: int, column: str = "spectrum") -> DataFrame:
-    """gain, reflection, indices, residual of the predictor along each spectrum; a gain up to GAIN leaves it as it is."""
+def noise_shaping(rows: DataFrame, order: int, column: str = "spectrum", span: tuple[int, int] | None = None) -> DataFrame:
+    """gain, reflection, indices, residual of the predictor along each spectrum; a gain up to GAIN leaves it as it is.
+
+    With a span (first bin, end bin) the predictor sees and filters these bins only. Spectra of short blocks are not shaped: leave their rows out.
+    """
     out = {"gain": "double", "reflection": "array<double>", "indices": "array<double>", "residual": "array<double>"}
-    return _on_arrays(rows, column, lambda x: list(prediction(x, order)), out)
+
+    def make(x: np.ndarray) -> list[np.ndarray]:
+        lo, hi = span or (0, x.shape[1])
+        gain, reflection, index, residual = prediction(x[:, lo:hi], order)
+        return [gain, reflection, index, np.concatenate([x[:, :lo], residual, x[:, hi:]], 1)]
+
+    return _on_arrays(rows, column, make, out)
+
+
+def shaping_span(starts: list[int], n_bands: int, least: int, most: int) -> tuple[int, int, int]:
+    """(first bin, end bin, length in bands) of the filter; starts: of every band and the end, least and most: the rate's band limits."""
+    lo, hi = max(min(least, most, n_bands), 0), max(min(n_bands, most), 0)
+    return starts[lo], starts[max(lo, hi)], n_bands - least
 
 
 def shaping_order(rate_index: Column, short: Column, mpeg2: Column) -> Column:

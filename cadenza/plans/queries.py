@@ -16,6 +16,7 @@ from cadenza.operators import bands as B
 from cadenza.operators import coding as C
 from cadenza.operators import decisions as D
 from cadenza.operators import framing as R
+from cadenza.operators import payload as P
 from cadenza.operators import rate as Q
 from cadenza.operators import spectral as X
 from cadenza.plans import tables as T
@@ -164,6 +165,18 @@ def filter_bank(spark, sf_dir):
     return X.lapped(both).select("stream_id", "frame_no", F.posexplode("spectrum").alias("bin", "x")).select("stream_id", "frame_no", "bin", r("x"))
 
 
+@query(f"""WITH {_F}, c AS (SELECT DISTINCT stream_id, frame_no FROM f), g AS (SELECT *, {SIZE} * (frame_no - 1) + 7 + 2 * w + t AS n FROM c, range(8) w(w), range(4) t(t)),
+v AS (SELECT g.stream_id, g.frame_no, w, t, coalesce(value, 0) * sin(pi() / 4 * (t + 0.5)) AS v FROM g LEFT JOIN s USING (stream_id, n))
+SELECT stream_id, frame_no, CAST(2 * w + k AS INT) AS bin, round(sum(v * 2 * cos(2 * pi() / 4 * (t + 1.5) * (k + 0.5))), 4) + 0.0 AS x FROM v, range(2) k(k) GROUP BY ALL""")
+def short_filter_bank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    arrays = R.frame_arrays(framed(spark, sf_dir), SIZE, ["stream_id", "frame_no"])
+    before = F.coalesce(F.lag("samples").over(Window.partitionBy("stream_id").orderBy("frame_no")), F.array_repeat(F.lit(0.0), SIZE))
+    cut = arrays.select("stream_id", "frame_no", X.short_blocks(before, F.col("samples"), SIZE, 2).alias("samples"))
+    return X.lapped(cut, window=4).select("stream_id", "frame_no", F.posexplode("spectrum").alias("bin", "x")).select("stream_id", "frame_no", "bin", r("x"))
+
+
 @query("WITH w AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS sfb, p_size AS width FROM part) SELECT p_brand, sfb, width, CAST(coalesce(sum(width) OVER (PARTITION BY p_brand ORDER BY sfb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM w")
 def band_offsets(spark, sf_dir):
     parts = R.number_samples(table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").alias("width")), "p_brand", ["p_partkey"], F.floor(F.col("p_partkey") / 1000), "sfb")
@@ -173,12 +186,16 @@ def band_offsets(spark, sf_dir):
 _LONG = "w(sfb, width) AS (VALUES " + ", ".join(f"({i}, {w})" for i, w in enumerate(T.LONG_44)) + "), p AS (SELECT sfb, width, coalesce(sum(width) OVER (ORDER BY sfb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w)"
 
 
-@query(f"""WITH {_LONG}, q AS (SELECT DISTINCT 44100 AS rate, 100 + (s_suppkey * 211) % 21000 AS bandwidth FROM supplier)
-SELECT rate, bandwidth, CAST(count(sfb) AS INT) AS n_bands, CAST(coalesce(sum(width), 0) AS INT) AS bins, coalesce(sum(width), 0) * rate / 2048.0 AS snapped
-FROM q LEFT JOIN p ON start < floor(bandwidth * 2048 / rate) GROUP BY rate, bandwidth""")
+_SHORT = "y(sfb, width) AS (VALUES " + ", ".join(f"({i}, {w})" for i, w in enumerate(T.SHORT_44)) + "), d AS (SELECT sfb, width, coalesce(sum(width) OVER (ORDER BY sfb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM y)"
+
+
+@query(f"""WITH {_LONG}, {_SHORT}, q AS (SELECT DISTINCT 44100 AS rate, 100 + (s_suppkey * 211) % 21000 AS bandwidth FROM supplier),
+h AS (SELECT rate, bandwidth, count(sfb) AS n_short, CAST(floor(coalesce(sum(width), 0) * rate / 256) AS BIGINT) AS snap FROM q LEFT JOIN d ON start < bandwidth * 256 // rate GROUP BY rate, bandwidth),
+o AS (SELECT rate, bandwidth, n_short, count(sfb) AS n_bands, coalesce(sum(width), 0) AS bins FROM h LEFT JOIN p ON start < snap * 2048 // rate GROUP BY rate, bandwidth, n_short)
+SELECT rate, bandwidth, CAST(n_short AS INT) AS n_short, CAST(n_bands AS INT) AS n_bands, CAST(bins AS INT) AS bins, CAST(floor(bins * rate / 2048) AS BIGINT) AS snapped FROM o""")
 def bandwidth_limit(spark, sf_dir):
     wanted = table(spark, sf_dir, "supplier").select(F.lit(44100).alias("rate"), (100 + (F.col("s_suppkey") * 211) % 21000).alias("bandwidth")).distinct()
-    return B.bandwidth_limit(T.bands(spark, T.LONG_44), wanted, 1024)
+    return B.bandwidth_limit(T.SHORT_44, T.LONG_44, wanted)
 
 
 @query(f"WITH {_X} SELECT vec_id, sfb, round(sum(x * x), 4) + 0.0 AS energy, round(max(x * x), 4) + 0.0 AS peak, count(*) AS n FROM b WHERE bin > 0 AND bin < 56 GROUP BY ALL")
@@ -225,7 +242,7 @@ def max_abs_per_band(spark, sf_dir):
     return B.largest(_quantized(spark, sf_dir), ["vec_id"])
 
 
-_CODES = "c(book, idx, len) AS (VALUES " + ", ".join(f"({b},{i},{n})" for b, i, n, _ in T.code_table()) + ")"
+_CODES = "c(book, idx, len, code) AS (VALUES " + ", ".join(f"({b},{i},{n},{c})" for b, i, n, c in T.code_table()) + ")"
 
 
 def _digits(size: int, base: int, shift: int, top: int) -> str:
@@ -248,20 +265,15 @@ best AS (SELECT vec_id, sfb, arg_min(book, (bits, book)) AS book, min(bits) AS b
 allb AS (SELECT vec_id, sfb, book, bits FROM best UNION ALL SELECT vec_id, sfb, book, 0 FROM z WHERE book IS NOT NULL)"""
 
 
-def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, sfb, book, bits, sf of every band."""
-    plan = C.band_plan(_targets(spark, sf_dir))
-    q = C.quantized(banded(spark, sf_dir), plan, ["vec_id"])
-    best = C.cheapest_books(C.coded_sizes(q, ["vec_id"], T.codes(spark)), ["vec_id"])
-    coded = plan.where("book is null").drop("book").join(best, ["vec_id", "sfb"])
-    rest = plan.where("book is not null").withColumn("bits", F.lit(0).cast("long"))
-    cols = ["vec_id", "sfb", "book", "bits", "sf"]
-    return coded.select(*cols).unionByName(rest.select(*cols))
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and the bands of its spectrum with books, bits, scale factors and quantized values."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double") * GAIN).alias("spectrum"))
+    return P.coded_bands(rows, WIDTHS, T.code_table()).select("vec_id", "bands")
 
 
 @query(f"WITH {_BOOKS} SELECT vec_id, sfb, book, bits FROM allb")
 def book_choice(spark, sf_dir):
-    return _books(spark, sf_dir).select("vec_id", "sfb", "book", "bits")
+    return _coded(spark, sf_dir).select("vec_id", F.explode("bands").alias("b")).select("vec_id", "b.sfb", "b.book", F.col("b.bits").cast("long").alias("bits"))
 
 
 _ISLANDS = "u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sfb) - row_number() OVER (PARTITION BY vec_id, book ORDER BY sfb) AS island FROM allb), runs AS (SELECT vec_id, book, island, min(sfb) AS start, count(*) AS run FROM u GROUP BY ALL), sec AS (SELECT vec_id, start, book, run, 4 + 5 * (run // 31 + 1) AS bits FROM runs)"
@@ -269,7 +281,8 @@ _ISLANDS = "u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sfb)
 
 @query(f"WITH {_BOOKS}, {_ISLANDS} SELECT vec_id, start, book, run, bits FROM sec")
 def section_runs(spark, sf_dir):
-    return C.sections(_books(spark, sf_dir), ["vec_id"])
+    rows = _coded(spark, sf_dir).select("vec_id", F.explode(P.runs(F.col("bands"))).alias("s")).select("vec_id", "s.*")
+    return rows.withColumn("bits", P.size_of(P.section_words(F.array(F.struct("book", "run")))).cast("long"))
 
 
 _SF = "sfs AS (SELECT vec_id, sfb, CAST(CASE WHEN sfac IS NULL THEN 0 WHEN z.book = 13 THEN round_even(log10(energy) * %r, 0) ELSE 100 - sfac END AS INT) AS sf, allb.book FROM z JOIN allb USING (vec_id, sfb))" % (S.STEP / 2)
@@ -281,34 +294,82 @@ fold AS (SELECT vec_id, -1 AS sfb, g0 AS g, g0 - 90 AS nz, false AS heard, NULL:
 
 @query(f"WITH RECURSIVE {_BOOKS}, {_FOLD} SELECT vec_id, g0 AS global_gain, sfb, kind, diff FROM fold WHERE kind IS NOT NULL")
 def sf_delta_fold(spark, sf_dir):
-    rows = C.scale_factor_deltas(_books(spark, sf_dir), ["vec_id"])
+    rows = _sides_of(_coded(spark, sf_dir))
     return rows.select("vec_id", "global_gain", F.explode("deltas").alias("d")).select("vec_id", "global_gain", "d.sfb", "d.kind", "d.diff")
 
 
+def _sides_of(coded: DataFrame) -> DataFrame:
+    """global_gain, deltas and runs beside the bands."""
+    rows = coded.withColumn("global_gain", C.first_gain(F.col("bands")))
+    return rows.withColumns({"deltas": C.changes(F.col("bands"), F.col("global_gain")), "runs": P.runs(F.col("bands"))})
+
+
 @query(f"""WITH RECURSIVE {_BOOKS}, {_ISLANDS}, {_FOLD}, sd AS (SELECT vec_id, sum(CASE WHEN kind = 3 THEN 9 ELSE len END) AS bits FROM fold LEFT JOIN c ON book = 12 AND idx = diff + 60 WHERE kind IS NOT NULL GROUP BY ALL)
-SELECT vec_id, CAST(sp.bits AS BIGINT) AS spectrum_bits, CAST(se.bits AS BIGINT) AS section_bits, CAST(coalesce(sd.bits, 0) AS BIGINT) AS sf_bits, CAST((56 + sp.bits + se.bits + coalesce(sd.bits, 0) + 7) // 8 AS BIGINT) AS bytes
+SELECT vec_id, CAST(sp.bits AS BIGINT) AS spectrum_bits, CAST(se.bits AS BIGINT) AS section_bits, CAST(coalesce(sd.bits, 0) AS BIGINT) AS sf_bits, CAST(7 + (3 + 4 + 8 + 11 + 3 + 3 + sp.bits + se.bits + coalesce(sd.bits, 0) + 7) // 8 AS BIGINT) AS bytes
 FROM (SELECT vec_id, sum(bits) AS bits FROM allb GROUP BY ALL) sp JOIN (SELECT vec_id, sum(bits) AS bits FROM sec GROUP BY ALL) se USING (vec_id) LEFT JOIN sd USING (vec_id)""")
 def frame_sizes(spark, sf_dir):
-    return _sizes(spark, sf_dir)
+    """Sizes of frames of one channel behind a stream header, counted without packing the spectrum."""
+    codes = T.code_table()
+    rows = _sides_of(_coded(spark, sf_dir)).select(
+        "vec_id",
+        F.aggregate("bands", F.lit(0), lambda s, b: s + b["bits"]).alias("spectrum_bits"),
+        P.size_of(P.section_words(F.col("runs"))).alias("section_bits"),
+        P.size_of(P.delta_words(F.col("deltas"), codes)).alias("sf_bits"),
+    )
+    fields = P.size_of(P.single(0, P.channel_stream(F.lit(0), P.window_info(F.lit(0), F.lit(0)), P.nothing(), P.nothing(), P.shaping_words(), P.nothing()))) + 3
+    whole = 7 + F.floor((fields + F.col("spectrum_bits") + F.col("section_bits") + F.col("sf_bits") + 7) / 8)
+    return rows.select("vec_id", *(F.col(c).cast("long").alias(c) for c in ("spectrum_bits", "section_bits", "sf_bits")), whole.cast("long").alias("bytes"))
+
+
+_HEX = "array_to_string([substr('0123456789ABCDEF', 1 + 8 * substr(d, 4 * i + 1, 1)::INT + 4 * substr(d, 4 * i + 2, 1)::INT + 2 * substr(d, 4 * i + 3, 1)::INT + substr(d, 4 * i + 4, 1)::INT, 1) FOR i IN range(len(d) // 4)], '')"
+
+
+@query(f"""WITH RECURSIVE {_BOOKS}, {_ISLANDS}, {_FOLD},
+w1 AS (SELECT vec_id, string_agg(lpad(bin(code), len, '0') || CASE WHEN i.book IN (3, 4, 7, 8, 9, 10, 11) THEN array_to_string(list_transform(list_filter(v, lambda a: a <> 0), lambda a: CASE WHEN a < 0 THEN '1' ELSE '0' END), '') ELSE '' END
+ || CASE WHEN i.book = 11 THEN array_to_string(list_transform(list_filter(v, lambda a: abs(a) >= 16), lambda a: repeat('1', len(bin(abs(a))) - 5) || '0' || substr(bin(abs(a)), 2)), '') ELSE '' END, '' ORDER BY i.sfb, t) AS sp
+ FROM i JOIN best USING (vec_id, sfb, book) JOIN c USING (book, idx) GROUP BY vec_id),
+w2 AS (SELECT vec_id, string_agg(lpad(bin(book), 4, '0') || repeat('11111', (run // 31)::INT) || lpad(bin(run % 31), 5, '0'), '' ORDER BY start) AS se FROM sec GROUP BY vec_id),
+w3 AS (SELECT vec_id, string_agg(CASE WHEN kind = 3 THEN lpad(bin((diff + 256) & 511), 9, '0') ELSE lpad(bin(code), len, '0') END, '' ORDER BY sfb) AS sd FROM fold LEFT JOIN c ON book = 12 AND idx = diff + 60 WHERE kind IS NOT NULL GROUP BY vec_id),
+w4 AS (SELECT vec_id, '0000000' || lpad(bin(g0 & 255), 8, '0') || '0000' || lpad(bin({len(WIDTHS)}), 6, '0') || '0' || se || coalesce(sd, '') || '000' || coalesce(sp, '') || '111' AS d FROM gg JOIN w2 USING (vec_id) LEFT JOIN w3 USING (vec_id) LEFT JOIN w1 USING (vec_id)),
+w5 AS (SELECT vec_id, CAST(len(d) AS INT) AS n_bits, d || repeat('0', ((8 - len(d) % 8) % 8)::INT) AS d FROM w4) SELECT vec_id, n_bits, {_HEX} AS payload FROM w5""")
+def frame_bytes(spark, sf_dir):
+    """The packed frames of one channel; their sizes are those of frame_sizes without the stream header."""
+    codes = T.code_table()
+    rows = _sides_of(_coded(spark, sf_dir))
+    info = P.window_info(F.lit(0), F.lit(len(WIDTHS)))
+    stream = P.channel_stream(F.col("global_gain"), info, P.section_words(F.col("runs")), P.delta_words(F.col("deltas"), codes), P.shaping_words(), P.band_words(F.col("bands"), codes))
+    rows = rows.select("vec_id", P.single(0, stream).alias("element"))
+    closed = rows.select("vec_id", (P.size_of(F.col("element")) + 3).alias("n_bits"), P.closed(F.col("element")).alias("words"))
+    return closed.select("vec_id", "n_bits", F.hex(P.packed(F.col("words"))).alias("payload"))
+
+
+#: Short windows of a frame of SIZE samples: blocks of four samples in bands of one bin.
+_WIN = f"""{_F}, fl AS (SELECT stream_id, max(frame_no) + 1 AS frames FROM f GROUP BY ALL), grid AS (SELECT stream_id, unnest(range(4 * frames)) AS win_no FROM fl),
+hv AS (SELECT stream_id, (n - 6 - t) // 4 AS win_no, t, value * 0.5 * (1 - cos(2 * pi() * (t + 0.5) / 8)) AS v FROM s, range(8) t(t) WHERE n - 6 - t >= 0 AND (n - 6 - t) % 4 = 0),
+sp AS (SELECT stream_id, win_no, k, sum(v * 2 * cos(2 * pi() / 8 * (t + 2.5) * (k + 0.5))) AS x FROM hv, range(1, 4) k(k) GROUP BY ALL),
+v AS (SELECT stream_id, win_no, CAST(k AS INT) AS sfb, coalesce(x * x, 0) AS energy FROM (SELECT * FROM grid, range(1, 4) k(k)) g LEFT JOIN sp USING (stream_id, win_no, k))"""
+_TRANS = f"""{_WIN}, st AS (SELECT *, lag(energy) OVER (PARTITION BY stream_id, sfb ORDER BY win_no) AS prev FROM v WHERE sfb >= 2), jp AS (SELECT stream_id, win_no, sum(abs(energy - prev)) > 3.0 * sum(least(energy, prev)) AS jump FROM st WHERE prev IS NOT NULL GROUP BY ALL),
+fr AS (SELECT DISTINCT stream_id, win_no // 4 AS frame_no FROM v), tr AS (SELECT fr.stream_id, fr.frame_no, coalesce(bool_or(jump), false) AS transient FROM fr LEFT JOIN jp ON jp.stream_id = fr.stream_id AND jp.win_no > 4 * frame_no - 2 AND jp.win_no < 4 * frame_no + 6 GROUP BY ALL)"""
 
 
-def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = _books(spark, sf_dir)
-    sp = books.groupBy("vec_id").agg(F.sum("bits").alias("spectrum_bits"))
-    se = C.sections(books, ["vec_id"]).groupBy("vec_id").agg(F.sum("bits").alias("section_bits"))
-    sd = C.delta_bits(C.scale_factor_deltas(books, ["vec_id"]), ["vec_id"], T.codes(spark)).withColumnRenamed("bits", "sf_bits")
-    rows = sp.join(se, "vec_id").join(sd, "vec_id", "left").withColumn("sf_bits", F.coalesce("sf_bits", F.lit(0)).cast("long"))
-    return rows.withColumn("bytes", F.floor((56 + F.col("spectrum_bits") + F.col("section_bits") + F.col("sf_bits") + 7) / 8).cast("long"))
+def _short_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.short_energies(R.frame_arrays(framed(spark, sf_dir), SIZE, ["stream_id", "frame_no"]), "stream_id", [1] * 4, SIZE)
 
 
-_WIN = f"{_S}, v AS (SELECT stream_id, n // 4 AS win_no, CAST(n % 4 AS INT) // 2 AS sfb, sum(value * value) AS energy FROM s GROUP BY ALL)"
-_TRANS = f"""{_WIN}, st AS (SELECT *, lag(energy) OVER (PARTITION BY stream_id, sfb ORDER BY win_no) AS prev FROM v), jp AS (SELECT stream_id, win_no, sum(abs(energy - prev)) > 3.0 * sum(least(energy, prev)) AS jump FROM st WHERE prev IS NOT NULL GROUP BY ALL),
-fr AS (SELECT DISTINCT stream_id, win_no // 4 AS frame_no FROM v), tr AS (SELECT fr.stream_id, fr.frame_no, coalesce(bool_or(jump), false) AS transient FROM fr LEFT JOIN jp ON jp.stream_id = fr.stream_id AND jp.win_no > 4 * frame_no - 2 AND jp.win_no < 4 * frame_no + 6 GROUP BY ALL)"""
+@query(f"WITH {_WIN} SELECT stream_id, win_no, sfb, round(energy, 4) + 0.0 AS energy FROM v")
+def window_energies(spark, sf_dir):
+    return _short_energies(spark, sf_dir).where("sfb > 0").select("stream_id", "win_no", "sfb", r("energy"))
 
 
 def _transients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = samples(spark, sf_dir).groupBy("stream_id", F.floor(F.col("n") / 4).alias("win_no"), F.floor(F.col("n") % 4 / 2).alias("sfb")).agg(F.sum(F.col("value") * F.col("value")).alias("energy"))
-    return D.transients(windows, ["stream_id"], 4)
+    return D.transients(_short_energies(spark, sf_dir), ["stream_id"], 4)
+
+
+@query(f"""WITH {_TRANS} SELECT stream_id // 6 AS group_id, frame_no, stream_id % 6 AS channel, CASE stream_id % 6 WHEN 0 THEN 'single' WHEN 5 THEN 'lfe' ELSE 'pair' END AS kind, transient AND stream_id % 6 <> 5 AS wants_short FROM tr""")
+def layout_dispatch(spark, sf_dir):
+    """Six users stand for the channels of one stream, the sixth a low-frequency one."""
+    flags = _transients(spark, sf_dir).select(F.floor(F.col("stream_id") / 6).alias("group_id"), (F.col("stream_id") % 6).alias("channel"), "frame_no", "transient")
+    return D.by_layout(flags, T.layout(spark).where("channels = 6 and use_lfe = 1"), "group_id")
 
 
 @query(f"WITH {_TRANS} SELECT * FROM tr")
@@ -329,8 +390,8 @@ def pair_energies(spark, sf_dir):
 
 
 @query(f"""WITH {_P}, l AS (SELECT *, least(e_left, e_right) AS lo, greatest(e_left, e_right) AS hi, 1.09 * 1.09 AS m, e_left + e_right AS t FROM e)
-SELECT pair_id, sfb, CASE WHEN lo * m >= greatest(e_sum, e_diff) / 4 AND e_sum / 4 * m * 2 >= t THEN 'in_phase' WHEN lo * m >= greatest(e_sum, e_diff) / 4 AND e_diff / 4 * m * 2 >= t THEN 'out_of_phase' END AS ms,
-CASE WHEN lo <= 0.1 * 0.1 * hi THEN CASE WHEN e_left <= e_right THEN 'left' ELSE 'right' END END AS muted FROM l""")
+SELECT pair_id, sfb, CASE WHEN sfb < 8 THEN NULL WHEN lo * m >= greatest(e_sum, e_diff) / 4 AND e_sum / 4 * m * 2 >= t THEN 'in_phase' WHEN lo * m >= greatest(e_sum, e_diff) / 4 AND e_diff / 4 * m * 2 >= t THEN 'out_of_phase' END AS ms,
+CASE WHEN sfb >= 8 AND lo <= 0.1 * 0.1 * hi THEN CASE WHEN e_left <= e_right THEN 'left' ELSE 'right' END END AS muted FROM l""")
 def ms_decision(spark, sf_dir):
     return D.mid_side(D.pair_energies(paired(spark, sf_dir), ["pair_id"], "side")).select("pair_id", "sfb", "ms", "muted")
 

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.payload import packed as octets_of
+from cadenza.operators.payload import size_of, word
 from cadenza.plans.tables import RATES
 
 EPOCH = 2082844800
-#: Element numbers of a raw frame, and the filler's.
-SINGLE, PAIR, LOW, FILL, END = 0, 1, 3, 6, 7
 
 
 class Bits:
@@ -49,12 +49,8 @@ def pack_bits(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     The words of a key are gathered in one place; a key is one frame of at most a few thousand words.
     """
     packed = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "data", "len"))).alias("w"))
-    digits = F.array_join(F.transform("w", lambda x: F.when(x["len"] > 0, F.lpad(F.bin(x["data"].cast("long")), x["len"].cast("int"), "0")).otherwise("")), "")
-    rows = packed.select(*keys, digits.alias("d"))
-    filled = F.concat("d", F.repeat(F.lit("0"), F.pmod(-F.length("d"), F.lit(8))))
-    octets = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("f") / 8).cast("int") - 1, F.lit(0))), lambda i: F.lpad(F.conv(F.substr("f", i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    rows = rows.withColumn("f", filled)
-    return rows.select(*keys, F.length("d").alias("n_bits"), F.when(F.length("f") > 0, F.unhex(F.array_join(octets, ""))).otherwise(F.lit(b"")).alias("bytes"))
+    rows = packed.withColumn("w", F.transform("w", lambda x: word(x["data"], x["len"])))
+    return rows.select(*keys, size_of(F.col("w")).alias("n_bits"), octets_of(F.col("w")).alias("bytes"))
 
 
 def stream_header(rate_index: Column, channels: Column, length: Column, mpeg2: bool = False, profile: int = 2) -> Column:

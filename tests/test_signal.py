@@ -64,7 +64,7 @@ def test_block_types(spark):
 
 
 def test_transients_of_silence(spark):
-    rows = [(1, w, 0, e) for w, e in enumerate([0.0] * 8 + [1.0] * 8)] + [(2, w, 0, 0.0) for w in range(16)]
+    rows = [(1, w, 2, e) for w, e in enumerate([0.0] * 8 + [1.0] * 8)] + [(2, w, 2, 0.0) for w in range(16)] + [(2, w, 1, float(w)) for w in range(16)]
     df = spark.createDataFrame(rows, "s int, win_no int, sfb int, energy double")
     got = {(r["s"], r["frame_no"]): r["transient"] for r in D.transients(df, ["s"], 8).collect()}
     assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): False}
