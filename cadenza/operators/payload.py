@@ -6,6 +6,7 @@ before anything is packed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +90,10 @@ def _tuples(q: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(q) / size).cast("int") - 1), lambda i: F.slice(q, i * size + 1, size))
 
 
-def _listed(codes: Codes, book: int) -> tuple[Column, Column]:
-    """(code, length) of each index of a book, as arrays."""
-    own = sorted((i, c, n) for b, i, n, c in codes if b == book)
-    return F.lit([c for _, c, _ in own]), F.lit([n for _, _, n in own])
+def _listed(codes: Codes, book: int, lengths: bool) -> Column:
+    """The length or the code of each index of a book, as one array literal (an array of literals is resolved anew in every pass over the plan)."""
+    own = sorted((i, n if lengths else c) for b, i, n, c in codes if b == book)
+    return F.lit(np.array([x for _, x in own], np.int32 if lengths else np.int64))
 
 
 def _escapes(t: Column) -> Column:
@@ -110,7 +111,7 @@ def _escapes(t: Column) -> Column:
 def spectrum_words(q: Column, book: int, codes: Codes) -> Column:
     """The codewords of a band's values in one book: code and signs of each tuple, then its escapes."""
     _, size, signed = BOOKS[book]
-    code, length = _listed(codes, book)
+    code, length = _listed(codes, book, False), _listed(codes, book, True)
 
     def put(t: Column) -> Column:
         at = C.tuple_place(t, book).cast("int")
@@ -125,7 +126,7 @@ def spectrum_words(q: Column, book: int, codes: Codes) -> Column:
 
 def _cost(q: Column, book: int, codes: Codes) -> Column:
     _, size, signed = BOOKS[book]
-    _, length = _listed(codes, book)
+    length = _listed(codes, book, True)
     bits = F.aggregate(_tuples(q, size), F.lit(0), lambda s, t: s + F.get(length, C.tuple_place(t, book).cast("int")))
     if not signed:
         bits = bits + F.size(F.filter(q, lambda x: x != 0))
@@ -177,7 +178,7 @@ def section_words(sections: Column, short: bool = False) -> Column:
 
 def delta_words(deltas: Column, codes: Codes) -> Column:
     """The words of scale-factor changes (kind, diff): a first noise value is sent whole, others by their code."""
-    code, length = _listed(codes, 12)
+    code, length = _listed(codes, 12, False), _listed(codes, 12, True)
 
     def put(d: Column) -> Column:
         at = d["diff"] + C.CLAMP
