@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter, warc
+from cadenza.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_language_id": language_id.op11_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.SQL,
