@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter, warc
+from cadenza.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secret_scan, spelling, token_alignment, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_language_id": language_id.op11_language_id,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_warc": warc.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
