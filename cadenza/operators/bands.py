@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Share of the mean in a masking target, and energy a value below which a group is silent.
+TONAL, SILENCE = 0.2, 0.16
+
 
 def band_offsets(widths: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """start of each band: the sum of the widths before it; `limit` keeps the first bands only (low-frequency channels)."""
@@ -56,15 +59,20 @@ def masking_targets(energy: DataFrame, keys: list[str], last: int, bands: DataFr
     return rows.withColumn("target", target).drop("start", "end")
 
 
-def target_of(energy: Column, peak: Column, start: Column, end: Column, total: Column, last: int, windows: int = 1, short: bool = False, quality: float = 1.0) -> Column:
-    """Target amplitude of one band; total: the frame's energy."""
+def target_of(energy: Column, peak: Column, start: Column, end: Column, total: Column, last: Column | int, windows: Column | int = 1, short: Column | bool = False, quality: Column | float = 1.0, counted: Column | None = None) -> Column:
+    """Target amplitude of one band of a group of windows.
+
+    total: energy of all bands of the group; last: values of a window; counted: values of all bands of the group (all of the windows' if not given).
+    The peak counts as often as the group has windows, not as often as the band has values.
+    """
     width = end - start
     expected = total / last * width
-    tonal = 0.2 * F.pow(energy / expected, F.lit(0.4))
-    peaky = 0.8 * 0.45 * F.pow(peak * (width * windows) / expected, F.lit(0.4))
+    tonal = TONAL * F.pow(energy / expected, F.lit(0.4))
+    peaky = (1 - TONAL) * 0.45 * F.pow(peak * windows / expected, F.lit(0.4))
     shape = 10.0 / (1 + (start + end) / last)
-    target = (tonal + peaky) * (1.5 if short else 1.0) * shape * quality
-    return F.when(total < 0.16 * last * windows, 0.0).otherwise(target)
+    target = (tonal + peaky) * F.when(F.lit(short), 1.5).otherwise(1.0) * shape * quality
+    silent = total < SILENCE * (F.lit(last) * windows if counted is None else counted)
+    return F.when(silent, 0.0).otherwise(target)
 
 
 def largest(quantized: DataFrame, keys: list[str]) -> DataFrame:

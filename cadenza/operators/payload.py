@@ -44,33 +44,56 @@ def size_of(parts: Column) -> Column:
 # --- a spectrum's bands -------------------------------------------------------------------------------------------------------
 
 
-def coded_bands(rows: DataFrame, widths: list[int], codes: Codes, column: str = "spectrum", quality: float = 1.0, noise_level: int = 4) -> DataFrame:
-    """The rows with `bands`: sfb, energy, peak, target, sf, q (empty unless coded), book and bits of every band of a long block's spectrum.
+def band_table(widths: list[int]) -> Column:
+    """sfb, start, width of the bands as an array."""
+    starts = [sum(widths[:i]) for i in range(len(widths))]
+    return F.array(*(F.struct(F.lit(i).alias("sfb"), F.lit(s).alias("start"), F.lit(w).alias("width")) for i, (s, w) in enumerate(zip(starts, widths, strict=True))))
+
 
-    The cheaper one of a magnitude's two codebooks is taken, the lower one of two that tie.
+def grouped_bands(spectrum: Column, table: Column, groups: Column | None = None, window: int = 0) -> Column:
+    """group, sfb, start, width, windows, x of every band of every group: the values of its windows, one after the other.
+
+    table: array (sfb, start, width); groups: lengths of the groups of short windows of `window` values (None: one long window). The array of a row
+    may be the row's own, so rows of many rates go together.
     """
-    last = sum(widths)
-    starts = [sum(widths[:i]) for i in range(len(widths))]
-    table = F.array(*(F.struct(F.lit(i).alias("sfb"), F.lit(s).alias("start"), F.lit(w).alias("width")) for i, (s, w) in enumerate(zip(starts, widths, strict=True))))
+    groups = F.array(F.lit(1)) if groups is None else groups
+    numbered = F.transform(groups, lambda n, i: F.struct(i.alias("group"), n.cast("int").alias("windows"), F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda s, m: s + m.cast("int")).alias("first")))
+
+    def cut(g: Column, b: Column) -> Column:
+        places = F.sequence(g["first"], g["first"] + g["windows"] - 1)
+        x = F.flatten(F.transform(places, lambda w: F.slice(spectrum, w * window + b["start"] + 1, b["width"])))
+        return F.struct(g["group"].alias("group"), *(b[c].alias(c) for c in ("sfb", "start", "width")), g["windows"].alias("windows"), x.alias("x"))
 
-    def cut(b: Column) -> Column:
-        x = F.slice(column, b["start"] + 1, b["width"])
-        return F.struct(*(b[c].alias(c) for c in ("sfb", "start", "width")), x.alias("x"))
+    return F.flatten(F.transform(numbered, lambda g: F.transform(table, lambda b: cut(g, b))))
+
+
+def code_bands(rows: DataFrame, codes: Codes, column: str = "bands", last: Column | int = 1024, short: Column | bool = False, quality: Column | float = 1.0, noise_level: int = 4) -> DataFrame:
+    """The rows with group, sfb, windows, energy, peak, target, sf, q (empty unless coded), book and bits of every band of `column`.
+
+    column: bands as grouped_bands gives them; where they have `preset` and `base`, a preset book is final and a base is added to the scale factor.
+    last: values of a window. The cheaper one of a magnitude's two codebooks is taken, the lower one of two that tie.
+    """
+    given = set(rows.schema[column].dataType.elementType.names)
 
     def summed(b: Column) -> Column:
         squares = F.transform(b["x"], lambda v: v * v)
-        return b.withField("energy", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)).withField("peak", F.array_max(squares))
+        out = b.withField("energy", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)).withField("peak", F.array_max(squares))
+        return out if "preset" in given else out.withField("preset", F.lit(None).cast("int")).withField("base", F.lit(0))
+
+    def of_groups(value) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.array_max(F.col(column)["group"])), lambda g: F.aggregate(column, F.lit(0.0), lambda s, b: s + F.when(b["group"] == g, value(b)).otherwise(0.0)))
 
     def aimed(b: Column) -> Column:
-        return b.withField("target", B.target_of(b["energy"], b["peak"], b["start"], b["start"] + b["width"], F.col("_total"), last, quality=quality))
+        total, counted = F.get("_totals", b["group"]), F.get("_counts", b["group"])
+        return b.withField("target", B.target_of(b["energy"], b["peak"], b["start"], b["start"] + b["width"], total, last, b["windows"], short, quality, counted))
 
     def planned(b: Column) -> Column:
-        rms, sfac = C.step_of(b["energy"], b["width"], b["target"])
+        rms, sfac = C.step_of(b["energy"], b["width"] * b["windows"], b["target"])
         return b.withField("rms", rms).withField("sfac", sfac)
 
     def decided(b: Column) -> Column:
-        book, scale, sf = C.decision_of(b["energy"], b["rms"], b["target"], b["sfac"], noise_level)
-        return b.withField("book", book).withField("scale", scale).withField("sf", sf)
+        book, scale, sf = C.decision_of(b["energy"] / b["windows"], b["rms"], b["target"], b["sfac"], noise_level)
+        return b.withField("book", F.coalesce(b["preset"], book)).withField("scale", scale).withField("sf", b["base"] + F.when(b["preset"].isNull(), sf).otherwise(0))
 
     def quantized(b: Column) -> Column:
         return b.withField("q", F.when(b["book"].isNull(), F.transform(b["x"], lambda v: quantize(v, b["scale"]))).otherwise(F.array().cast("array<int>")))
@@ -78,22 +101,44 @@ def coded_bands(rows: DataFrame, widths: list[int], codes: Codes, column: str =
     def sized(b: Column) -> Column:
         return b.withField("best", F.when(b["book"].isNull(), cheapest(b["q"], codes)).otherwise(F.struct(F.lit(0).alias("bits"), b["book"].alias("book"))))
 
-    rows = rows.withColumn("bands", F.transform(F.transform(table, cut), summed))
-    rows = rows.withColumn("_total", F.aggregate("bands", F.lit(0.0), lambda s, b: s + b["energy"]))
+    rows = rows.withColumn(column, F.transform(column, summed))
+    rows = rows.withColumns({"_totals": of_groups(lambda b: b["energy"]), "_counts": of_groups(lambda b: (b["width"] * b["windows"]).cast("double"))})
     for step in (aimed, planned, decided, quantized, sized):
-        rows = rows.withColumn("bands", F.transform("bands", step))
-    final = lambda b: F.struct(*(b[c].alias(c) for c in ("sfb", "energy", "peak", "target", "sf", "q")), b["best"]["book"].alias("book"), b["best"]["bits"].alias("bits"))
-    return rows.withColumn("bands", F.transform("bands", final)).drop("_total")
+        rows = rows.withColumn(column, F.transform(column, step))
+    final = lambda b: F.struct(*(b[c].alias(c) for c in ("group", "sfb", "windows", "energy", "peak", "target", "sf", "q")), b["best"]["book"].alias("book"), b["best"]["bits"].alias("bits"))
+    return rows.withColumn(column, F.transform(column, final)).drop("_totals", "_counts")
 
 
-def _tuples(q: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(q) / size).cast("int") - 1), lambda i: F.slice(q, i * size + 1, size))
+def coded_bands(rows: DataFrame, widths: list[int], codes: Codes, column: str = "spectrum", quality: float = 1.0, noise_level: int = 4) -> DataFrame:
+    """The rows with `bands` of a long block's spectrum, as code_bands gives them."""
+    cut = rows.withColumn("bands", grouped_bands(F.col(column), band_table(widths)))
+    return code_bands(cut, codes, last=sum(widths), quality=quality, noise_level=noise_level)
 
 
-def _listed(codes: Codes, book: int, lengths: bool) -> Column:
-    """The length or the code of each index of a book, as one array literal (an array of literals is resolved anew in every pass over the plan)."""
-    own = sorted((i, n if lengths else c) for b, i, n, c in codes if b == book)
-    return F.lit(np.array([x for _, x in own], np.int32 if lengths else np.int64))
+class _Table:
+    """The codebooks as arrays: those of a book by its number, codes and lengths by first place of the book and place in it."""
+
+    def __init__(self, codes: Codes) -> None:
+        books = range(max(BOOKS) + 1)
+        own = {b: sorted((i, n, c) for k, i, n, c in codes if k == b) for b in BOOKS}
+        firsts = np.cumsum([0] + [len(own.get(b, ())) for b in books])[:-1]
+        self.first = F.lit(firsts.astype(np.int32))
+        self.size = F.lit(np.array([BOOKS[b][1] if b else 1 for b in books], np.int32))
+        self.top = F.lit(np.array([BOOKS[b][0] if b else 0 for b in books], np.int32))
+        self.signed = F.lit(np.array([int(BOOKS[b][2]) if b else 0 for b in books], np.int32))
+        self.length = F.lit(np.array([n for b in BOOKS for _, n, _ in own[b]], np.int32))
+        self.code = F.lit(np.array([c for b in BOOKS for _, _, c in own[b]], np.int64))
+
+    def place(self, t: Column, book: Column) -> Column:
+        """Place of a tuple in the arrays."""
+        top, signed = F.get(self.top, book), F.get(self.signed, book)
+        base = top * (signed + 1) + 1
+        at = F.aggregate(t, F.lit(0), lambda s, x: s * base + F.when(signed == 1, x + top).otherwise(F.least(F.abs(x), top)))
+        return F.get(self.first, book) + at
+
+    def tuples(self, q: Column, book: Column) -> Column:
+        size = F.get(self.size, book)
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(q) / size).cast("int") - 1), lambda i: F.slice(q, i * size + 1, size))
 
 
 def _escapes(t: Column) -> Column:
@@ -108,68 +153,72 @@ def _escapes(t: Column) -> Column:
     return F.transform(F.filter(t, lambda x: F.abs(x) >= 16), one)
 
 
-def spectrum_words(q: Column, book: int, codes: Codes) -> Column:
-    """The codewords of a band's values in one book: code and signs of each tuple, then its escapes."""
-    _, size, signed = BOOKS[book]
-    code, length = _listed(codes, book, False), _listed(codes, book, True)
+def _cost(q: Column, book: Column, table: _Table) -> Column:
+    bits = F.aggregate(table.tuples(q, book), F.lit(0), lambda s, t: s + F.get(table.length, table.place(t, book)))
+    signs = F.when(F.get(table.signed, book) == 1, 0).otherwise(F.size(F.filter(q, lambda x: x != 0)))
+    escapes = F.when(book == ESCAPE, F.aggregate(F.filter(q, lambda x: F.abs(x) >= 16), F.lit(0), lambda s, x: s + 2 * F.length(F.bin(F.abs(x).cast("bigint"))) - 5)).otherwise(0)
+    return F.struct((bits + signs + escapes).alias("bits"), book.alias("book"))
 
-    def put(t: Column) -> Column:
-        at = C.tuple_place(t, book).cast("int")
-        heard = F.lit(0) if signed else F.size(F.filter(t, lambda x: x != 0))
-        signs = F.lit(0) if signed else F.aggregate(F.filter(t, lambda x: x != 0), F.lit(0), lambda s, x: s * 2 + F.when(x < 0, 1).otherwise(0))
-        data = F.get(code, at).cast("bigint") * F.pow(F.lit(2.0), heard).cast("bigint") + signs
-        out = F.array(word(data, F.get(length, at) + heard))
-        return F.concat(out, _escapes(t)) if book == ESCAPE else out
 
-    return F.flatten(F.transform(_tuples(q, size), put))
-
-
-def _cost(q: Column, book: int, codes: Codes) -> Column:
-    _, size, signed = BOOKS[book]
-    length = _listed(codes, book, True)
-    bits = F.aggregate(_tuples(q, size), F.lit(0), lambda s, t: s + F.get(length, C.tuple_place(t, book).cast("int")))
-    if not signed:
-        bits = bits + F.size(F.filter(q, lambda x: x != 0))
-    if book == ESCAPE:
-        bits = bits + F.aggregate(F.filter(q, lambda x: F.abs(x) >= 16), F.lit(0), lambda s, x: s + 2 * F.length(F.bin(F.abs(x).cast("bigint"))) - 5)
-    return F.struct(bits.alias("bits"), F.lit(book).alias("book"))
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def cheapest(q: Column, codes: Codes) -> Column:
     """(bits, book) of the cheapest book that holds a band's values."""
-    top = F.array_max(F.transform(q, lambda x: F.abs(x)))
-    out = F.when(top < 1, F.struct(F.lit(0).alias("bits"), F.lit(ZERO).alias("book")))
-    for book in range(1, ESCAPE, 2):
-        bound = BOOKS[book][0] + 1
-        out = out.when(top < bound, F.array_min(F.array(_cost(q, book, codes), _cost(q, book + 1, codes))))
-    return out.otherwise(_cost(q, ESCAPE, codes))
+    table = _Table(codes)
+
+    def sized(first: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("bits"), F.lit(ZERO).alias("book"))
+        return F.when(first == ZERO, zero).when(first == ESCAPE, _cost(q, first, table)).otherwise(F.array_min(F.array(_cost(q, first, table), _cost(q, first + 1, table))))
+
+    def first_book(top: Column) -> Column:
+        out = F.when(top < 1, ZERO)
+        for book in range(1, ESCAPE, 2):
+            out = out.when(top <= BOOKS[book][0], book)
+        return out.otherwise(ESCAPE)
+
+    return _with(F.array_max(F.transform(q, lambda x: F.abs(x))), lambda top: _with(first_book(top), sized))
 
 
 def band_words(bands: Column, codes: Codes) -> Column:
-    """The codewords of all bands (book, q)."""
+    """The codewords of all bands (book, q): code and signs of each tuple, then its escapes."""
+    table = _Table(codes)
+
+    def put(t: Column, book: Column) -> Column:
+        at = table.place(t, book)
+        sent = F.when(F.get(table.signed, book) == 1, F.array().cast("array<int>")).otherwise(F.filter(t, lambda x: x != 0))
+        signs = F.aggregate(sent, F.lit(0), lambda s, x: s * 2 + F.when(x < 0, 1).otherwise(0))
+        data = F.get(table.code, at) * F.pow(F.lit(2.0), F.size(sent)).cast("bigint") + signs
+        out = F.array(word(data, F.get(table.length, at) + F.size(sent)))
+        return F.when(book == ESCAPE, F.concat(out, _escapes(t))).otherwise(out)
 
-    def put(b: Column) -> Column:
-        out = F.when(b["book"] == 1, spectrum_words(b["q"], 1, codes))
-        for book in range(2, ESCAPE + 1):
-            out = out.when(b["book"] == book, spectrum_words(b["q"], book, codes))
-        return out.otherwise(nothing())
+    def one(b: Column) -> Column:
+        return F.when(b["book"].between(1, ESCAPE), F.flatten(F.transform(table.tuples(b["q"], b["book"]), lambda t: put(t, b["book"])))).otherwise(nothing())
 
-    return F.flatten(F.transform(bands, put))
+    return F.flatten(F.transform(bands, one))
 
 
 def runs(bands: Column) -> Column:
-    """start, book, run of each stretch of bands with one book."""
-    start = F.expr("cast(array() as array<struct<start:int,book:int,run:int>>)")
+    """start, book, run, group of each stretch of bands of a group with one book."""
+    start = F.expr("cast(array() as array<struct<start:int,book:int,run:int,group:int>>)")
 
     def step(s: Column, b: Column) -> Column:
         last = F.get(s, F.size(s) - 1)
         longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(last.withField("run", last["run"] + 1)))
-        new = F.struct(b["sfb"].cast("int").alias("start"), b["book"].cast("int").alias("book"), F.lit(1).alias("run"))
-        return F.when(F.size(s) == 0, F.array(new)).when(last["book"] == b["book"], longer).otherwise(F.concat(s, F.array(new)))
+        new = F.struct(b["sfb"].cast("int").alias("start"), b["book"].cast("int").alias("book"), F.lit(1).alias("run"), b["group"].cast("int").alias("group"))
+        return F.when(F.size(s) == 0, F.array(new)).when((last["book"] == b["book"]) & (last["group"] == b["group"]), longer).otherwise(F.concat(s, F.array(new)))
 
     return F.aggregate(bands, start, step)
 
 
+def coded_channel(bands: Column, codes: Codes, info: Column | None, short: bool = False, shaping: Column | None = None) -> Column:
+    """The words of one channel's coded bands."""
+    gain = C.first_gain(bands)
+    return channel_stream(gain, info, section_words(runs(bands), short), delta_words(C.changes(bands, gain), codes), shaping_words() if shaping is None else shaping, band_words(bands, codes))
+
+
 def section_words(sections: Column, short: bool = False) -> Column:
     """Books and lengths of the runs; a length of the largest count and more takes several words."""
     cap, bits = (7, 3) if short else (31, 5)
@@ -178,7 +227,8 @@ def section_words(sections: Column, short: bool = False) -> Column:
 
 def delta_words(deltas: Column, codes: Codes) -> Column:
     """The words of scale-factor changes (kind, diff): a first noise value is sent whole, others by their code."""
-    code, length = _listed(codes, 12, False), _listed(codes, 12, True)
+    own = sorted((i, n, c) for b, i, n, c in codes if b == 12)
+    code, length = F.lit(np.array([c for _, _, c in own], np.int64)), F.lit(np.array([n for _, n, _ in own], np.int32))
 
     def put(d: Column) -> Column:
         at = d["diff"] + C.CLAMP

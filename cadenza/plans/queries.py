@@ -205,7 +205,7 @@ def band_energy(spark, sf_dir):
 
 
 _TARGET = f"""t AS (SELECT *, sum(energy) OVER (PARTITION BY vec_id) AS total FROM e), m AS (SELECT *, CASE WHEN total < 0.16 * {BINS} THEN 0 ELSE
-(0.2 * pow(energy / (total / {BINS} * 4), 0.4) + 0.8 * 0.45 * pow(peak * 4 / (total / {BINS} * 4), 0.4)) * (10.0 / (1 + (8 * sfb + 4) / {BINS})) END AS target FROM t)"""
+(0.2 * pow(energy / (total / {BINS} * 4), 0.4) + 0.8 * 0.45 * pow(peak / (total / {BINS} * 4), 0.4)) * (10.0 / (1 + (8 * sfb + 4) / {BINS})) END AS target FROM t)"""
 
 
 @query(f"WITH {_E}, {_TARGET} SELECT vec_id, sfb, round(target, 4) + 0.0 AS target FROM m")
@@ -266,14 +266,17 @@ allb AS (SELECT vec_id, sfb, book, bits FROM best UNION ALL SELECT vec_id, sfb,
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id and the bands of its spectrum with books, bits, scale factors and quantized values."""
+    """vec_id and the bands of its spectrum with books, bits, scale factors and quantized values.
+
+    Taken apart by outer generators: the others make Spark infer a filter on the array's size, which computes the array once more.
+    """
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double") * GAIN).alias("spectrum"))
     return P.coded_bands(rows, WIDTHS, T.code_table()).select("vec_id", "bands")
 
 
 @query(f"WITH {_BOOKS} SELECT vec_id, sfb, book, bits FROM allb")
 def book_choice(spark, sf_dir):
-    return _coded(spark, sf_dir).select("vec_id", F.explode("bands").alias("b")).select("vec_id", "b.sfb", "b.book", F.col("b.bits").cast("long").alias("bits"))
+    return _coded(spark, sf_dir).select("vec_id", F.inline_outer("bands")).select("vec_id", "sfb", "book", F.col("bits").cast("long").alias("bits"))
 
 
 _ISLANDS = "u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sfb) - row_number() OVER (PARTITION BY vec_id, book ORDER BY sfb) AS island FROM allb), runs AS (SELECT vec_id, book, island, min(sfb) AS start, count(*) AS run FROM u GROUP BY ALL), sec AS (SELECT vec_id, start, book, run, 4 + 5 * (run // 31 + 1) AS bits FROM runs)"
@@ -281,7 +284,7 @@ _ISLANDS = "u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sfb)
 
 @query(f"WITH {_BOOKS}, {_ISLANDS} SELECT vec_id, start, book, run, bits FROM sec")
 def section_runs(spark, sf_dir):
-    rows = _coded(spark, sf_dir).select("vec_id", F.explode(P.runs(F.col("bands"))).alias("s")).select("vec_id", "s.*")
+    rows = _coded(spark, sf_dir).select("vec_id", F.inline_outer(P.runs(F.col("bands")))).drop("group")
     return rows.withColumn("bits", P.size_of(P.section_words(F.array(F.struct("book", "run")))).cast("long"))
 
 
@@ -295,7 +298,7 @@ fold AS (SELECT vec_id, -1 AS sfb, g0 AS g, g0 - 90 AS nz, false AS heard, NULL:
 @query(f"WITH RECURSIVE {_BOOKS}, {_FOLD} SELECT vec_id, g0 AS global_gain, sfb, kind, diff FROM fold WHERE kind IS NOT NULL")
 def sf_delta_fold(spark, sf_dir):
     rows = _sides_of(_coded(spark, sf_dir))
-    return rows.select("vec_id", "global_gain", F.explode("deltas").alias("d")).select("vec_id", "global_gain", "d.sfb", "d.kind", "d.diff")
+    return rows.select("vec_id", "global_gain", F.inline_outer("deltas")).where("kind is not null").select("vec_id", "global_gain", "sfb", "kind", "diff")
 
 
 def _sides_of(coded: DataFrame) -> DataFrame:
