@@ -19,22 +19,35 @@ def band_offsets(widths: DataFrame, keys: list[str], limit: int | None = None) -
 def bandwidth_limit(short: list[int], long: list[int], requests: DataFrame, noise: bool = True) -> DataFrame:
     """The rows of requests (rate, bandwidth) with n_short, n_bands, bins, snapped: how many bands of each block reach the bandwidth.
 
-    With noise substitution the bands of a short block snap the bandwidth before those of a long one are counted. Widths are those
-    of one rate; bandwidths are whole numbers of Hz, rounded down.
+    Widths are those of one rate; see bandwidth_limits.
     """
+    table = lambda widths: F.array(*(F.struct(F.lit(sum(widths[:i])).alias("start"), F.lit(w).alias("width")) for i, w in enumerate(widths)))
+    return bandwidth_limits(requests.withColumns({"_short": table(short), "_long": table(long)}), "_short", "_long", noise).drop("_short", "_long")
 
-    def reached(bandwidth: Column, widths: list[int]) -> tuple[Column, Column]:
-        """(bands, bins) that begin below the bandwidth."""
-        most = F.floor(bandwidth * (2 * sum(widths)) / F.col("rate"))
-        starts = [sum(widths[:i]) for i in range(len(widths))]
-        n = F.size(F.filter(F.lit(starts), lambda s: s < most))
-        return n, F.get(F.lit([*starts, sum(widths)]), n)
+
+def bandwidth_limits(requests: DataFrame, short: str, long: str, noise: bool = True) -> DataFrame:
+    """The rows of requests (rate, bandwidth) with n_short, n_bands, bins, snapped; `short` and `long`: each row's own bands (start, width).
+
+    With noise substitution the bands of a short block snap the bandwidth before those of a long one are counted. Bandwidths are whole
+    numbers of Hz, rounded down.
+    """
+
+    def total(bands: str) -> Column:
+        last = F.element_at(bands, -1)
+        return last["start"] + last["width"]
+
+    def reached(bandwidth: Column, bands: str) -> tuple[Column, Column]:
+        """(bands, values) that begin below the bandwidth."""
+        most = F.floor(bandwidth * (2 * total(bands)) / F.col("rate"))
+        n = F.size(F.filter(bands, lambda b: b["start"] < most))
+        return n, F.coalesce(F.get(F.col(bands), n)["start"], total(bands))
 
     n_short, bins = reached(F.col("bandwidth"), short)
-    snap = F.floor(bins * F.col("rate") / (2 * sum(short))) if noise else F.col("bandwidth")
+    snap = F.floor(bins * F.col("rate") / (2 * total(short))) if noise else F.col("bandwidth")
+    out = requests.withColumns({"n_short": n_short, "_snap": snap})
     n_long, bins = reached(F.col("_snap"), long)
-    out = requests.withColumns({"n_short": n_short, "_snap": snap}).withColumns({"n_bands": n_long, "bins": bins}).drop("_snap")
-    return out.withColumn("snapped", F.floor(F.col("bins") * F.col("rate") / (2 * sum(long))))
+    out = out.withColumns({"n_bands": n_long, "bins": bins}).drop("_snap")
+    return out.withColumn("snapped", F.floor(F.col("bins") * F.col("rate") / (2 * total(long))))
 
 
 def with_bands(bins: DataFrame, bands: DataFrame, limit: int | None = None) -> DataFrame:

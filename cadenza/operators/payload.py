@@ -81,7 +81,7 @@ def code_bands(rows: DataFrame, codes: Codes, column: str = "bands", last: Colum
         return out if "preset" in given else out.withField("preset", F.lit(None).cast("int")).withField("base", F.lit(0))
 
     def of_groups(value) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.array_max(F.col(column)["group"])), lambda g: F.aggregate(column, F.lit(0.0), lambda s, b: s + F.when(b["group"] == g, value(b)).otherwise(0.0)))
+        return F.transform(F.sequence(F.lit(0), F.array_max(F.transform(column, lambda b: b["group"]))), lambda g: F.aggregate(column, F.lit(0.0), lambda s, b: s + F.when(b["group"] == g, value(b)).otherwise(0.0)))
 
     def aimed(b: Column) -> Column:
         total, counted = F.get("_totals", b["group"]), F.get("_counts", b["group"])

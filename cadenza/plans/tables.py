@@ -35,6 +35,19 @@ def band_widths(rate: int, short: bool = False, total: int | None = None) -> lis
     return out
 
 
+def rate_bands(spark: SparkSession) -> DataFrame:
+    """rate_index, rate, listed (whether the widths are listed values or made by the rule), long, short (arrays of sfb, start, width) of all rates."""
+    rows = []
+    for i, rate in enumerate(RATES):
+        table = []
+        for short in (False, True):
+            widths = band_widths(rate, short)
+            table.append([(k, sum(widths[:k]), w) for k, w in enumerate(widths)])
+        rows.append((i, rate, rate in (44100, 48000), *table))
+    kind = "array<struct<sfb:int,start:int,width:int>>"
+    return spark.createDataFrame(rows, f"rate_index int, rate int, listed boolean, long {kind}, short {kind}")
+
+
 def bands(spark: SparkSession, widths: list[int]) -> DataFrame:
     """sfb, width, start, end."""
     rows, at = [], 0

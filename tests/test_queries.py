@@ -3,9 +3,10 @@ import os
 import duckdb
 import pytest
 
-from cadenza.plans.queries import QUERIES, SQL
+from cadenza.plans import frames, queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = queries.QUERIES | frames.QUERIES, queries.SQL | frames.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
