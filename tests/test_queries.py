@@ -3,10 +3,10 @@ import os
 import duckdb
 import pytest
 
-from cadenza.plans import frames, queries
+from cadenza.plans import frames, queries, streams
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries.QUERIES | frames.QUERIES, queries.SQL | frames.SQL
+QUERIES, SQL = queries.QUERIES | frames.QUERIES | streams.QUERIES, queries.SQL | frames.SQL | streams.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
