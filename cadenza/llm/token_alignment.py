@@ -39,10 +39,12 @@ from cadenza.llm.token_counts import _byte_letters, vocabulary_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks that a worker keeps, code points of the longest that is kept, bytes of text that are encoded together, chunks that are encoded in one call.
-CACHE, KEPT, RUN, CALL = 250_000, 64, 2 << 20, 20_000
+CACHE, KEPT, RUN, CALL = 400_000, 64, 2 << 20, 20_000
 #: Distinct links that a task gathers before it sends their counts, links of all texts that are looked up together, and rows of a shard at most, about.
 GATHERED, TOGETHER, SHARD = 1 << 21, 1 << 21, 4_000_000
 SIGN = "▁"
+#: Signs after a word that are a pre-token of A by themselves.
+_SIGNS = (".", ",", ";", ":", "!", "?")
 #: A chunk: what follows its space up to the next single space between two characters that are no white space.
 _CHUNK = re.compile(r"(?:\A\s+| )\S*(?:(?:\s\s+|[^\S ]|\s\Z)\S*)*")
 
@@ -67,16 +69,18 @@ class Aligner:
         for name, i in vocab.items():
             self.a_bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SIGN, " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_name, self.b_name = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(pieces))))
+        self.letter = {b: c for c, b in letters.items()}
+        self.merge = self.a.model.tokenize
         self.clear()
 
     def clear(self) -> None:
         """Forget all chunks."""
         self.place: dict[str, int] = {}
         self.groups: list[bytes] = []
+        self.links: list[bytes] = []  # 64-bit numbers
         self.numbers = np.zeros((0, 3), np.int64)  # n_a, n_b, n_groups; n_a is -1 where bytes differ
-        self.fresh: list[tuple[int, int, int]] = []  # those that are not in numbers yet
-        self.links: list[list[int]] = []
 
     def forget(self, first: int) -> None:
         """Forget the chunks that were learned from place `first` on."""
@@ -87,35 +91,57 @@ class Aligner:
     def learn(self, chunks: list[str]) -> None:
         for lo in range(0, len(chunks), CALL):
             part = chunks[lo : lo + CALL]
-            encoded = self.a.encode_batch(part, add_special_tokens=False)
-            for chunk, x, b in zip(part, encoded, self.b.encode([c[1:] for c in part], num_threads=1), strict=True):
-                self._keep(chunk, x.ids, b)
-        self.numbers = np.concatenate([self.numbers, np.array(self.fresh, np.int64).reshape(-1, 3)])
-        self.fresh.clear()
-
-    def _keep(self, chunk: str, a: list[int], b: list[int]) -> None:
-        self.place[chunk] = len(self.groups)
-        own = chunk.encode("utf-8", "replace")
-        if SIGN in chunk or b"".join([self.a_bytes[i] for i in a]) != own or b"".join([self.b_bytes[i] for i in b]) != own:
-            self.groups.append(b"")
-            self.fresh.append((-1, 0, 0))
-            self.links.append([])
-            return
-        groups, links, i, at = [], [], 0, 0
-        a_size, b_size = self.a_size, self.b_size
-        b_at, last_a, last_b = 0, 0, 0
-        for j, y in enumerate(b):
-            b_at += b_size[y]
-            while at < b_at:
-                at += a_size[a[i]]
-                i += 1
-            if at == b_at:
-                groups.append(",".join(map(str, a[last_a:i])) + "|" + ",".join(map(str, b[last_b : j + 1])))
-                links.append(y << 32 | a[i - 1])
-                last_a, last_b = i, j + 1
-        self.groups.append(";".join(groups).encode())
-        self.fresh.append((len(a), len(b), len(groups)))
-        self.links.append(links)
+            known = [self._merged(c) for c in part]
+            rest = iter(self.a.encode_batch([c for c, a in zip(part, known, strict=True) if a is None], add_special_tokens=False))
+            a = [next(rest).ids if x is None else x for x in known]
+            b = self.b.encode([c[1:] for c in part], num_threads=1)
+            own = [c.encode("utf-8", "replace") for c in part]
+            differ = [SIGN in c for c in part]
+            for names, ids in ((self.a_bytes, a), (self.b_bytes, b)):
+                if b"".join([names[i] for x in ids for i in x]) != b"".join(own) or [sum([len(names[i]) for i in x]) for x in ids] != list(map(len, own)):
+                    differ = [d or b"".join([names[i] for i in x]) != o for d, x, o in zip(differ, ids, own, strict=True)]
+            good = [k for k, d in enumerate(differ) if not d]
+            numbers = np.full((len(part), 3), (-1, 0, 0), np.int64)
+            groups, links = [b""] * len(part), [b""] * len(part)
+            if good:
+                self._group([a[k] for k in good], [b[k] for k in good], [own[k] for k in good], good, numbers, groups, links)
+            self.place.update(zip(part, range(len(self.groups), len(self.groups) + len(part)), strict=True))
+            self.groups += groups
+            self.links += links
+            self.numbers = np.concatenate([self.numbers, numbers])
+
+    def _group(self, a: list[list[int]], b: list[list[int]], own: list[bytes], at: list[int], numbers: np.ndarray, groups: list[bytes], links: list[bytes]) -> None:
+        """Fill in the numbers, groups and links of chunks whose tokens give back their bytes, at the places `at`; ends are found for all chunks together."""
+        flat_a, flat_b = [i for x in a for i in x], [i for x in b for i in x]
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        place = np.searchsorted(ends_a, ends_b)
+        shared = np.flatnonzero(ends_a[place] == ends_b)
+        linked = ((np.array(flat_b, np.int64)[shared] << 32) | np.array(flat_a, np.int64)[place[shared]]).tobytes()
+        names_a, names_b = [self.a_name[i] for i in flat_a], [self.b_name[i] for i in flat_b]
+        texts, last_a, last_b = [], 0, 0
+        for i, j in zip((place[shared] + 1).tolist(), (shared + 1).tolist(), strict=True):
+            texts.append(",".join(names_a[last_a:i]) + "|" + ",".join(names_b[last_b:j]))
+            last_a, last_b = i, j
+        ends = np.searchsorted(ends_b[shared], np.cumsum(list(map(len, own))), "right")
+        numbers[at] = np.stack([list(map(len, a)), list(map(len, b)), np.diff(ends, prepend=0)], axis=1)
+        first = 0
+        for k, end in zip(at, ends.tolist(), strict=True):
+            groups[k], links[k] = ";".join(texts[first:end]).encode(), linked[8 * first : 8 * end]
+            first = end
+
+    def _merged(self, chunk: str) -> list[int] | None:
+        """A's ids of a space and letters of U+00FF at most, with or without one sign after them: pre-tokens that need no search, merged by A's model; None for all others."""
+        word, sign = (chunk[:-1], chunk[-1]) if chunk[-1:] in _SIGNS else (chunk, "")
+        if not word[1:].isalpha():
+            return None
+        if word.isascii():
+            spelled = self.letter[32] + word[1:]
+        elif max(word) > "\u00ff":
+            return None
+        else:
+            spelled = "".join([self.letter[b] for b in word.encode()])
+        ids = [t.id for t in self.merge(spelled)]
+        return ids + [t.id for t in self.merge(sign)] if sign else ids
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, list[int], np.ndarray]]:
         """n_a, n_b, n_groups, groups_sha256, links of each text."""
@@ -135,7 +161,7 @@ class Aligner:
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
                 continue
             digest = hashlib.sha256(b";".join([groups[i] for i in at])).hexdigest()
-            yield *n.sum(axis=0).tolist(), digest, np.array([x for i in at for x in links[i]], np.int64)
+            yield *n.sum(axis=0).tolist(), digest, np.frombuffer(b"".join([links[i] for i in at]), np.int64)
         if len(groups) > known:
             self.forget(known)
 
