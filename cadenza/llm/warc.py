@@ -27,6 +27,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from datetime import date
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ FIRST = "2024-01-01"
 LAST = (date.max - date.fromisoformat(FIRST)).days * 86_400 + 86_399
 #: Entries of a sorted run, of a range of the index, of a batch of a run while it is merged, and records of an archive file.
 RUN, RANGE, BATCH, FILE = 50_000, 100_000, 2_000, 20_000
+#: Runs that are merged at once, each an open file.
+FAN = 256
 ENTRY = T.StructType(
     [
         T.StructField("url_key", T.StringType()),
@@ -276,6 +279,20 @@ class RunFiles:
             for batch in pa.ipc.open_stream(f):
                 yield from batch.to_pylist()
 
+    def merged(self, fan: int = FAN) -> Iterator[dict]:
+        """All rows in order. While there are more than `fan` runs, the first `fan` are merged to a run of their own, which takes the last place; no more are open at once."""
+        self.close()
+        while len(self.paths) > fan:
+            few, self.paths = self.paths[:fan], self.paths[fan:]
+            self.paths.append(f"{few[0]}+")
+            with pa.ipc.new_stream(self.paths[-1], self.schema) as out:
+                rows = iter(LoserTree([self.read(p) for p in few], _order))
+                while part := list(islice(rows, BATCH)):
+                    out.write_batch(pa.RecordBatch.from_pylist(part, self.schema))
+            for p in few:
+                os.remove(p)
+        yield from LoserTree([self.read(p) for p in self.paths], _order)
+
 
 def merge_runs(entries: DataFrame) -> DataFrame:
     """The entries in global order: range_id, then position in the range."""
@@ -297,9 +314,8 @@ def merge_runs(entries: DataFrame) -> DataFrame:
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     if hi > lo:
                         runs.add(batch.slice(lo, hi - lo).cast(runs.schema), names[lo])
-            runs.close()
             part, out, at = TaskContext.get().partitionId(), [], 0
-            for e in LoserTree([runs.read(p) for p in runs.paths], _order):
+            for e in runs.merged():
                 out.append({k: e[k] for k in fields} | {"range_id": part, "position": at})
                 at += 1
                 if len(out) == BATCH:

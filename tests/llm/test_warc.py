@@ -92,3 +92,29 @@ def test_any_page_id_in_any_zone(spark):
 def test_equal_digest_needs_equal_payload(spark):
     rows = spark.createDataFrame([(1, b"a", 3), (2, b"b", 3), (3, b"a", 3), (3, b"a", 3), (None, b"a", 3)], "page_id long, sha256 binary, size long")
     assert [(r["page_id"], r["first"]) for r in warc.revisits(rows).collect()] == [(3, 1)]
+
+
+def test_more_runs_than_are_merged_at_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(6)
+    entry = lambda: {f.name: None for f in warc.ENTRY} | {"url_key": f"k{r.randrange(9)}", "captured": f"t{r.randrange(9)}", "page_id": r.randrange(10**6)}
+    runs = warc.RunFiles(str(tmp_path), warc._schema())
+    rows = []
+    for k in range(150):
+        own = sorted((entry() for _ in range(r.randrange(1, 6))), key=warc._order)
+        rows += own
+        runs.add(pa.RecordBatch.from_pylist(own, warc._schema()), str(k))
+    now, most = set(), [0]
+    read = warc.RunFiles.read
+
+    def counted(self, path):
+        now.add(path)
+        most[0] = max(most[0], len(now))
+        yield from read(self, path)
+        now.discard(path)
+
+    monkeypatch.setattr(warc.RunFiles, "read", counted)
+    got = list(runs.merged(fan=4))
+    assert [warc._order(e) for e in got] == sorted(map(warc._order, rows)) and len(got) == len(rows)
+    assert most[0] <= 4 and len(list(tmp_path.iterdir())) <= 4
