@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,6 +60,33 @@ def test_stages_drop_what_they_should(spark, sf_dir):
     assert all(p["length"] == 2048 for p in packed if p["doc_id"] == 66 and p["piece"] == 0)
 
 
+def test_rows_that_share_a_doc_id_have_fates_of_their_own(spark, sf_dir):
+    once, same = "a text that stands once, and only here", "same text here, twice in all"
+    rows = [(1, same, "a"), (7, once, "b"), (7, same, "c"), (8, "another text of some words", "d"), (None, same, "e"), (None, "a text without a number, of its own", "f"), (8, "another text of some words", "g"), (9, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    out = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert kept == sorted([(1, same), (7, once), (8, "another text of some words"), (None, "a text without a number, of its own"), (9, None)], key=str)
+    near = {r["source"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
+    assert {"b", "f", "h"} <= near and len(near & {"a", "c", "e"}) == 1 and len(near & {"d", "g"}) == 1
+    assert {r["source"] for r in corpus_pipeline.drop_leaks(spark, docs, sf_dir).collect()} == set("abcdefgh")
+
+
+def test_labels_meet_their_rows_when_doc_ids_repeat(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert not corpus_pipeline.named(docs)  # one row stands twice
+    left = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, sf_dir).collect()}
+    assert left == {r["doc_id"] for r in docs.collect()} - {60}
+
+
+def test_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).collect() == []
+    assert corpus_pipeline.pack(spark, docs, sf_dir).collect() == []
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     rows = got.collect()
