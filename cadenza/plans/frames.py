@@ -6,15 +6,18 @@ sixteen the spectrum of a long block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions.signal import rate_index
 from cadenza.operators import bands as B
 from cadenza.operators import coding as C
 from cadenza.operators import joint as J
 from cadenza.operators import payload as P
+from cadenza.operators import shaping as N
 from cadenza.plans import coding_sql as Y
 from cadenza.plans import tables as T
 from cadenza.plans.config import resolve
@@ -169,3 +172,45 @@ def mixed_rates(spark, sf_dir):
     sizes = {"section_bits": P.section_words(P.runs(F.col("bands"))), "sf_bits": P.delta_words(C.changes(F.col("bands"), gain), codes)}
     spectrum_bits = F.aggregate("bands", F.lit(0), lambda s, b: s + b["bits"])
     return rows.select("frame_no", "rate", "listed", "bandwidth", "quality", "n_bands", "bins", gain.alias("gain"), *(P.size_of(w).alias(c) for c, w in sizes.items()), spectrum_bits.alias("spectrum_bits"))
+
+
+_ORDERS = " ".join(f"WHEN {r} THEN {i}" for i, r in enumerate(T.RATES))
+_LISTS = [f"[{', '.join(map(str, t))}]" for t in (N.FIRST_BANDS, N.END_BANDS)]
+_UP, _DOWN = (repr((2 ** (N.BITS - 1) + d) / (math.pi / 2)) for d in (-0.5, 0.5))
+
+
+@query(f"""WITH RECURSIVE tb(rate, short, sfb, start, width, listed) AS (VALUES {_TABLES}), fr AS (SELECT DISTINCT vec_id // 16 AS key FROM embeddings),
+nb AS (SELECT rate, count(*) AS n_bands, list(start ORDER BY sfb) || [1024] AS starts FROM tb WHERE short = 0 GROUP BY rate),
+kr AS MATERIALIZED (SELECT key, nb.*, CASE nb.rate {_ORDERS} END AS ri FROM fr JOIN nb ON nb.rate = [{", ".join(map(str, T.RATES))}][1 + key % 12]),
+sp AS MATERIALIZED (SELECT *, n_bands - {_LISTS[0]}[ri + 1] AS length, starts[1 + least({_LISTS[0]}[ri + 1], {_LISTS[1]}[ri + 1], n_bands)] AS first, starts[1 + greatest(least({_LISTS[0]}[ri + 1], {_LISTS[1]}[ri + 1], n_bands), least(n_bands, {_LISTS[1]}[ri + 1]))] AS stop, CASE WHEN ri <= 5 THEN 12 ELSE 20 END AS ord FROM kr),
+x0 AS (SELECT vec_id // 16 AS key, vec_id % 16 * {BINS} + unnest(range({BINS}))::INT AS bin, unnest(embedding)::DOUBLE * {GAIN} AS x FROM embeddings),
+x1 AS MATERIALIZED (SELECT fr.key, r.bin, coalesce(x, 0) AS x FROM fr JOIN range(1024) r(bin) ON true LEFT JOIN x0 ON x0.key = fr.key AND x0.bin = r.bin),
+x AS MATERIALIZED (SELECT key, bin, x + CASE WHEN key % 3 = 0 THEN 0 ELSE 0.9::DOUBLE * lag(x, 1, 0) OVER (PARTITION BY key ORDER BY bin) END AS x FROM x1),
+r AS (SELECT key, list(r ORDER BY lag) AS r FROM (SELECT sp.key, l.lag, coalesce(sum(a.x * b.x), 0) AS r FROM sp JOIN range(21) l(lag) ON l.lag <= ord LEFT JOIN x a ON a.key = sp.key AND a.bin >= first AND a.bin < stop - l.lag LEFT JOIN x b ON b.key = sp.key AND b.bin = a.bin + l.lag GROUP BY ALL) GROUP BY key),
+lv AS (SELECT key, 0 AS m, [1.0::DOUBLE] AS a, []::DOUBLE[] AS k, r[1] AS error FROM r WHERE r[1] > 0 UNION ALL
+ SELECT key, m + 1, [coalesce(a[i], 0) + kt * coalesce(a[m + 3 - i], 0) FOR i IN range(1, m + 3)], k || [kt], error * (1 - kt * kt) FROM (SELECT lv.*, -list_sum([a[i + 1] * r.r[m - i + 2] FOR i IN range(0, m + 1)]) / error AS kt FROM lv JOIN r USING (key) JOIN sp USING (key) WHERE m < ord)),
+gn AS MATERIALIZED (SELECT lv.key, r[1] / error AS gain, k FROM lv JOIN sp USING (key) JOIN r USING (key) WHERE m = ord),
+ix AS (SELECT key, list_transform(k, lambda v: CAST(trunc(CASE WHEN v >= 0 THEN 0.5 + asin(v) * {_UP} ELSE -0.5 + asin(v) * {_DOWN} END) AS INT)) AS ix FROM gn WHERE gain > 1.4),
+vl AS (SELECT key, ix, list_transform(ix, lambda v: sin(v / CASE WHEN v >= 0 THEN {_UP} ELSE {_DOWN} END)) AS vl FROM ix),
+ct AS MATERIALIZED (SELECT key, ix[1:n] AS ix, vl[1:n] AS vl, n FROM (SELECT *, coalesce(list_max(list_transform(range(1, len(vl) + 1), lambda i: CASE WHEN abs(vl[i]) > 0.1 THEN i ELSE 0 END)), 0) AS n FROM vl)),
+su AS (SELECT key, 0 AS m, [1.0::DOUBLE] AS a FROM ct UNION ALL SELECT su.key, m + 1, [coalesce(a[i], 0) + vl[m + 1] * coalesce(a[m + 3 - i], 0) FOR i IN range(1, m + 3)] FROM su JOIN ct USING (key) WHERE m < n),
+pr AS (SELECT su.key, a, n FROM su JOIN ct ON su.key = ct.key AND m = n), tp AS (SELECT key, j.j AS j, a[j.j + 1] AS a FROM pr JOIN range(1, 21) j(j) ON j.j <= n),
+ad AS (SELECT c.key, c.bin, sum(tp.a * p.x) AS more FROM tp JOIN sp USING (key) JOIN x c ON c.key = tp.key AND c.bin - j >= first AND c.bin < stop JOIN x p ON p.key = tp.key AND p.bin = c.bin - j GROUP BY ALL),
+y AS MATERIALIZED (SELECT key, bin, x + coalesce(more, 0) AS x FROM x LEFT JOIN ad USING (key, bin)),
+bx AS MATERIALIZED (SELECT kr.key, sfb AS pos, 0 AS grp, sfb, start, width, 1 AS wins, bin - start AS i, x FROM kr JOIN tb ON tb.rate = kr.rate AND short = 0 JOIN y ON y.key = kr.key AND bin >= start AND bin < start + width),
+kq AS (SELECT key, 1.0::DOUBLE AS quality, 1024 AS last, false AS short FROM kr), {Y.coded()},
+f AS (SELECT key, '0000000' || lpad(bin(g0 & 255), 8, '0') || '0000' || lpad(bin(n_bands), 6, '0') || '0' || se || sd || '0' || CASE WHEN ix IS NULL THEN '0' ELSE '1' || '01' || '1' || lpad(bin(length), 6, '0') || lpad(bin(n), 5, '0') || CASE WHEN n > 0 THEN '00' || array_to_string(list_transform(ix, lambda v: lpad(bin((v + 16) & 15), 4, '0')), '') ELSE '' END END || '0' || sp AS d FROM bits JOIN sp USING (key) LEFT JOIN ct USING (key)), {Y.closed("f")}
+SELECT key AS frame_no, rate, ord AS "order", round(coalesce(gain, 0), 6) + 0.0 AS gain, array_to_string(ix, ',') AS indices, CAST(length AS INT) AS length, n_bits, md5({Y.HEX}) AS payload_md5 FROM shut JOIN sp USING (key) LEFT JOIN gn USING (key) LEFT JOIN ct USING (key)""")
+def noise_shaping(spark, sf_dir):
+    """Frames of all rates with shaped spectra: order and span by rate, coefficients in the frame, the filtered spectrum coded; two of three spectra are smoothed before."""
+    rows = blocks(spark, sf_dir, 16)
+    before = F.concat(F.array(F.lit(0.0)), F.slice("spectrum", 1, 1023))
+    rows = rows.withColumn("spectrum", F.zip_with("spectrum", before, lambda x, y: x + F.when(F.col("frame_no") % 3 == 0, 0.0).otherwise(y * 0.9)))
+    rows = rows.withColumn("rate", F.get(F.array(*map(F.lit, T.RATES)), (F.col("frame_no") % 12).cast("int"))).join(F.broadcast(T.rate_bands(spark)), "rate")  # twelve rows
+    starts = F.concat(F.transform("long", lambda b: b["start"]), F.array(F.lit(1024)))
+    rows = N.shape(rows, "spectrum", starts, F.size("long"), rate_index(F.col("rate")))
+    rows = P.code_bands(rows.withColumn("bands", P.grouped_bands(F.col("spectrum"), F.col("long"))).drop("spectrum"), T.code_table())
+    shaping = P.shaping_words(F.col("indices"), F.col("length"))
+    element = P.single(0, P.coded_channel(F.col("bands"), T.code_table(), P.window_info(F.lit(0), F.size("long")), shaping=shaping))
+    rows = rows.select("frame_no", "rate", "order", (F.round("gain", 6) + 0.0).alias("gain"), F.array_join("indices", ",").alias("indices"), "length", element.alias("element"))
+    return shut(rows, "frame_no", "rate", "order", "gain", "indices", "length").withColumn("payload_md5", F.md5("payload")).drop("payload")

@@ -461,13 +461,6 @@ def autocorrelation(spark, sf_dir):
     return X.autocorrelation(spectrum(spark, sf_dir), ["vec_id"], 7).select("vec_id", "lag", r("r", 3))
 
 
-@query()
-def noise_shaping(spark, sf_dir):
-    """Recursive kernels; tested against a direct solution."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("spectrum"))
-    return X.noise_shaping(rows, 12)
-
-
 _BITS = "('1111111111110001' || '01' || right('0000' || bin(s_suppkey % 12), 4) || '0' || '010' || '0000' || right('0000000000000' || bin(200 + s_suppkey % 7000), 13) || '11111111111' || '00')"
 
 
