@@ -194,13 +194,18 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(documents: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, n_candidates, least_p, limit_p of every document.
+
+    least_p: the smallest weighted p-value of a document's candidates (null without any); limit_p: up to which a candidate is taken as random,
+    over all documents, negative if none is.
+    """
     scored = materialize(candidates(base_spans(documents)), "candidates")
     most, mean = limit(scored, alpha)
-    kept = F.filter("tokens", lambda t: F.least(t["p"] * mean / t["n"], F.lit(1.0)) <= most)
+    weighted = lambda t: F.least(t["p"] * mean / t["n"], F.lit(1.0))
+    kept = F.filter("tokens", lambda t: weighted(t) <= most)
     out = scored.withColumn("random", F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end"))))
     spans = F.array_sort(F.concat("base", "random"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.size("random").cast("long").alias("n_random"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.size("random").cast("long").alias("n_random"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size("tokens").cast("long").alias("n_candidates"), F.array_min(F.transform("tokens", weighted)).alias("least_p"), F.lit(most).alias("limit_p"))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,12 @@ import hashlib
 import random
 import re
 
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza.llm import secret_scan
 from cadenza.llm.secret_scan import scan
 
 SCHEMA = "doc_id long, text string, spans string, base string"
@@ -81,3 +87,95 @@ def test_random_letters_and_digits_are_candidates(spark):
     got = {x["doc_id"]: x["n_random"] for x in scan(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()}
     assert sum(got[i] for i in range(40)) >= 36 and sum(got[i] for i in range(40, 80)) >= 30
     assert sum(got[i] for i in range(80, len(rows))) <= 2
+
+
+def plain_statistics(token):
+    """(encoding, three scores, p) of a candidate, symbol by symbol."""
+    kinds = [("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")]
+    fits = {"decimal": "[0-9]+", "hex": "[0-9a-f]+|[0-9A-F]+", "base32": "[A-Z2-7]+", "base64": ".*"}
+    encoding, alphabet = next((e, a) for e, a in kinds if re.fullmatch(fits[e], token))
+    folded = token.lower() if encoding == "hex" else token
+    n, size = len(folded), len(alphabet)
+    chi = sum((folded.count(c) - n / size) ** 2 / (n / size) for c in alphabet)
+    shape = secret_scan.SHAPE[encoding]
+    z_chi = (size - 1 + n * shape - chi) / math.sqrt(2 * (size - 1 + 2 * n * shape))
+
+    def kind(c):
+        if encoding == "decimal":
+            return c < "5"
+        return "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m"
+
+    turns = sum(kind(a) != kind(b) for a, b in zip(token, token[1:]))
+    share = secret_scan.TURNS
+    z_runs = (turns - (n - 1) * share) / math.sqrt((n - 1) * share * (1 - share))
+    values = [alphabet.index(c) + 1 for c in folded]
+    mean = sum(values) / n
+    power = sum((v - mean) ** 2 for v in values)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / power if power else 1.0
+    z_serial = (secret_scan.CARRY - abs(serial)) * math.sqrt(n)
+    z = max(-8.0, min(8.0, (z_chi + z_runs + z_serial) / math.sqrt(3)))
+    return encoding, z_chi, z_runs, z_serial, 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def tokens():
+    r = random.Random(11)
+    raw = lambda n: bytes(r.randrange(256) for _ in range(n))
+    made = [raw(r.randint(10, 30)).hex() for _ in range(10)] + [raw(12).hex().upper()] + [base64.b64encode(raw(r.randint(15, 60))).decode().rstrip("=") for _ in range(20)] + [base64.b32encode(raw(20)).decode().rstrip("=") for _ in range(10)]
+    return [*made, "".join(r.choice("0123456789") for _ in range(30)), "a" * 25, "7" * 22, "the-quick-brown-fox-jumps-over", "AAAAAAAAAAAAAAAAAAAAAAAAAB", "aB3_" * 9]
+
+
+def test_statistics_equal_plain_code(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(tokens())], "i int, t string")
+    rows = df.select("i", secret_scan._steps(F.col("t")).alias("s"), secret_scan._score(F.col("t")).alias("p")).collect()
+    assert {r["s"]["encoding"] for r in rows} == {"decimal", "hex", "base32", "base64"}
+    for r in rows:
+        encoding, *want, p = plain_statistics(tokens()[r["i"]])
+        assert r["s"]["encoding"] == encoding
+        assert [r["s"]["z_chi"], r["s"]["z_runs"], r["s"]["z_serial"]] == pytest.approx(want)
+        assert r["p"] == pytest.approx(p)
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.2])
+def test_limit_equals_benjamini_hochberg(spark, alpha):
+    """The limit keeps what the step-up rule on the weighted p-values keeps, but for the width of a histogram step."""
+    r = random.Random(2)
+    found = [(r.random() ** r.choice([1, 1, 9]), r.randint(20, 80)) for _ in range(400)]
+    rows = [([{"start": 0, "end": n, "p": p, "n": n} for p, n in found[i : i + 7]],) for i in range(0, 400, 7)] + [([],)]
+    most, mean = secret_scan.limit(spark.createDataFrame(rows, "tokens array<struct<start:int,end:int,p:double,n:int>>"), alpha)
+    assert mean == pytest.approx(sum(n for _, n in found) / 400)
+    weighted = sorted(min(p * mean / n, 1.0) for p, n in found)
+    passed = [w for k, w in enumerate(weighted, 1) if w * 400 <= alpha * k]
+    exact = max(passed) if passed else -1
+    assert passed and exact * 10**-0.02 <= most <= exact * 10**0.02
+    none = secret_scan.limit(spark.createDataFrame([([],)], "tokens array<struct<start:int,end:int,p:double,n:int>>"))
+    assert none == (-1.0, 1.0)
+
+
+def test_places_and_overlaps_equal_plain_code(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(60):
+        cuts = sorted(r.sample(range(200), 2 * r.randint(0, 8)))
+        found = list(zip(cuts[::2], cuts[1::2]))
+        base = sorted((a, a + r.randint(1, 30)) for a in (r.randrange(200) for _ in range(r.randint(0, 6))))
+        rows.append((i, found, [(a, 0, b) for a, b in base]))
+    schema = "i int, f array<struct<start:int,end:int>>, b array<struct<start:int,kind:int,end:int>>"
+    for row in spark.createDataFrame(rows, schema).select("i", secret_scan.clear_of(F.col("f"), F.col("b")).alias("left")).collect():
+        _, found, base = rows[row["i"]]
+        assert [tuple(s) for s in row["left"]] == [(a, b) for a, b in found if not any(a < e and s < b for s, _, e in base)]
+    sums = spark.createDataFrame([([r.randint(-5, 9) for _ in range(n)],) for n in (0, 1, 2, 7, 100)], "v array<int>")
+    for row in sums.select("v", secret_scan.scanned(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s")).collect():
+        assert row["s"] == [sum(row["v"][: k + 1]) for k in range(len(row["v"]))]
+
+
+def test_the_battery_decides(spark):
+    """Random tokens among much structured text are taken, and the numbers behind the decision come along."""
+    r = random.Random(3)
+    raw = lambda n: bytes(r.randrange(256) for _ in range(n))
+    rows = [(i, f"see the-long-name-of-a-page-{i} and also some_other_name_that_is_long") for i in range(100)]
+    rows += [(200 + i, "blob " + base64.b64encode(raw(48)).decode() + " end") for i in range(10)] + [(300, "no candidate")]
+    got = {x["doc_id"]: x for x in scan(spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA)).collect()}
+    assert all(got[200 + i]["n_random"] == 1 and got[200 + i]["least_p"] <= got[200 + i]["limit_p"] for i in range(10))
+    assert all(got[i]["n_random"] == 0 and got[i]["n_candidates"] == 2 for i in range(100))
+    assert (got[300]["n_candidates"], got[300]["least_p"]) == (0, None)
+    assert got[200]["spans"].split(":")[0] == "random"
