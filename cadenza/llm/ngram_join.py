@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components as connect
-from cadenza.llm.runs import RUN_VALUES, Tally, dealt, tallied
+from cadenza.llm.runs import FAN, Tally, dealt, parts_of, refined, tallied
 from cadenza.llm.shared import BROADCAST_IDS, discard, lean, materialize, rows_of, small_batches, text_column, text_slices, trim, with_ids
 from cadenza.llm.words import mix, shingles, word_hashes
 
@@ -56,21 +56,28 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _parts(values: float) -> tuple[int, int]:
     """(parts, bits) in which so many values are counted: a run's worth a part, and few false meetings in the bits."""
-    return max(64, int(values // RUN_VALUES) + 1), min(60, max(32, int(values).bit_length() + 8))
+    return parts_of(values), min(60, max(32, int(values).bit_length() + 8))
 
 
-def _recurring(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: tuple[int, int], least: int) -> DataFrame:
+def _recurring(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: tuple[int, int], least: int, fan: int = FAN) -> DataFrame:
     """value, n of the values below 2**bits that at least `least` rows have."""
     parts, bits = size
+    coarse = min(parts, fan)
+
+    def sent(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["part", "run"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(parts, bits)
+        tally = Tally(coarse, bits)
         for batch in batches:
             for values in values_of(batch):
-                for part, blob in tally.add(values):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "run"])
-        found = list(tally.flush())
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["part", "run"])
+                for found in tally.add(values):
+                    yield sent([found])
+        yield sent(list(tally.flush()))
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in refined(batches, parts, bits):
+            yield sent([found])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, n in tallied(batches):
@@ -78,7 +85,10 @@ def _recurring(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[n
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].view(np.int64))], names=["value", "n"])
 
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 16)
-    return dealt(rows.mapInArrow(lean(deal), "part int, run binary"), tasks).mapInArrow(lean(count), "value long, n long")
+    runs = rows.mapInArrow(lean(deal), "part int, run binary")
+    if parts > coarse:
+        runs = dealt(runs, max(tasks, coarse)).mapInArrow(lean(refine), "part int, run binary")
+    return dealt(runs, tasks).mapInArrow(lean(count), "value long, n long")
 
 
 def frequent_shingles(documents: DataFrame, k: int) -> tuple[np.ndarray, int]:

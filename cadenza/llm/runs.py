@@ -2,8 +2,9 @@
 
 A run is the distinct sorted values that a task has gathered, as differences, beside columns of numbers that belong to them. Columns
 are stored by byte planes and compressed, so a value of b bits in a run of n takes about b - log2(n) + 2 bits. The range of the values
-is divided evenly into parts; hashed values fill them evenly. A part's runs meet in one task at a time, sorted by part there
-(Spark's sort spills), so a worker holds one part, whose size the caller sets by the number of parts.
+is divided evenly into parts, a power of two of them, so that a value's first bits are its part; hashed values fill them evenly. A part's runs meet in one task at a
+time, sorted by part there (Spark's sort spills), so a worker holds one part, whose size the caller sets by the number of parts. Where there are more
+than FAN parts, values are dealt in two levels, first by FAN ranges and then, range by range, by part: a run always holds many values.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 #: Values that a task gathers before it sends a run.
 RUN_VALUES = 1 << 21
+#: Parts that a task deals its values to at once.
+FAN = 4096
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -44,17 +47,17 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-def edges(parts: int, bits: int) -> np.ndarray:
-    """The first value of each part of the range below 2**bits, and its end where that is a 64-bit number."""
-    return np.array([min(-(-(p << bits) // parts), 2**64 - 1) for p in range(parts + 1)], np.uint64)
+def parts_of(values: float) -> int:
+    """The power of two of parts that hold a run's worth of so many values each, 64 at least."""
+    return 1 << max(6, int(values // RUN_VALUES).bit_length())
 
 
-def split(values: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """(part, its slice) of every part that a sorted array has values in; first: as `edges` gives."""
-    at = np.searchsorted(values, first[:-1]).tolist() + [len(values)]
-    for p in range(len(at) - 1):
-        if at[p] < at[p + 1]:
-            yield p, slice(at[p], at[p + 1])
+def split(values: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, slice]]:
+    """(part, its slice) of every part that a sorted array of values below 2**bits has values in."""
+    own = values >> np.uint64(bits - parts.bit_length() + 1) if parts > 1 else np.zeros(len(values), np.uint64)
+    at = starts_of(own)
+    for p, lo, hi in zip(own[at].tolist(), at.tolist(), [*at[1:].tolist(), len(values)][: len(at)], strict=True):
+        yield p, slice(lo, hi)
 
 
 def steps(values: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ class Tally:
     """Counts of values that come in arrays; sends (part, blob) runs when enough have come."""
 
     def __init__(self, parts: int, bits: int, size: int = RUN_VALUES) -> None:
-        self.first, self.size = edges(parts, bits), size
+        self.parts, self.bits, self.size = parts, bits, size
         self.values: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
         self.held = 0
@@ -103,7 +106,7 @@ class Tally:
     def flush(self) -> Iterator[tuple[int, bytes]]:
         values, n = summed(np.concatenate([*self.values, np.zeros(0, np.uint64)]), np.concatenate([*self.n, np.zeros(0, np.uint64)]))
         self.values, self.n, self.held = [], [], 0
-        for p, at in split(values, self.first):
+        for p, at in split(values, self.parts, self.bits):
             yield p, pack(steps(values[at]), n[at])
 
 
@@ -136,6 +139,16 @@ def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield (now, *merge())
 
 
+def refined(batches: Iterator[pa.RecordBatch], parts: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Runs (part, blob) of fine parts, of batches of runs of coarse parts sorted by part."""
+    tally = Tally(parts, bits)
+    for batch in batches:
+        for blob in batch.column(1):
+            differences, n = unpack(blob.as_py(), 2)
+            yield from tally.add(np.cumsum(differences, dtype=np.uint64), n)
+    yield from tally.flush()
+
+
 def dealt(rows, tasks: int):
     """Rows (part, ...) with every part in one task, sorted by part there."""
     return rows.repartition(tasks, "part").sortWithinPartitions("part")

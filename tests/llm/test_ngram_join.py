@@ -88,3 +88,22 @@ def test_empty_table_and_repeated_rows(spark):
     assert near_duplicates(empty).collect() == []
     twice = spark.createDataFrame([(7, "a b c d e f", "x", 0), (7, "a b c d e f", "x", 0), (5, "A b c d e f", "x", 0)], SCHEMA)
     assert sorted(tuple(r) for r in near_duplicates(twice).collect()) == [(5, 2, 5), (7, 2, 5), (7, 2, 5)]
+
+
+def test_counting_in_two_levels_counts_the_same(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    from cadenza.llm import ngram_join, runs
+
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(0, 1 << 40, 30).tolist() + (r.integers(0, 50, 20) << 34).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, v array<long>").repartition(5)
+    own = lambda batch: (np.unique(np.array(v, np.uint64)) for v in batch.column(0).to_pylist())
+    want = {v: n for v, n in Counter(v for _, vs in rows for v in set(vs)).items() if n >= 2}
+    assert len(want) == 50
+    for parts, fan in ((64, 4096), (64, 8), (1024, 4), (1, 1)):
+        got = ngram_join._recurring(df.select("v"), own, (parts, 40), 2, fan).collect()
+        assert {g["value"]: g["n"] for g in got} == want and len(got) == 50
+    assert [runs.parts_of(x) for x in (0, runs.RUN_VALUES * 64, runs.RUN_VALUES * 1e6)] == [64, 128, 1 << 20]
