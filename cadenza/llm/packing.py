@@ -8,7 +8,7 @@ with multiplicities, is as small as the histogram. Pieces then find their place
 their length: ranks come from counts per (length, salt), so no task holds one length whole.
 
 The search has a budget of NODES steps, whatever the histogram; without one (`nodes=None`) it ends only with a proof that no plan has fewer
-sequences. Where it meets the lower bound, as best fit alone does on large histograms, the plan is optimal anyway. No budget ever drops a piece:
+sequences; `pack` takes that argument too, and its rows say whether there is a proof. Where it meets the lower bound, as best fit alone does on large histograms, the plan is optimal anyway. No budget ever drops a piece:
 the best plan so far stands.
 
 Null or empty texts are one piece of one id (the end id). Texts are cut whole, however long. Repeated rows are packed each; pieces of
@@ -276,10 +276,14 @@ def cut_pieces(documents: DataFrame, path: str | None = None, capacity: int = CA
     return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (a table that gives the same rows each time it is read)."""
+def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
+    """Add sequence_id, offset and proved to pieces (a table that gives the same rows each time it is read).
+
+    proved: whether no plan has fewer sequences, the same for all rows. nodes: the budget of the search; with None it ends with the proof.
+    """
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots = plan_slots(solve(counted, capacity)[0], capacity)
+    plan, proved = solve(counted, capacity, nodes)
+    slots = plan_slots(plan, capacity)
     salts = max(64, max(counted.values(), default=0) // SALT_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -302,12 +306,12 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = slots["start"][k] + within % each * slots["size"][k]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, F.col("length").alias("length_"), F.col("rank").cast("long")).mapInArrow(lean(place), schema)
+    return ranked.select(*columns, F.col("length").alias("length_"), F.col("rank").cast("long")).mapInArrow(lean(place), schema).withColumn("proved", F.lit(proved))
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of every document with its sequence and place there."""
-    return place_pieces(materialize(cut_pieces(documents, path, capacity), "pieces"), capacity)
+def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
+    """One row per piece of every document with its sequence and place there, and whether the plan is proved to be the shortest; nodes as in place_pieces."""
+    return place_pieces(materialize(cut_pieces(documents, path, capacity), "pieces"), capacity, nodes)
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -92,3 +92,12 @@ def test_many_pieces_of_one_length(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert p.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_callers_can_ask_for_a_proof(spark):
+    from cadenza.llm import packing
+
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate([6, 6, 5, 5, 5, 4, 4, 3, 2])], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.place_pieces(rows, 10, nodes=None).collect()
+    assert len({r["sequence_id"] for r in got}) == 4 and all(r["proved"] for r in got)
+    assert len(packing.place_pieces(rows, 10, nodes=0).collect()) == 9
