@@ -12,6 +12,10 @@ LONG, LONG_SHORT, ONLY_SHORT, SHORT_LONG = 0, 1, 2, 3
 
 #: Least quality that block switching uses, first band it looks at, first band of mid/side in long and short blocks.
 LEAST_QUALITY, FIRST_BAND, FIRST_LONG, FIRST_SHORT = 0.4, 2, 8, 1
+#: Largest excess of mid/side, its share at quality 1, the quiet side's largest and usual share; the same of intensity.
+MID_MOST, MID, SIDE_MOST, SIDE, ONE_MOST, ONE = 0.25, 0.09, 0.3, 0.1, math.sqrt(2) - 1, 0.18
+#: Steps a decade of an intensity position, and the largest position that is sent.
+POSITION_STEP, FARTHEST = 10 / 1.50515, 30
 
 
 def transients(energy: DataFrame, stream: list[str], per_frame: int, quality: Column | float = 1.0, limit: float = 3.0, before: int = 2, after: int = 2, first_band: int = FIRST_BAND) -> DataFrame:
@@ -70,8 +74,8 @@ def pair_energies(banded: DataFrame, pair: list[str], side: str) -> DataFrame:
 def mid_side(energy: DataFrame, quality: float = 1.0, first: int = FIRST_LONG) -> DataFrame:
     """ms: in_phase, out_of_phase or null; muted: the quiet side that is silenced, or null. Bands below `first` stay as they are."""
     used = F.col("sfb") >= first
-    mid_limit = (1 + min(0.09 / quality, 0.25)) ** 2
-    mute_limit = min(0.1 / quality, 0.3) ** 2
+    mid_limit = (1 + min(MID / quality, MID_MOST)) ** 2
+    mute_limit = min(SIDE / quality, SIDE_MOST) ** 2
     s, d = F.col("e_sum") / 4, F.col("e_diff") / 4
     low, high = F.least("e_left", "e_right"), F.greatest("e_left", "e_right")
     close = used & (low * mid_limit >= F.greatest(s, d))
@@ -83,18 +87,17 @@ def mid_side(energy: DataFrame, quality: float = 1.0, first: int = FIRST_LONG) -
 
 def intensity(energy: DataFrame, quality: float = 1.0, first: int = 8) -> DataFrame:
     """kind: in_phase, out_of_phase or null; gain, level and pan of bands that one channel can carry; muted side beyond a pan of 30."""
-    limit = (1 + min(0.18 / quality**2, math.sqrt(2) - 1)) ** 2
+    limit = (1 + min(ONE / quality**2, ONE_MOST)) ** 2
     both = F.col("e_left") + F.col("e_right")
     bound = F.pow(F.sqrt("e_left") + F.sqrt("e_right"), F.lit(2)) / limit
     heard = (F.col("sfb") >= first) & (both > 0)
     kind = F.when(heard & (F.col("e_sum") >= bound), "in_phase").when(heard & (F.col("e_diff") >= bound), "out_of_phase")
     used = F.when(kind == "in_phase", F.col("e_sum")).otherwise(F.col("e_diff"))
-    step = 10 / 1.50515
-    share = lambda c: F.when(F.col(c) > 0, F.rint(F.log10(F.col(c) / both) * step))
+    share = lambda c: F.when(F.col(c) > 0, F.rint(F.log10(F.col(c) / both) * POSITION_STEP))
     level = F.when(kind.isNotNull(), share("e_left"))
     pan = F.when(kind.isNotNull(), share("e_right") - share("e_left"))
     gain = F.when(kind.isNotNull() & (used > 0), F.sqrt(both / used))
-    muted = F.when(pan > 30, "left").when(pan < -30, "right")
+    muted = F.when(pan > FARTHEST, "left").when(pan < -FARTHEST, "right")
     return energy.withColumns({"is_kind": kind, "is_gain": gain, "is_level": level, "is_pan": pan, "is_muted": muted})
 
 

@@ -27,10 +27,11 @@ def frames(samples: DataFrame, size: int) -> DataFrame:
 
 def frame_arrays(framed: DataFrame, size: int, keys: list[str], value: str = "value") -> DataFrame:
     """One row a frame with its samples as an array of `size`; missing positions are zero."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce(value, F.lit(0.0)).alias("v"))))
-    packed = framed.groupBy(*keys).agg(pairs.alias("_m"))
-    samples = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return packed.select(*keys, samples.alias("samples"))
+    packed = framed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(value, F.lit(0.0)).alias("v")))).alias("_l"))  # `size` members
+    found = F.transform("_l", lambda p: p["v"])
+    at = F.transform("_l", lambda p: p["pos"])
+    placed = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.get(found, (F.array_position(at, i) - 1).cast("int")), F.lit(0.0)))
+    return packed.select(*keys, F.when(F.size("_l") == size, found).otherwise(placed).alias("samples"))
 
 
 def pad(framed: DataFrame, size: int, keys: list[str], flush: int = 0) -> DataFrame:

@@ -5,20 +5,12 @@ A band is as payload.grouped_bands gives it. Energies are those before any chang
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.decisions import FARTHEST, FIRST_LONG, MID, MID_MOST, ONE, ONE_MOST, POSITION_STEP, SIDE, SIDE_MOST
 from cadenza.plans.tables import INTENSITY, INTENSITY_OUT, ZERO
 
-#: First bands of joint coding in long and short blocks.
-FIRST_LONG, FIRST_SHORT = 8, 1
-#: Largest excess of mid/side, its share at quality 1, the quiet side's largest and usual share; the same of intensity.
-MID_MOST, MID, SIDE_MOST, SIDE, ONE_MOST, ONE = 0.25, 0.09, 0.3, 0.1, math.sqrt(2) - 1, 0.18
-#: Steps a decade of an intensity position, and the largest position that is sent.
-POSITION_STEP, FARTHEST = 10 / 1.50515, 30
-
 
 def mid_limits(quality: Column | float) -> tuple[Column, Column]:
     """(excess up to which two sides count as one, share up to which a side is muted), for energies."""

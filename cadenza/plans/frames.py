@@ -214,3 +214,66 @@ def noise_shaping(spark, sf_dir):
     element = P.single(0, P.coded_channel(F.col("bands"), T.code_table(), P.window_info(F.lit(0), F.size("long")), shaping=shaping))
     rows = rows.select("frame_no", "rate", "order", (F.round("gain", 6) + 0.0).alias("gain"), F.array_join("indices", ",").alias("indices"), "length", element.alias("element"))
     return shut(rows, "frame_no", "rate", "order", "gain", "indices", "length").withColumn("payload_md5", F.md5("payload")).drop("payload")
+
+
+#: Channels of a frame: one single, two pairs and a low-frequency one, which keeps its first bands only.
+CHANNELS, LOW_BANDS, WRITER = 6, 3, "cadenza 1"
+
+
+def _writer_bits() -> str:
+    """The filler element with the writer's name at the begin of a frame: count of bytes, a byte's lead, two empty bytes, the name and a zero."""
+    body = WRITER.encode() + b"\0"
+    size = len(body) + 3
+    lead = -(3 + 4) % 8 if size < 15 else -(3 + 4 + 8) % 8
+    head = "110" + (format(size, "04b") if size < 15 else "1111" + format(size - 14, "08b"))
+    return head + "0" * lead + "0" * 16 + "".join(format(b, "08b") for b in body) + "0" * (8 - lead)
+
+
+@query(f"""WITH RECURSIVE w(sfb, start, width) AS (VALUES {_values(WIDTHS)}), x AS (SELECT vec_id // {CHANNELS} AS frame_no, vec_id % {CHANNELS} AS ch, unnest(range({BINS}))::INT AS bin, unnest(embedding)::DOUBLE * {GAIN} AS x FROM embeddings),
+ok AS (SELECT frame_no FROM x GROUP BY frame_no HAVING count(DISTINCT ch) = {CHANNELS}),
+lr AS MATERIALIZED (SELECT a.frame_no, a.ch, sfb, start, width, bin, a.x AS l, b.x AS r FROM x a JOIN x b USING (frame_no, bin) JOIN ok USING (frame_no) JOIN w ON bin >= start AND bin < start + width WHERE a.ch IN (1, 3) AND b.ch = a.ch + 1),
+en AS (SELECT frame_no, ch, sfb, sum(l * l) AS el, sum(r * r) AS er, sum((l + r) * (l + r)) AS es, sum((l - r) * (l - r)) AS ed FROM lr GROUP BY ALL),
+k1 AS (SELECT *, el + er AS e2, CASE WHEN sfb >= 8 AND el + er > 0 THEN CASE WHEN es >= pow(sqrt(el) + sqrt(er), 2) / pow(1.18::DOUBLE, 2) THEN 15 WHEN ed >= pow(sqrt(el) + sqrt(er), 2) / pow(1.18::DOUBLE, 2) THEN 14 END END AS kind FROM en),
+k2 AS (SELECT *, CASE WHEN kind IS NOT NULL AND el > 0 THEN round_even(log10(el / e2) * (10 / 1.50515::DOUBLE), 0) END AS level, CASE WHEN kind IS NOT NULL AND er > 0 THEN round_even(log10(er / e2) * (10 / 1.50515::DOUBLE), 0) END AS other FROM k1),
+k3 AS (SELECT *, kind IS NOT NULL AND (level IS NULL OR coalesce(other - level > 30, false)) AS ql FROM k2), k4 AS (SELECT *, kind IS NOT NULL AND NOT ql AND (other IS NULL OR coalesce(other - level < -30, false)) AS qr FROM k3),
+isd AS MATERIALIZED (SELECT *, kind IS NOT NULL AND NOT ql AND NOT qr AS sent, sqrt(e2 / CASE WHEN kind = 15 THEN es ELSE ed END) AS gain, CASE WHEN kind = 15 THEN 1 ELSE -1 END AS sign FROM k4),
+v AS (SELECT frame_no, ch, sfb, start, width, bin, x FROM x JOIN ok USING (frame_no) JOIN w ON bin >= start AND bin < start + width WHERE ch = 0 OR ch = 5 AND sfb < {LOW_BANDS} UNION ALL
+ SELECT frame_no, ch, sfb, start, width, bin, CASE WHEN sent THEN (l + sign * r) * gain ELSE l END FROM lr JOIN isd USING (frame_no, ch, sfb) UNION ALL SELECT frame_no, ch + 1, sfb, start, width, bin, r FROM lr),
+bx AS MATERIALIZED (SELECT frame_no * {CHANNELS} + ch AS key, sfb AS pos, 0 AS grp, sfb, start, width, 1 AS wins, bin - start AS i, x FROM v),
+kq AS (SELECT DISTINCT key, 1.0::DOUBLE AS quality, {BINS} AS last, false AS short FROM bx),
+pre AS (SELECT frame_no * {CHANNELS} + ch AS key, sfb AS pos, CASE WHEN ql THEN 0 END AS book, CASE WHEN sent THEN level ELSE 0 END AS base FROM isd UNION ALL SELECT frame_no * {CHANNELS} + ch + 1, sfb, CASE WHEN qr THEN 0 WHEN sent THEN kind END, CASE WHEN sent THEN level - other ELSE 0 END FROM isd), {Y.coded(presets=True)},
+c0 AS (SELECT key // {CHANNELS} AS frame_no, key % {CHANNELS} AS ch, lpad(bin(g0 & 255), 8, '0') AS g, se || sd || '000' || sp AS d FROM bits),
+el AS (SELECT frame_no, ch, CASE WHEN ch = 0 THEN '000' || '0000' || g || '0000' || lpad(bin({len(WIDTHS)}), 6, '0') || '0' || d WHEN ch = 5 THEN '011' || '0000' || g || '0000' || lpad(bin({LOW_BANDS}), 6, '0') || '0' || d
+ WHEN ch IN (1, 3) THEN '001' || lpad(bin((ch // 2)::INT), 4, '0') || '1' || '0000' || lpad(bin({len(WIDTHS)}), 6, '0') || '0' || '00' || g || d ELSE g || d END AS d FROM c0),
+f AS (SELECT frame_no AS key, CASE WHEN frame_no = 0 THEN '{_writer_bits()}' ELSE '' END || string_agg(d, '' ORDER BY ch) AS d FROM el GROUP BY frame_no), {Y.closed("f")}
+SELECT key AS frame_no, n_bits, 7 + CAST(ceil((n_bits + 0.0) / 8) AS INT) AS bytes, {Y.HEX} AS payload FROM shut""")
+def channels_frame_bytes(spark, sf_dir):
+    """Frames of six channels by their layout: a single element, two pairs with intensity, a low-frequency element of few bands; the first frame names the writer."""
+    codes = T.code_table()
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / CHANNELS).alias("frame_no"), (F.col("vec_id") % CHANNELS).alias("ch"), F.transform("embedding", lambda e: e.cast("double") * GAIN).alias("x"))
+    packed = rows.groupBy("frame_no").agg(F.sort_array(F.collect_list(F.struct("ch", "x"))).alias("l")).where(F.size("l") == CHANNELS)  # six members
+    cut = lambda ch, widths: P.grouped_bands(F.get("l", F.lit(ch))["x"], P.band_table(widths))
+    layout = [(r["channel"], r["kind"]) for r in T.layout(spark).where(f"channels = {CHANNELS} and use_lfe = 1").orderBy("channel").collect()]  # one row a channel
+    lefts = [c for c, kind in layout if kind == "pair"][::2]
+    joint = packed.select("frame_no", *(cut(c, WIDTHS[:LOW_BANDS] if kind == "lfe" else WIDTHS).alias(f"b{c}") for c, kind in layout))
+    joint = joint.withColumns({f"j{c}": J.intensity_pair(F.col(f"b{c}"), F.col(f"b{c + 1}")) for c in lefts})
+    none = lambda b: b.withField("preset", F.lit(None).cast("int")).withField("base", F.lit(0))
+    sides = {c: F.transform(f"b{c}", none) for c, kind in layout if kind != "pair"}
+    for c in lefts:
+        sides |= {c: F.transform(f"j{c}", lambda p: p["l"]), c + 1: F.transform(f"j{c}", lambda p: p["r"])}
+    numbered = lambda c: F.transform(sides[c], lambda b: b.withField("group", F.lit(c)))
+    whole = F.concat(*(numbered(c) for c, _ in layout))
+    coded = P.code_bands(joint.select("frame_no", whole.alias("bands")), codes, last=BINS)
+    own = lambda c: F.filter("bands", lambda b: b["group"] == c)
+    info = lambda n: P.window_info(F.lit(0), F.lit(n))
+    parts, pair_no = [], 0
+    for c, kind in layout:
+        if kind == "pair":
+            if c in lefts:
+                parts.append(P.pair(pair_no, info(len(WIDTHS)), None, *(P.coded_channel(own(k), codes, None) for k in (c, c + 1))))
+                pair_no += 1
+        else:
+            parts.append(P.single(0, P.coded_channel(own(c), codes, info(LOW_BANDS if kind == "lfe" else len(WIDTHS))), low=kind == "lfe"))
+    writer = F.when(F.col("frame_no") == 0, P.identification(WRITER, 0)).otherwise(P.nothing())
+    done = shut(coded.select("frame_no", F.concat(writer, *parts).alias("element")), "frame_no")
+    return done.select("frame_no", "n_bits", (7 + F.ceil(F.col("n_bits") / 8)).cast("int").alias("bytes"), "payload")

@@ -117,10 +117,13 @@ def deinterleave(spark, sf_dir):
     return R.split_channels(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", 4, 1 / 256)
 
 
-@query("SELECT vec_id, array_to_string([round(embedding[i + 1]::DOUBLE, 5) + 0.0 FOR i IN [2, 0, 1, 4, 5, 3]], ',') = array_to_string([round(embedding[i]::DOUBLE, 5) + 0.0 FOR i IN [3, 1, 2, 5, 6, 4]], ',') AS same, embedding[3]::DOUBLE AS first, embedding[4]::DOUBLE AS last FROM embeddings")
+@query("SELECT vec_id, unnest(range(64))::INT AS pos, unnest([embedding[6 * (i // 6) + [3, 1, 2, 5, 6, 4][i % 6 + 1]]::DOUBLE FOR i IN range(60)] || [embedding[i]::DOUBLE FOR i IN range(61, 65)]) AS value FROM embeddings")
 def channel_remap(spark, sf_dir):
-    moved = R.remap(F.col("embedding"), R.channel_map(6, 3, 4))
-    return table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("m"), "embedding").select("vec_id", (F.col("m") == F.array(*(F.col("embedding")[i] for i in (2, 0, 1, 4, 5, 3)))).alias("same"), F.col("m")[0].cast("double").alias("first"), F.col("m")[5].cast("double").alias("last"))
+    """Ten interleaved rows of six channels a vector, each in the standard order; the four values that fill no row stay."""
+    order = R.channel_map(6, 3, 4)
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda g: R.remap(F.slice("embedding", g * 6 + 1, 6), order)))
+    moved = F.transform(F.concat(rows, F.slice("embedding", 61, 4)), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(moved).alias("pos", "value"))
 
 
 @query(f"WITH {_F} SELECT stream_id, frame_no, round(sum((value * 0.5 * (1 - cos(2 * pi() * (pos + 0.5) / {SIZE}))) ** 2), 4) + 0.0 AS energy FROM f GROUP BY ALL")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import encoder as E
 from cadenza.operators import framing as R
+from cadenza.operators import models as M
 from cadenza.operators import payload as P
 from cadenza.plans import coding_sql as Y
 from cadenza.plans import tables as T
@@ -104,3 +105,18 @@ def encode(spark, sf_dir):
     rows = _encoded(spark, sf_dir, True)
     closed = rows.select("stream_id", "frame_no", "block_type", (P.size_of(F.col("element")) + 3).alias("n_bits"), P.closed(F.col("element")).alias("words"))
     return closed.select("stream_id", "frame_no", "block_type", "n_bits", F.hex(P.packed(F.col("words"))).alias("payload"))
+
+
+_UNTIL_STEPS = _STREAM[: _STREAM.index(",\ngq AS")]
+
+
+@query(f"""{_UNTIL_STEPS}, wn AS (SELECT stream_id, frame_no, win, sum(e) AS e FROM ep GROUP BY ALL),
+ak AS (SELECT stream_id, frame_no, max(e) > {M.ATTACK} * avg(e) AS attack FROM wn GROUP BY ALL), ch AS (SELECT stream_id, frame_no, bool_or(change > {M.JUMP} * common) AS change FROM st GROUP BY ALL)
+SELECT stream_id, frame_no, CASE WHEN stream_id = 0 THEN 'change' ELSE 'attack' END AS model, CASE WHEN stream_id = 0 THEN change ELSE attack END AS wants_short FROM ch JOIN ak USING (stream_id, frame_no)""")
+def decision_models(spark, sf_dir):
+    """Each stream names its model of block switching; both run in one plan."""
+    rows = E.spectra(E.with_neighbours(samples(spark, sf_dir), "stream_id", SIZE), SHAPE)
+    n = len(SHORT) - 2
+    energies = F.transform(F.sequence(F.lit(0), F.lit(E.AROUND - 1)), lambda j: F.aggregate(F.slice("windows", j * n + 1, n), F.lit(0.0), lambda s, v: s + v))
+    rows = rows.select("stream_id", "frame_no", F.when(F.col("stream_id") == 0, "change").otherwise("attack").alias("model"), E.jumps(F.col("windows"), n, F.col("frame_no")).alias("steps"), energies.alias("energies"))
+    return rows.select("stream_id", "frame_no", "model", M.decide(F.col("model"), F.col("steps"), F.col("energies")).alias("wants_short"))

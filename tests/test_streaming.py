@@ -41,3 +41,9 @@ def test_window_energy_equals_batch(spark, tmp_path):
     q.stop()
     got = {(x["start"], x["energy"], x["n"]) for x in spark.sql("SELECT * FROM energy_out").collect()}
     assert got == {(x["start"], x["energy"], x["n"]) for x in window_energy(df).collect()}
+
+
+def test_a_wild_number_costs_one_frame(spark, tmp_path):
+    rows = [(1, 0, 1.0), (1, 1, 2.0), (1, 10**12 + 1, 3.0), (1, 10**12 + 4, 4.0)]
+    got = run(spark, tmp_path, [rows[:1], rows[1:]], "stream_id long, n long, value double", lambda s: frame_stream(s, 4), "wild_out")
+    assert {(x["frame_no"], x["energy"]) for x in got} == {(0, 5.0), (10**12 // 4, 9.0)}
