@@ -300,11 +300,15 @@ def bytes_of(parts: Column) -> Column:
 def packed(parts: Column) -> Column:
     """The words one after the other, zeros up to a whole byte."""
     digits = F.array_join(F.transform(parts, lambda w: F.when(w["len"] > 0, F.lpad(F.bin(w["data"]), w["len"], "0")).otherwise("")), "")
-    return octets(F.concat(digits, F.repeat(F.lit("0"), F.pmod(-F.length(digits), F.lit(8)))))
+    return _with(digits, lambda d: octets(F.concat(d, F.repeat(F.lit("0"), F.pmod(-F.length(d), F.lit(8))))))
 
 
 def octets(digits: Column) -> Column:
     """Bytes of a string of binary digits whose length is a multiple of eight."""
-    places = F.sequence(F.lit(0), F.greatest(F.floor(F.length(digits) / 8).cast("int") - 1, F.lit(0)))
-    pairs = F.transform(places, lambda i: F.lpad(F.conv(F.substr(digits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return F.when(F.length(digits) > 0, F.unhex(F.array_join(pairs, ""))).otherwise(F.lit(b""))
+
+    def cut(d: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.floor(F.length(d) / 8).cast("int") - 1, F.lit(0)))
+        pairs = F.transform(places, lambda i: F.lpad(F.conv(F.substr(d, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+        return F.when(F.length(d) > 0, F.unhex(F.array_join(pairs, ""))).otherwise(F.lit(b""))
+
+    return _with(digits, cut)
