@@ -53,18 +53,20 @@ def grid(least: float, ratio: float, n: int) -> tuple[float, ...]:
     return tuple(least * ratio**i for i in range(n))
 
 
-def with_neighbours(samples: DataFrame, stream: str, size: int) -> DataFrame:
-    """stream, frame_no, samples: the samples (n, value) of each frame between those of the one before and the one after, zeros outside of the stream.
+def with_neighbours(samples: DataFrame, stream: str, size: int, after: int = 1) -> DataFrame:
+    """stream, frame_no, samples, reach: the samples (n, value) of each frame between those of the one before and the `after` ones behind it, zeros outside of the stream.
 
-    Each sample goes to three frames, in one shuffle. The frame past the last sample comes too: it flushes the overlap.
+    Each sample goes to all these frames, in one shuffle. The frame past the last sample comes too: it flushes the overlap. reach: place behind the last
+    sample that there is.
     """
     own = F.floor(F.col("n") / size)
-    spread = samples.select(stream, "n", F.coalesce("value", F.lit(0.0)).alias("v"), F.explode(F.sequence(F.greatest(own - 1, F.lit(0).cast("long")), own + 1)).alias("frame_no"))
+    spread = samples.select(stream, "n", F.coalesce("value", F.lit(0.0)).alias("v"), F.explode(F.sequence(F.greatest(own - after, F.lit(0).cast("long")), own + 1)).alias("frame_no"))
     placed = spread.select(stream, "frame_no", F.struct((F.col("n") - (F.col("frame_no") - 1) * size).cast("int").alias("pos"), "v").alias("p"))
-    packed = placed.groupBy(stream, "frame_no").agg(F.sort_array(F.collect_list("p")).alias("l"))  # three frames
+    packed = placed.groupBy(stream, "frame_no").agg(F.sort_array(F.collect_list("p")).alias("l"))  # a few frames
     first = F.get("l", F.lit(0))["pos"]
+    reach = first + F.size("l")
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    return packed.select(stream, "frame_no", F.concat(zeros(first), F.transform("l", lambda p: p["v"]), zeros(3 * size - first - F.size("l"))).alias("samples"))
+    return packed.select(stream, "frame_no", F.concat(zeros(first), F.transform("l", lambda p: p["v"]), zeros((2 + after) * size - reach)).alias("samples"), reach.alias("reach"))
 
 
 def spectra(rows: DataFrame, shape: Shape) -> DataFrame:
@@ -104,6 +106,32 @@ def jumps(windows: Column, n_bands: int, frame_no: Column) -> Column:
     return F.transform(F.sequence(F.when(frame_no == 0, BEFORE + 1).otherwise(1), F.lit(AROUND - 1)), step)
 
 
+def transients(samples: DataFrame, stream: str, size: int, widths: list[int], quality: float = 1.0, limit: float = JUMP, first_band: int = D.FIRST_BAND) -> DataFrame:
+    """stream, frame_no, transient of every frame: as decisions.transients on spectral.short_energies, from rows that hold the frames around.
+
+    samples: n, value; widths: bands of a short window. The windows of a frame begin in its middle, so its last ones reach into the second frame after it. Windows of
+    frames that do not exist are compared with nothing.
+    """
+    short = sum(widths)
+    count = size // short
+    span, starts = count + 2 * BEFORE, np.cumsum([0, *widths])
+    begin = size + (size - short) // 2 - BEFORE * short  # of the first window, in the row
+    hann = 0.5 * (1 - np.cos(2 * np.pi * (np.arange(2 * short) + 0.5) / (2 * short)))
+
+    def make(x: np.ndarray) -> list[np.ndarray]:
+        power = X.fast_lapped(x[:, begin + short * np.arange(span)[:, None] + np.arange(2 * short)] * hann) ** 2
+        energy = np.stack([power[:, :, max(a, 1) : b].sum(axis=2) for a, b in zip(starts[first_band:-1], starts[first_band + 1 :], strict=True)], axis=2)
+        return [np.abs(np.diff(energy, axis=1)).sum(axis=2), np.minimum(energy[:, 1:], energy[:, :-1]).sum(axis=2)]
+
+    rows = with_neighbours(samples, stream, size, after=2).where(F.col("reach") > size)
+    rows = X._on_arrays(rows, "samples", make, {"change": "array<double>", "common": "array<double>"})
+    low = F.when(F.col("frame_no") == 0, BEFORE).otherwise(0)  # steps, by the window that they begin in
+    high = F.when(F.col("reach") > 2 * size, span - 1).otherwise(BEFORE + count - 1)
+    jump = F.zip_with("change", "common", lambda a, b: a * max(quality, D.LEAST_QUALITY) > limit * b)
+    found = F.exists(F.slice(jump, low + 1, high - low), lambda j: j)
+    return rows.select(stream, F.col("frame_no").cast("long").alias("frame_no"), found.alias("transient"))
+
+
 def bands_of(rows: DataFrame, shape: Shape) -> DataFrame:
     """The rows with block_type and its bands: four rows a frame, one for each shape; lens: the groups of the short one."""
     table = P.band_table(list(shape.short))
@@ -192,7 +220,7 @@ def encode(samples: DataFrame, stream: str, shape: Shape, settings: Settings, wa
     The quality a frame is coded at follows from the sizes of all before it. keep(df, name) stores what several steps read.
     """
     keys = [stream, "frame_no"]
-    rows = spectra(with_neighbours(samples, stream, shape.size), shape)
+    rows = spectra(with_neighbours(samples, stream, shape.size).drop("reach"), shape)
     steps = jumps(F.col("windows"), len(shape.short) - D.FIRST_BAND, F.col("frame_no"))
     rows = keep(bands_of(rows.withColumn("steps", steps).drop("windows"), shape), "bands")
     counted = sizes(rows.drop("steps", "lens"), shape, codes, keys, settings.noise_level)

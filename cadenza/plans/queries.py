@@ -15,6 +15,7 @@ from cadenza.functions import signal as S
 from cadenza.operators import bands as B
 from cadenza.operators import coding as C
 from cadenza.operators import decisions as D
+from cadenza.operators import encoder as E
 from cadenza.operators import framing as R
 from cadenza.operators import payload as P
 from cadenza.operators import rate as Q
@@ -368,7 +369,7 @@ def window_energies(spark, sf_dir):
 
 
 def _transients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.transients(_short_energies(spark, sf_dir), ["stream_id"], 4)
+    return E.transients(samples(spark, sf_dir), "stream_id", SIZE, [1] * 4)
 
 
 @query(f"""WITH {_TRANS} SELECT stream_id // 6 AS group_id, frame_no, stream_id % 6 AS channel, CASE stream_id % 6 WHEN 0 THEN 'single' WHEN 5 THEN 'lfe' ELSE 'pair' END AS kind, transient AND stream_id % 6 <> 5 AS wants_short FROM tr""")

@@ -115,7 +115,7 @@ ak AS (SELECT stream_id, frame_no, max(e) > {M.ATTACK} * avg(e) AS attack FROM w
 SELECT stream_id, frame_no, CASE WHEN stream_id = 0 THEN 'change' ELSE 'attack' END AS model, CASE WHEN stream_id = 0 THEN change ELSE attack END AS wants_short FROM ch JOIN ak USING (stream_id, frame_no)""")
 def decision_models(spark, sf_dir):
     """Each stream names its model of block switching; both run in one plan."""
-    rows = E.spectra(E.with_neighbours(samples(spark, sf_dir), "stream_id", SIZE), SHAPE)
+    rows = E.spectra(E.with_neighbours(samples(spark, sf_dir), "stream_id", SIZE).drop("reach"), SHAPE)
     n = len(SHORT) - 2
     energies = F.transform(F.sequence(F.lit(0), F.lit(E.AROUND - 1)), lambda j: F.aggregate(F.slice("windows", j * n + 1, n), F.lit(0.0), lambda s, v: s + v))
     rows = rows.select("stream_id", "frame_no", F.when(F.col("stream_id") == 0, "change").otherwise("attack").alias("model"), E.jumps(F.col("windows"), n, F.col("frame_no")).alias("steps"), energies.alias("energies"))
