@@ -15,7 +15,8 @@ members) under every order of the shingles. The steps:
    pairs of a group whose members are still in different components. No pair that could change a component is left out.
 
 Null texts and texts without words have an empty set: size 0, linked with nothing. Texts of fewer than k words have
-one shingle for the whole sequence. Repeated rows belong to the same class; a doc_id names one node, a null one links with nothing.
+one shingle for the whole sequence. Repeated rows belong to the same class; a doc_id names one node. A row with a null
+doc_id takes the component of its class, null if all of that class are null, and is never a component's name.
 Texts are taken whole whatever their length, one set at a time. Ties: of equal sets the smallest doc_id stands for the class, of equally
 early members of a group the one with the smallest doc_id leads. An empty table gives no rows. Columns besides doc_id and text are
 ignored, whatever their names. Hash values stand for shingles; equal sets are recognised by a 128-bit digest of the sorted values.

@@ -107,3 +107,11 @@ def test_counting_in_two_levels_counts_the_same(spark):
         got = ngram_join._recurring(df.select("v"), own, (parts, 40), 2, fan).collect()
         assert {g["value"]: g["n"] for g in got} == want and len(got) == 50
     assert [runs.parts_of(x) for x in (0, runs.RUN_VALUES * 64, runs.RUN_VALUES * 1e6)] == [64, 128, 1 << 20]
+
+
+def test_rows_without_a_doc_id(spark):
+    from cadenza.llm import ngram_join
+
+    rows = [(None, "a b c d e"), (5, "a b c d e"), (None, "x y z w v"), (None, "x y z w v"), (7, None), (None, None)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(5, 3, 5), (None, 3, 5), (None, 3, None), (None, 3, None), (7, 0, 7), (None, 0, None)], key=str)
