@@ -19,6 +19,7 @@ from cadenza.operators import bands as B
 from cadenza.operators import decisions as D
 from cadenza.operators import payload as P
 from cadenza.operators import rate as Q
+from cadenza.operators import sizing as Z
 from cadenza.operators import spectral as X
 from cadenza.plans.config import Settings, forced
 
@@ -162,20 +163,13 @@ def element(rows: DataFrame, shape: Shape, codes: P.Codes) -> DataFrame:
 def sizes(rows: DataFrame, shape: Shape, codes: P.Codes, keys: list[str], noise_level: int = 4) -> DataFrame:
     """keys, sizes: bytes of each frame with its header, in an array by block type and place in the grid; rows as bands_of gives them.
 
-    Counted from lengths, nothing is packed.
+    Counted from lengths for the whole grid together, nothing is packed.
     """
-    tried = rows.withColumn("quality", F.explode(F.array(*map(F.lit, shape.qualities))))
-    coded = _coded(tried, shape, codes, noise_level)
-    short = F.col("block_type") == D.ONLY_SHORT
-    parts = F.col("bands")
-    gain = P.C.first_gain(parts)
-    spectrum = F.aggregate(parts, F.lit(0), lambda s, b: s + b["bits"])
-    section = lambda narrow: P.size_of(P.section_words(P.runs(parts), narrow))
     fields = P.size_of(P.single(0, P.channel_stream(F.lit(0), P.window_info(F.col("block_type"), F.lit(0)), P.nothing(), P.nothing(), P.shaping_words(), P.nothing()))) + 3
-    bits = fields + spectrum + F.when(short, section(True)).otherwise(section(False)) + P.size_of(P.delta_words(P.C.changes(parts, gain), codes))
-    counted = coded.select(*keys, "block_type", "quality", (HEADER + F.floor((bits + 7) / 8)).cast("int").alias("bytes"))
-    found = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block_type", "quality", "bytes"))).alias("l"))  # four times the grid
-    return found.select(*keys, F.transform("l", lambda e: e["bytes"]).alias("sizes"))
+    coded = Z.trial_bits(rows.select(*keys, "block_type", "bands"), codes, [q / DEFAULT for q in shape.qualities], {True: shape.block, False: shape.size}, D.ONLY_SHORT, noise_level)
+    counted = coded.select(*keys, "block_type", F.transform("bits", lambda b: (HEADER + F.floor((fields + b + 7) / 8)).cast("int")).alias("bytes"))
+    found = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block_type", "bytes"))).alias("l"))  # the block types
+    return found.select(*keys, F.flatten(F.transform("l", lambda e: e["bytes"])).alias("sizes"))
 
 
 def _block_type(short: Column, was: Column, frame_no: Column, settings: Settings) -> Column:

@@ -124,3 +124,31 @@ def test_grouped_bands_go_over_windows(spark):
     assert [(b["group"], b["sfb"], b["windows"], b["x"]) for b in got] == [
         (0, 0, 1, [0, 1]), (0, 1, 1, [2, 3, 4, 5]), (1, 0, 3, [8, 9, 16, 17, 24, 25]), (1, 1, 3, [10, 11, 12, 13, 18, 19, 20, 21, 26, 27, 28, 29]),
     ]
+
+
+def test_sizes_equal_the_elements(spark):
+    shape, settings = E.Shape(128, (4, 4, 4, 4, 8, 8, 8, 8, 16, 16, 16, 16, 16), (4, 4, 4, 4), E.grid(10.0, 1.9, 10)), Settings(channels=1, quality=100)
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(48):
+        loud = 10.0 ** r.uniform(-2, 6) * 10.0 ** r.uniform(-3, 0.5, 32).repeat(4) * (r.random(128) < (1, 0.3, 0)[i % 3])
+        rows.append(("a", i, *((r.normal(size=128) * loud).tolist() for _ in range(4))))
+    spectra = spark.createDataFrame(rows, "k string, frame_no long, long array<double>, start array<double>, short array<double>, stop array<double>")
+    cut, keys = E.bands_of(spectra, shape).cache(), ["k", "frame_no"]
+    counted = E.sizes(cut.drop("lens"), shape, T.code_table(), keys)
+    plan = counted._jdf.queryExecution().toString()
+    assert "explode" not in plan  # a row a block type is coded, not a row a quality
+    got = {g["frame_no"]: g["sizes"] for g in counted.collect()}
+    tried = cut.withColumn("quality", F.explode(F.array(*map(F.lit, shape.qualities))))
+    sent = E.element(E._coded(tried, shape, T.code_table(), settings.noise_level), shape, T.code_table())
+    want = sent.select("frame_no", "block_type", "quality", (E.HEADER + F.floor((P.size_of(F.col("element")) + 10) / 8)).alias("b")).collect()
+    assert len(got) == 48 and all(len(s) == 40 for s in got.values()) and len(want) == 48 * 40
+    for w in want:
+        assert got[w["frame_no"]][w["block_type"] * 10 + shape.qualities.index(w["quality"])] == w["b"]
+    assert len({s for v in got.values() for s in v}) > 100
+
+
+def test_sizes_of_nothing(spark):
+    shape = E.Shape(128, (64, 64), (8, 8), E.grid(10.0, 2.0, 3))
+    none = E.bands_of(spark.createDataFrame([], "k string, frame_no long, long array<double>, start array<double>, short array<double>, stop array<double>"), shape)
+    assert E.sizes(none.drop("lens"), shape, T.code_table(), ["k", "frame_no"]).collect() == []
