@@ -7,9 +7,10 @@ the 2**BITS symbols by hash, so that an n-gram of ORDER symbols is an exact 60-b
 Counts of all n-grams of all texts that are learned from are gathered per task and summed by Spark; continuation counts, discounts (modified
 Kneser-Ney, by order and language) and context weights are grouped sums and joins on n-grams and contexts. An order's table has
 a row for each n-gram that any language has, with the interpolated probability of every language. What the scoring tasks get is bounded: of each
-order's table and context weights the most frequent rows, NUMBERS probabilities at most. An n-gram beyond that is scored by the order below
-and its context's weight, as one that was never seen is. Tables are sorted by a bijective hash of the n-gram, with the first place of each
-stretch of hashes beside them.
+order's table and context weights the most frequent rows, NUMBERS probabilities at most. Tables are sorted by a bijective hash of the n-gram, with the
+first place of each stretch of hashes beside them. N-grams of texts that a cut table may hold beyond its rows are left open by these tasks: the different ones
+are joined with the whole tables of the cut orders, and each text gets their sum, in whole numbers so that its order does not matter.
+So NUMBERS decides where an n-gram is looked up and not what it counts.
 
 The language of a text is that of the lowest cross-entropy in bits per symbol; ties go to the smaller name. The score is the probability of that language
 when the cross-entropies, shrunk by PRIOR symbols, are weighed by the factor that fits the calibration texts best: one in CALIBRATION of the
@@ -45,6 +46,10 @@ GATHERED, SLICE = 1 << 21, 1 << 18
 CALIBRATION, PRIOR, QUANTILE, SLACK = 10, 20, 0.995, 1.05
 #: Factors of the cross-entropies that are tried for the score.
 FACTORS = [2.0 ** (i / 2) for i in range(-4, 17)]
+#: Parts of a bit in sums over open n-grams.
+PARTS = 1 << 30
+#: Orders (number, n-grams, contexts) whose tables are cut in the scoring tasks, the highest first.
+Rare = list[tuple[int, DataFrame, DataFrame]]
 UNKNOWN = "und"
 
 
@@ -161,7 +166,8 @@ def models(counts: DataFrame, width: int) -> list[tuple[DataFrame, DataFrame]]:
 class HashArray:
     """Rows of numbers by 64-bit keys, sorted by hash; find(keys) gives the place of each key, or -1."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, whole: bool = True) -> None:
+        self.whole = whole  # whether there is nothing to find beyond these rows
         hashes = mix(keys.astype(np.uint64))
         order = np.argsort(hashes)
         self.hashes, self.values = np.append(hashes[order], np.uint64(2**64 - 1)), values[order]
@@ -181,43 +187,74 @@ class HashArray:
 
 
 class Scorer:
-    """bits(codes): -log2 of each ORDER-gram's probability in every language."""
+    """bits(codes): -log2 of each ORDER-gram's probability in every language, and which of them are open, as a cut table may hold what was not found."""
 
     def __init__(self, grams: list[HashArray], contexts: list[HashArray], width: int) -> None:
         self.grams, self.contexts, self.width = grams, contexts, width
 
-    def bits(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+    @property
+    def settled(self) -> int:
+        """The highest order up to which no table is cut."""
+        return next((k for k in range(ORDER) if not (self.grams[k].whole and self.contexts[k].whole)), ORDER)
+
+    def bits(self, codes: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        unsure = np.zeros(len(codes), bool)
         if order == 0:
-            return np.full((len(codes), self.width), float(BITS), np.float32)
+            return np.full((len(codes), self.width), float(BITS), np.float32), unsure
+        grams, contexts = self.grams[order - 1], self.contexts[order - 1]
         own = codes & ((1 << (BITS * order)) - 1)
-        at = self.grams[order - 1].find(own)
+        at = grams.find(own)
         missed = np.flatnonzero(at < 0)
-        out = self.grams[order - 1].values[at] if len(missed) < len(at) else np.zeros((len(at), self.width), np.float32)
+        out = grams.values[at] if len(missed) < len(at) else np.zeros((len(at), self.width), np.float32)
         if len(missed):
-            rest = self.bits(codes[missed], order - 1)
-            known = self.contexts[order - 1].find(own[missed] >> BITS)
+            rest, below = self.bits(codes[missed], order - 1)
+            known = contexts.find(own[missed] >> BITS)
             some = known >= 0
             if some.any():
-                rest[some] += self.contexts[order - 1].values[known[some]]
+                rest[some] += contexts.values[known[some]]
             out[missed] = rest
-        return out
+            unsure[missed] = below | (not grams.whole) | (~some & (not contexts.whole))
+        return out, unsure
+
+
+def _bits(name: str, width: int) -> list[Column]:
+    return [(-F.log2(F.greatest(f"{name}{i}", F.lit(1e-30)))).cast("float") for i in range(width)]
 
 
 def scorer(orders: list[tuple[DataFrame, DataFrame]], width: int, numbers: int = NUMBERS) -> Scorer:
     """The most frequent rows of every table, as many as hold `numbers` probabilities, as sorted hash arrays."""
+    most = max(1, numbers // width)
 
     def fetch(table: DataFrame, key: str, name: str) -> HashArray:
-        top = table.orderBy(F.desc("n"), key).limit(max(1, numbers // width))
-        got = top.select(key, *((-F.log2(F.greatest(f"{name}{i}", F.lit(1e-30)))).cast("float").alias(f"b{i}") for i in range(width))).toArrow()
-        return HashArray(got.column(0).to_numpy(), np.stack([got.column(1 + i).to_numpy() for i in range(width)], axis=1))
+        top = table.orderBy(F.desc("n"), key).limit(most + 1)
+        got = top.select(key, *(b.alias(f"b{i}") for i, b in enumerate(_bits(name, width)))).toArrow()
+        kept = got.slice(0, most)
+        return HashArray(kept.column(0).to_numpy(), np.stack([kept.column(1 + i).to_numpy() for i in range(width)], axis=1), len(got) <= most)
 
     return Scorer([fetch(g, "gram", "p") for g, _ in orders], [fetch(c, "context", "g") for _, c in orders], width)
 
 
-def entropies(rows: DataFrame, sent, *more: str) -> DataFrame:
-    """doc_id, `more`, n_symbols, h (bits per symbol in every language, null without a letter) of every row of (doc_id, text, `more`)."""
+def _counts_by_row(codes: np.ndarray, of: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """(the different codes of each row, how often each stands there), as lists."""
+    order = np.lexsort((codes, of))
+    codes, of = codes[order], of[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(new)
+    bounds = pa.array(np.searchsorted(of[at], np.arange(rows + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int64))) for x in (codes[at], np.diff(np.append(at, len(codes)))))
+
+
+def entropies(rows: DataFrame, sent, *more: str, rare: Rare = ()) -> DataFrame:
+    """doc_id, `more`, n_symbols, h (bits per symbol in every language, null without a letter) of every row of (doc_id, text, `more`).
+
+    rare: the cut orders. Without them an open n-gram counts as one that was never seen; with them, the result is stored.
+    """
     small_batches(rows.sparkSession)
-    names = ["doc_id", *more, "n_symbols", "h"]
+    exact = bool(rare)
+    more = (*more, "_row") if exact else more
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()) if exact else rows
+    names = ["doc_id", *more, "n_symbols", "h", *(("grams", "times") if exact else ())]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*more).schema.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +263,59 @@ def entropies(rows: DataFrame, sent, *more: str) -> DataFrame:
             for lo, hi, texts in _slices(text_column(batch)):
                 codes, of, some = gram_codes(texts)
                 n = np.bincount(of, minlength=hi - lo)
-                bits = model.bits(codes)
+                bits, unsure = model.bits(codes)
+                rest = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
+                left = []
+                if exact:
+                    unsure &= some[of]
+                    bits[unsure] = 0
+                    left = _counts_by_row(codes[unsure], of[unsure], hi - lo)
                 h = np.stack([np.bincount(of, bits[:, i], hi - lo) for i in range(model.width)], axis=1) / np.maximum(n, 1)[:, None]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(h.ravel()), model.width).cast(pa.list_(pa.float64()))
                 lists = pa.compute.if_else(pa.array(some), lists, pa.scalar(None, lists.type))
-                rest = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *rest, pa.array(n), lists], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *rest, pa.array(n), lists, *left], names=names)
+
+    schema = f"doc_id long, {kinds}n_symbols long, h array<double>" + (", grams array<long>, times array<long>" if exact else "")
+    found = rows.select("doc_id", "text", *more).mapInArrow(lean(score), schema)
+    return _with_open(materialize(found, "partial"), sent, rare) if exact else found
+
+
+def _with_open(partial: DataFrame, sent, rare: Rare) -> DataFrame:
+    """The rows with the bits of their open n-grams (grams, times) added to h, stored."""
+    asked = partial.select("_row", F.explode(F.arrays_zip("grams", "times")).alias("a")).select("_row", F.col("a.grams").alias("gram"), F.col("a.times").alias("times"))
+    values = materialize(open_bits(asked.select("gram").distinct(), sent, rare), "open")
+    width = len([c for c in rare[0][1].columns if c.startswith("p")])
+    parts = [F.sum(F.col("times") * F.round(F.get("bits", F.lit(i)) * PARTS).cast("long")) / PARTS for i in range(width)]
+    sums = asked.join(values, "gram").groupBy("_row").agg(F.array(*parts).alias("_sum"))
+    each = F.greatest("n_symbols", F.lit(1))
+    h = F.when(F.col("_sum").isNull(), F.col("h")).otherwise(F.zip_with("h", "_sum", lambda a, b: a + b / each))
+    stored = materialize(partial.drop("grams", "times").join(sums, "_row", "left").withColumn("h", h).drop("_row", "_sum"), "entropies")
+    discard(partial, values)
+    return stored
+
+
+def open_bits(grams: DataFrame, sent, rare: Rare) -> DataFrame:
+    """gram, bits (in every language) of ORDER-grams, by joins with the whole tables of the cut orders and by the model below them."""
+    width = len([c for c in rare[0][1].columns if c.startswith("p")])
+    settled = ORDER - len(rare)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    rows = grams.withColumns({"above": F.array_repeat(F.lit(0.0), width), "bits": F.lit(None).cast("array<double>")})
+    for k, table, contexts in rare:
+        own = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
+        rows = rows.withColumns({"_own": own, "_context": F.shiftright(own, BITS)})
+        rows = rows.join(table.select(F.col("gram").alias("_own"), F.array(*_bits("p", width)).cast("array<double>").alias("_p")), "_own", "left")
+        rows = rows.join(contexts.select(F.col("context").alias("_context"), F.array(*_bits("g", width)).cast("array<double>").alias("_g")), "_context", "left")
+        rows = rows.select("gram", F.when(F.col("_g").isNull(), F.col("above")).otherwise(plus("above", "_g")).alias("above"), F.coalesce("bits", plus("above", "_p")).alias("bits"))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Scorer = sent.value
+        for batch in batches:
+            found, _ = model.bits(batch.column(0).to_numpy(), settled)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.astype(float).ravel()), width).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["gram", "above", "bits", "low"])
 
-    return rows.select("doc_id", "text", *more).mapInArrow(lean(score), f"doc_id long, {kinds}n_symbols long, h array<double>")
+    all_of = rows.mapInArrow(lean(below), "gram long, above array<double>, bits array<double>, low array<double>")
+    return all_of.select("gram", F.coalesce("bits", plus("above", "low")).alias("bits"))
 
 
 def _weight() -> Column:
@@ -264,10 +346,14 @@ def identify(documents: DataFrame, learned: DataFrame, lang: str = "lang") -> Da
         counts, out_of = materialize(gram_counts(rows, names), "grams"), F.lit(True)
     orders = models(counts, len(names))
     spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(scorer(orders, len(names)))  # NUMBERS probabilities a table at most
-    discard(counts, *(g for g, _ in orders))
-    factor, limits = calibrate(materialize(entropies(rows.where(out_of), sent, "lang"), "calibration"), names)
-    scored = entropies(rows_of(documents), sent).withColumn("cross_entropy", F.array_min("h"))
+    model = scorer(orders, len(names))  # NUMBERS probabilities a table at most
+    sent, settled = spark.sparkContext.broadcast(model), model.settled
+    rare = [(k, orders[k - 1][0], materialize(orders[k - 1][1], f"contexts-{k}")) for k in range(ORDER, settled, -1)]
+    discard(counts, *(g for g, _ in orders[:settled]))
+    factor, limits = calibrate(materialize(entropies(rows.where(out_of), sent, "lang", rare=rare), "calibration"), names)
+    scored = entropies(rows_of(documents), sent, rare=rare)
+    discard(*(t for _, *tables in rare for t in tables))
+    scored = scored.withColumn("cross_entropy", F.array_min("h"))
     best = F.array_position("h", F.col("cross_entropy")).cast("int")
     total = F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp(factor * _weight() * (F.col("cross_entropy") - x)))
     limit, some = F.element_at(F.array(*map(F.lit, limits)), best), F.col("h").isNotNull()

@@ -92,6 +92,35 @@ def test_entropies_equal_a_plain_model(spark, corpus, numbers):
                 assert row["h"] == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("numbers", [2, 60])
+def test_ngrams_beyond_the_tables_sent_count_as_much(spark, corpus, monkeypatch, numbers):
+    names = ["xa", "yb"]
+    r = random.Random(4)
+    asked = [*(x for _, x, _ in corpus[:10]), *ODD, *(words(r, "abcdehijqß", 30) for _ in range(10))]
+    documents = spark.createDataFrame([*((*x, "", "") for x in corpus), *((100 + i, x, None, "", "") for i, x in enumerate(asked))], SCHEMA)
+    documents = documents.union(documents.where("doc_id in (3, 101)"))
+    documents = documents.union(documents.where("doc_id in (4, 102)").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = lambda df: sorted(df.collect(), key=lambda g: (g["doc_id"] or 0, g["lang_pred"], g["cross_entropy"] or 0))
+    want = rows(t.identify(documents, documents))
+    whole = t.scorer
+    monkeypatch.setattr(t, "scorer", lambda orders, width: whole(orders, width, numbers))
+    got = rows(t.identify(documents, documents))
+    assert len(got) == len(want) == 60 + len(asked) + 4
+    for g, w in zip(got, want, strict=True):
+        assert (g["doc_id"], g["lang_pred"], g["rejected"]) == (w["doc_id"], w["lang_pred"], w["rejected"])
+        assert g["score"] == pytest.approx(w["score"], rel=1e-4) and g["cross_entropy"] == (w["cross_entropy"] and pytest.approx(w["cross_entropy"], rel=1e-6))
+    learned = spark.createDataFrame([(*x, "", "") for x in corpus], SCHEMA)
+    orders = t.models(t.gram_counts(learned, names), 2)
+    model = whole(orders, 2, numbers)
+    rare = [(k, *orders[k - 1]) for k in range(t.ORDER, model.settled, -1)]
+    assert rare
+    found = t.entropies(documents.where("doc_id >= 100").select("doc_id", "text"), spark.sparkContext.broadcast(model), rare=rare).collect()
+    plain = [Plain([x for _, x, lang in corpus if lang == n]) for n in names]
+    for row in found:
+        if row["h"] is not None:
+            assert row["h"] == pytest.approx([p.h(asked[row["doc_id"] - 100]) for p in plain], rel=1e-4)
+
+
 def test_hash_array_finds_what_it_holds():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 60, 5000))
