@@ -52,3 +52,24 @@ def test_a_full_cache_changes_nothing(library, monkeypatch):
 
 def test_empty_table(spark):
     assert t.count_tokens(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("together", [7, 1 << 15])
+def test_plain_pieces_are_merged_together(library, monkeypatch, together):
+    import pyarrow as pa
+
+    def alone(piece):
+        raise AssertionError(f"{piece} was merged alone")
+
+    monkeypatch.setattr(t, "TOGETHER", together, raising=False)
+    s = t.Shortcut(t.vocabulary_path())
+    monkeypatch.setattr(s, "_learn", alone)
+    r = random.Random(4)
+    letters = [chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0x100)] if b not in (0x27, 0xAD)]
+    words = ["".join(r.choice(letters if r.random() < 0.2 else "thinaeroéÉß") for _ in range(r.randint(1, 30))) for _ in range(2000)]
+    column = pa.array([" ".join(words[k : k + 50]).replace("<|", "<") for k in range(0, 2000, 50)] + ["", "aaaaaaaaaaaa ininininin " + "x" * 64])
+    for _, _, d, o in t.text_slices(column, 4000):
+        ids, n = s.encode(d, o)
+        raw = d.tobytes()
+        want = [library.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(o[:-1], o[1:], strict=True)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
